@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codec, langid, sharding, tokcount, toxicity
+from . import annjoin, codec, htmlmain, langid, mixing, neardup, sharding, tokcount, toxicity, webp
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op2_token_counts(spark, sf_dir):
     return tokcount.count_tokens(table(spark, sf_dir, "documents"), tokenizer(tokcount.MODEL))
 
 
+def op3_pfair_mix(spark, sf_dir):
+    return mixing.scheduled(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op4_html_main_text(spark, sf_dir):
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return codec.round_trip(table(spark, sf_dir, "documents"), tokenizer(codec.FILE))
 
@@ -28,9 +36,22 @@ def op6_jump_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_lsh_forest(spark, sf_dir):
+    return neardup.components(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_block_matrix_join(spark, sf_dir):
+    return annjoin.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_lossless_webp(spark, sf_dir):
+    return webp.media(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.detect(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_byte_bpe, op6_jump_shards, op10_toxicity)}
-ORACLES = {"op6_jump_shards": sharding.ORACLE}
+_ALL = (op1_language_id, op2_token_counts, op3_pfair_mix, op4_html_main_text, op5_byte_bpe, op6_jump_shards, op7_lsh_forest, op8_block_matrix_join, op9_lossless_webp, op10_toxicity)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op6_jump_shards": sharding.ORACLE, "op8_block_matrix_join": annjoin.ORACLE}
