@@ -23,7 +23,8 @@ SAMPLE_PER_CLASS = 2000  #: labelled documents of either class to learn from, ch
 SAMPLE_WORDS = 700  #: words in a row that one of them gives
 LENGTH = 24
 THRESHOLD = 0.3
-CHANCE = 0.02  #: that any word at all is taken for toxic though it isn't
+FALSE_SHARE = 0.01  #: of the stems taken for toxic that may be so by luck
+LEAST_DOCUMENTS = 3  #: stems in fewer aren't tested
 
 _tables: dict = {}
 
@@ -52,8 +53,8 @@ def stems(word: str) -> list[str]:
 def toxic_stems(rows: list[tuple[int, list[str]]]) -> set[str]:
     """Words and affixes that toxic documents hold far above chance; documents with the same MinHash count once.
 
-    The test is a likelihood ratio against the share of toxic documents in the sample, at CHANCE over all candidates
-    together, so that none of the many rare words gets in by luck.
+    The test is a likelihood ratio against the share of toxic documents in the sample; the bar is set step by step
+    (Benjamini and Hochberg) so that of the many rare words few get in by luck, however many are tested.
     """
     toxic, clean = defaultdict(set), defaultdict(int)
     for y, text in rows:
@@ -65,13 +66,17 @@ def toxic_stems(rows: list[tuple[int, list[str]]]) -> set[str]:
             else:
                 clean[s] += 1
     p = min(0.999, max(0.001, sum(1 for y, _ in rows if y) / max(1, len(rows))))
-    need = np.log(max(2, len(toxic)) / CHANCE)
-
-    def ratio(s):
-        k, n = len(toxic[s]), clean.get(s, 0)
-        return k * np.log(k / ((k + n) * p)) + (n * np.log(n / ((k + n) * (1 - p))) if n else 0.0)
-
-    return {s for s, k in toxic.items() if len(k) > 20 * clean.get(s, 0) and ratio(s) >= need}
+    ratios = {}
+    for s, own in toxic.items():
+        k, n = len(own), clean.get(s, 0)
+        if k + n >= LEAST_DOCUMENTS:
+            over = k > p * (k + n)
+            ratios[s] = k * np.log(k / ((k + n) * p)) + (n * np.log(n / ((k + n) * (1 - p))) if n else 0.0) if over else 0.0
+    tested = len(ratios) + sum(1 for s, n in clean.items() if s not in toxic and n >= LEAST_DOCUMENTS)
+    best = sorted(ratios.values(), reverse=True)
+    last = max((i for i, x in enumerate(best, 1) if np.exp(-x) <= FALSE_SHARE * i / max(1, tested)), default=0)
+    need = best[last - 1] if last else np.inf
+    return {s for s, x in ratios.items() if x >= need and len(toxic[s]) > 20 * clean.get(s, 0)}
 
 
 class Lexicon(dict):
