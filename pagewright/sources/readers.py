@@ -45,7 +45,7 @@ def lead_grid(rows: DataFrame) -> DataFrame:
         cell("cid").alias("cid"), cell("title", "name").alias("title"), cell("category").alias("category"), numbers.parse_list(cell("categories")).alias("categories"),
         cell("address").alias("address"), cell("website", "web_site").alias("web_site"), cell("phone").alias("phone"), cell("review_count").try_cast("int").alias("review_count"),
         F.replace(cell("review_rating", "rating"), F.lit(","), F.lit(".")).try_cast("double").alias("review_rating"), cell("latitude").try_cast("double").alias("latitude"),
-        cell("longitude", "longtitude").try_cast("double").alias("longitude"), F.filter(F.transform(F.split(F.coalesce(cell("emails", "email"), F.lit("")), ","), F.trim), lambda e: e != "").alias("emails"),
+        cell("longitude", "longtitude").try_cast("double").alias("longitude"), F.filter(F.transform(F.split(F.coalesce(cell("emails", "email"), F.lit("")), ","), lambda x: F.trim(x)), lambda e: e != "").alias("emails"),
     ).where(F.coalesce("title", F.lit("")) != "")
 
 
