@@ -8,7 +8,8 @@ from .rx import js, trimmed
 
 EARTH_METRES, KM_PER_DEGREE, LEAST_COSINE = 6371e3, 111.32, 1e-6
 MONTHS = {m: i for i, names in enumerate("jan;fev feb;mar;abr apr;mai may;jun;jul;ago aug;set sep;out oct;nov;dez dec".split(";"), 1) for m in names.split()}
-DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+#: Day -> its Portuguese name, which exports show.
+DAYS = {"monday": "segunda-feira", "tuesday": "terça-feira", "wednesday": "quarta-feira", "thursday": "quinta-feira", "friday": "sexta-feira", "saturday": "sábado", "sunday": "domingo"}
 
 
 def rounded(c: Column) -> Column:
@@ -94,9 +95,23 @@ def localised_decimal(c: Column) -> Column:
 
 
 def hours_text(hours: Column) -> Column:
-    """A map of day to opening times, Monday first: `monday: 9-12, 13-18; tuesday: ...`."""
-    lines = [F.when(hours[d].isNotNull(), F.concat(F.lit(f"{d}: "), F.array_join(hours[d], ", "))) for d in DAYS]
-    return F.concat_ws("; ", *lines)
+    """A map of day (either language) to opening times, Monday first: `Segunda-feira: 9-12 / 13-18 | ...`."""
+    known = F.transform_keys(hours, lambda k, v: F.lower(F.trim(k)))
+    lines = []
+    for english, local in DAYS.items():
+        slots = F.coalesce(F.nullif(known[english], F.array().cast("array<string>")), known[local])
+        own = F.array_distinct(F.filter(F.transform(slots, lambda x: F.trim(x)), lambda x: x != ""))
+        lines.append(F.when(F.size(own) > 0, F.concat(F.lit(f"{local.capitalize()}: "), F.array_join(own, " / "))))
+    return F.concat_ws(" | ", *lines)
+
+
+def owner_name(raw: Column) -> Column:
+    return F.coalesce(F.trim(F.get_json_object(raw, "$.name")), F.lit(""))
+
+
+def mail_list(raw: Column) -> Column:
+    """Addresses of a cell, distinct, joined for a reader."""
+    return F.array_join(F.array_distinct(F.regexp_extract_all(raw, F.lit(r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"), F.lit(0))), " | ")
 
 
 def valid_published_at(first: Column, second: Column, now: Column) -> Column:

@@ -139,10 +139,66 @@ def bench_summary(rows: DataFrame) -> DataFrame:
         SELECT tool, CASE WHEN grouping(country) = 1 THEN 'all' ELSE country END AS scope, count(*) AS n,
           round(100.0 * count_if(ok) / count(*), 4) AS ok_percent,
           percentile_disc(0.5) WITHIN GROUP (ORDER BY ok_ms) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY ok_ms) AS p95,
-          median(ok_tokens) AS median_tokens, sum(emails) / count(*) AS emails_per_site, count_if(emails > 0) AS sites_with_email
+          percentile_disc(0.5) WITHIN GROUP (ORDER BY ok_tokens) AS median_tokens, sum(emails) / count(*) AS emails_per_site, count_if(emails > 0) AS sites_with_email
         FROM {name} GROUP BY GROUPING SETS ((tool), (tool, country))""")
 
 
+BENCH_HEADER = "| Tool | Group | Sites | Success | P50 s | P95 s | Tokens/page (median) | Emails/site | Sites with an email |"
+
+
+def bench_table(summary: DataFrame) -> DataFrame:
+    """The summary as lines of a Markdown table (place, line): the header, then each tool, `all` before its countries."""
+    shown = lambda c, f, by=1: F.when(c.isNotNull(), F.format_string(f, c.cast("double") / by)).otherwise("–")
+    ok = F.round(F.col("ok_percent") * F.col("n") / 100).cast("long").cast("string")
+    cells = ["tool", "scope", F.col("n").cast("string"), F.concat(ok, F.lit(" ("), shown(F.col("ok_percent"), "%.0f"), F.lit("%)")), shown(F.col("p50"), "%.2f", 1000), shown(F.col("p95"), "%.2f", 1000), shown(F.col("median_tokens"), "%.0f"), shown(F.col("emails_per_site"), "%.2f"), F.col("sites_with_email").cast("string")]
+    lines = summary.select(F.struct("tool", (F.col("scope") != "all").alias("country"), "scope").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = lines.sparkSession.createDataFrame([(0, BENCH_HEADER), (1, "|" + "---|" * 9)], "place int, line string")
+    body = lines.select((F.row_number().over(W.orderBy("place")) + 1).alias("place"), "line")  # a summary is a few rows
+    return head.unionByName(body)
+
+
+#: Limits of a job's parameters: name -> (default, least, most).
+JOB_LIMITS = {"depth": (10, 1, 100), "zoom": (15, 1, 21), "radius": (10_000, 0, 500_000), "max_time_s": (1800, 60, 86_400)}
+MOST_KEYWORDS, LONGEST_KEYWORD, LONGEST_LOCATION = 100, 300, 240
+
+
+def validated(job: dict) -> dict:
+    """A job's parameters with defaults, keywords trimmed and distinct but for case; a ValueError names what is wrong."""
+    out = dict(job)
+    keywords: dict[str, str] = {}
+    for k in map(str.strip, job.get("keywords", [])):
+        if len(k) > LONGEST_KEYWORD:
+            raise ValueError(f"keyword exceeds {LONGEST_KEYWORD} characters")
+        if k:
+            keywords.setdefault(k.lower(), k)
+    if not keywords:
+        raise ValueError("missing keywords")
+    if len(keywords) > MOST_KEYWORDS:
+        raise ValueError(f"too many keywords; maximum is {MOST_KEYWORDS}")
+    out["keywords"] = list(keywords.values())
+    out["location"] = (job.get("location") or "").strip()
+    if len(out["location"]) > LONGEST_LOCATION:
+        raise ValueError(f"location exceeds {LONGEST_LOCATION} characters")
+    out["lang"] = job.get("lang") or "en"
+    if not 2 <= len(out["lang"]) <= 12:
+        raise ValueError("invalid language code")
+    for name, (default, least, most) in JOB_LIMITS.items():
+        out[name] = job.get(name) or default
+        if not least <= out[name] <= most:
+            raise ValueError(f"{name} must be between {least} and {most}")
+    if job.get("fast_mode") and not all(str(job.get(k) or "").strip() for k in ("lat", "lon")):
+        raise ValueError("latitude and longitude are required in fast mode")
+    return out
+
+
+def checked_fields(body: dict, honoured: set[str], ignored: set[str] = frozenset()) -> dict:
+    """The fields that are honoured; any other than those and the ignored ones is an error that names it."""
+    for name in body:
+        if name not in honoured and name not in ignored:
+            raise ValueError(f"unknown field {name!r}")
+    return {k: v for k, v in body.items() if k in honoured}
+
+
 def nearest_rank(column: str, p: float) -> Column:
     """The nearest-rank percentile; null for no rows."""
     return F.expr(f"percentile_disc({p}) within group (order by {column})")

@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions import email, numbers, pages, phone, urls
 from .crawl import first_wins
 
-RADIUS_COLUMNS = ("latitude", "longitude")
-DAYS = numbers.DAYS
-
 
 def lead_key(cid: Column, title: Column, address: Column) -> Column:
     """The map id as it is, else title and address in lower case."""
@@ -264,7 +261,7 @@ def friendly_rows(rows: DataFrame) -> DataFrame:
         pages.strict_cell(F.col("title")).alias("name"), pages.strict_cell(F.col("category")).alias("category"), pages.strict_cell(F.col("phone")).alias("phone"),
         pages.strict_cell(F.when(~F.coalesce(is_instagram(F.col("website")), F.lit(False)), F.col("website"))).alias("website"),
         pages.strict_cell(F.when(is_instagram(F.col("website")), F.col("website"))).alias("instagram"),
-        pages.strict_cell(F.array_join(numbers.parse_list(F.col("emails")), ", ")).alias("emails"), numbers.localised_decimal(F.col("review_rating").cast("string")).alias("rating"),
+        pages.strict_cell(numbers.mail_list(F.col("emails"))).alias("emails"), numbers.localised_decimal(F.col("review_rating").cast("string")).alias("rating"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import numbers, pages
+from ..functions import pages
 
 #: Column -> (path in the place array, type).
 PATHS = {
@@ -137,9 +137,44 @@ def options_merged(options: DataFrame) -> DataFrame:
 
 
 def street_view(images: Column) -> Column:
-    """URL of the image that the source calls street view."""
-    return F.try_element_at(F.filter(images, lambda i: F.lower(i["title"]).contains("street view")), F.lit(1))["image"]
+    """Panorama URL of the first image that is called Street View."""
+    named = F.try_element_at(F.filter(images, lambda i: i["source"].contains("Street View")), F.lit(1))["link"]
+    pano = F.regexp_extract(named, r"panoid=([^&]+)", 1)
+    return F.when(pano != "", F.concat(F.lit("https://www.google.com/maps/@?api=1&map_action=pano&pano="), pano))
 
 
-def open_days(hours: Column) -> Column:
-    return numbers.hours_text(hours)
+def link_sources(value: Column, link: str, source: str) -> Column:
+    """Links of an array of positional items, each with its source; items without either are dropped."""
+    pairs = F.transform(F.coalesce(_array(value, ""), F.array().cast("array<variant>")), lambda v: F.struct(at(v, source, "string").alias("source"), at(v, link, "string").alias("link")))
+    return F.filter(pairs, lambda p: (F.coalesce(p["source"], F.lit("")) != "") & (F.coalesce(p["link"], F.lit("")) != ""))
+
+
+def opening_hours(d: Column) -> Column:
+    """Day -> times of a place array: the newer list with formatted slots, else the older one."""
+    new, old = _array(d, "[203][0]"), _array(d, "[34][1]")
+    items = F.when(F.size(new) > 0, new).otherwise(old)
+    texts = lambda a, path: F.filter(F.transform(a, lambda v: at(v, path, "string")), lambda t: F.coalesce(t, F.lit("")) != "")
+    slots = lambda v: F.when(F.size(_array(v, "[3]")) > 0, texts(_array(v, "[3]"), "[0]")).otherwise(texts(_array(v, "[1]"), ""))
+    days = F.transform(items, lambda v: F.struct(at(v, "[0]", "string").alias("day"), slots(v).alias("times")))
+    return F.map_from_entries(F.filter(days, lambda x: (F.coalesce(x["day"], F.lit("")) != "") & (F.size(x["times"]) > 0)))
+
+
+def popular_times(d: Column) -> Column:
+    """Day -> hour -> share of a place array."""
+    names = F.array(*[F.lit(n) for n in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")])
+    hours = lambda v: F.map_from_entries(F.transform(_array(v, "[1]"), lambda t: F.struct(at(t, "[0]", "double").cast("int").alias("hour"), at(t, "[1]", "double").cast("int").alias("share"))))
+    days = F.transform(_array(d, "[84][0]"), lambda v: F.struct(F.try_element_at(names, at(v, "[0]", "double").cast("int")).alias("day"), hours(v).alias("hours")))
+    return F.map_from_entries(F.filter(days, lambda x: x["day"].isNotNull() & x["hours"].isNotNull()))
+
+
+def place_lists(rows: DataFrame) -> DataFrame:
+    """rows (id, raw) -> hours, popular times, images, street view, reservations and order links of each place."""
+    parsed = rows.select("id", place_array(F.try_parse_json("raw")).alias("d"))
+    d = F.col("d")
+    sub = lambda path: F.try_variant_get(d, f"${path}", "variant")
+    order, other = link_sources(sub("[75][0][1][2]"), "[1][2][0]", "[0][0]"), link_sources(sub("[75][0][0][2]"), "[1][2][0]", "[0][0]")
+    made = parsed.select(
+        "id", opening_hours(d).alias("open_hours"), popular_times(d).alias("popular_times"), link_sources(sub("[171][0]"), "[3][0][6][0]", "[2]").alias("images"),
+        link_sources(sub("[46]"), "[0]", "[1]").alias("reservations"), F.when(F.size(order) > 0, order).otherwise(other).alias("order_online"),
+    )
+    return made.withColumn("street_view_url", street_view(F.col("images")))

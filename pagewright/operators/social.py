@@ -98,3 +98,58 @@ def post_text(text: Column) -> Column:
 def video_caption(alt: Column) -> Column:
     made = F.regexp_extract(alt, r"(?s)^(.*?)\s+(?:criado por \S.* com a música|created by \S.* with) .*$", 1)
     return trimmed(F.when(made != "", made).otherwise(alt))
+
+
+# Hosts of the networks that are watched, and first path segments that are no profiles.
+WATCHED = {"tiktok": ["tiktok.com"], "instagram": ["instagram.com"], "threads": ["threads.com", "threads.net"], "facebook": ["facebook.com"], "x": ["x.com", "twitter.com"]}
+NOT_PROFILES = "p reel reels explore stories search home i hashtag groups watch settings messages post status intent share".split()
+PROFILE = {"tiktok": "https://www.tiktok.com/@%s", "instagram": "https://www.instagram.com/%s/", "threads": "https://www.threads.com/@%s", "facebook": "https://www.facebook.com/%s", "x": "https://x.com/%s"}
+
+
+def watch_target(raw: Column, platform: Column) -> Column:
+    """Struct platform, handle, url of a profile URL, or of a handle with its platform; all null where it is neither."""
+    v = trimmed(raw)
+    is_url = v.rlike("(?i)^https?://")
+    h = urls.host(v)
+    found = F.when(F.lit(False), "")
+    for name, domains in WATCHED.items():
+        found = found.when(urls.host_in(h, domains), name)
+    found = F.when(is_url, found).when(F.lower(platform).isin(*WATCHED), F.lower(platform))
+    path = F.coalesce(urls.part(v, "PATH"), F.lit(""))
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    first = F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit(""))
+    name = F.regexp_replace(F.when(is_url, first).otherwise(v), "^@", "")
+    route = F.lower(name).isin(NOT_PROFILES) & ~(is_url & first.startswith("@"))
+    plain = name.rlike("^[A-Za-z0-9._-]{1,64}$") & ~route
+    face = is_url & (found == "facebook")
+    number = F.regexp_extract(F.coalesce(urls.part(v, "QUERY"), F.lit("")), r"(?:^|&)id=(\d+)(?:&|$)", 1)
+    numbered = face & (first == "profile.php") & (number != "")
+    feed = face & F.when(first == "groups", F.size(segments) == 2).otherwise((F.size(segments) == 1) & ~F.lower(first).isin(NOT_PROFILES) & (first != "profile.php"))
+    good = found.isNotNull() & F.when(face, numbered | feed).otherwise(plain)
+    handle = F.when(numbered, F.concat(F.lit("profile.php?id="), number)).when(face, F.regexp_replace(path, "/+$", "")).otherwise(name)
+    link = F.when(numbered, F.concat(F.lit("https://www.facebook.com/"), handle)).when(face, F.concat(F.lit("https://www.facebook.com"), path))
+    for p, form in PROFILE.items():
+        link = link.when(found == p, F.format_string(form, handle))
+    return F.struct(F.when(good, found).alias("platform"), F.when(good, handle).alias("handle"), F.when(good, link).alias("url"), F.when(~F.coalesce(good, F.lit(False)), "not a profile").alias("reason"))
+
+
+_COUNTED = rf"(?iu)^\d[\d.,\s]*(?:milh(?:ão|ões)|million|bilh(?:ão|ões)|billion|mil|mi|bi|k|m|b)?\s+(?:{'|'.join([*FOLLOWERS, *FOLLOWING, *POSTS])})$"
+_BIO_END = r"(?iu)^(mais|more|seguir|follow|enviar mensagem|message)$|^(seguido\(a\) por|followed by) |^[\w.-]+\.[a-z]{2,}(/|$)"
+
+
+def header_name_bio(header: Column) -> Column:
+    """Name and bio of a profile header's lines: handle, name, counts, then the bio up to a button or link."""
+    lines = F.filter(F.transform(F.split(header, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    second = F.try_element_at(lines, F.lit(2))
+    marks = F.transform(lines, lambda x: x.rlike(r"(?iu)(?:^|[^\p{L}])(seguindo|following)$"))
+    after = F.when(F.array_position(marks, True) > 0, F.slice(lines, F.array_position(marks, True).cast("int") + 1, 1000)).otherwise(F.array().cast("array<string>"))
+    stops = F.array_position(F.transform(after, lambda x: x.rlike(_BIO_END)), True).cast("int")
+    bio = F.when(stops > 0, F.slice(after, 1, stops - 1)).otherwise(after)
+    return F.struct(F.when(~second.rlike(_COUNTED), second).alias("name"), F.nullif(F.array_join(bio, "\n"), F.lit("")).alias("bio"))
+
+
+def description_bio(og: Column) -> Column:
+    """The bio within a description: without counts and the closing sentence."""
+    parts = F.filter(F.split(og, " • "), lambda x: ~F.trim(x).rlike(_COUNTED))
+    bare = F.regexp_replace(F.array_join(parts, " • "), r"(?iu)\s*(?:Veja as conversas mais recentes com|See the latest conversations with) @\S+$", "")
+    return F.nullif(F.trim(bare), F.lit(""))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import numbers, urls
 from ..operators import crawl, jobs, leads, places, social
 from ..sources import readers, sinks
 from .registry import query, rows, table
@@ -242,7 +242,7 @@ _BENCH = "SELECT 'tool' || CAST(user_id % 3 AS STRING) AS tool, event_type AS co
 
 
 @query(f"""SELECT tool, CASE WHEN grouping(country) = 1 THEN 'all' ELSE country END AS scope, count(*) AS n, round(100.0 * count(*) FILTER (ok) / count(*), 4)::DOUBLE AS ok_percent,
-  quantile_disc(tokens, 0.5) FILTER (ok)::BIGINT AS p50, median(tokens) FILTER (ok)::DOUBLE AS median_tokens, sum(emails) / count(*) AS emails_per_site, count(*) FILTER (emails > 0) AS sites_with_email FROM ({_BENCH}) GROUP BY GROUPING SETS ((tool), (tool, country))""")
+  quantile_disc(tokens, 0.5) FILTER (ok)::BIGINT AS p50, quantile_disc(tokens, 0.5) FILTER (ok)::DOUBLE AS median_tokens, sum(emails) / count(*) AS emails_per_site, count(*) FILTER (emails > 0) AS sites_with_email FROM ({_BENCH}) GROUP BY GROUPING SETS ((tool), (tool, country))""")
 def bench_summary(spark, sf_dir):
     b = rows(spark, sf_dir, _BENCH).withColumn("ms", F.col("tokens"))
     out = jobs.bench_summary(b)
@@ -368,3 +368,32 @@ def plus_code(spark, sf_dir):
     even = F.col("s_suppkey") % 2 == 0
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(even, 1.286785).otherwise(37.422062).alias("lat"), F.when(even, 103.854503).otherwise(-122.084062).alias("lon"))
     return s.withColumn("code", places.plus_code(F.col("lat"), F.col("lon")))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'tiktok' WHEN 1 THEN 'instagram' END AS platform, CASE c_custkey % 3 WHEN 0 THEN 'u' || c_custkey WHEN 1 THEN 'shop.' || c_custkey END AS handle, CASE c_custkey % 3 WHEN 0 THEN 'https://www.tiktok.com/@u' || c_custkey WHEN 1 THEN 'https://www.instagram.com/shop.' || c_custkey || '/' END AS url FROM customer")
+def watch_targets(spark, sf_dir):
+    k = F.col("c_custkey")
+    raw = F.when(k % 3 == 0, F.concat(F.lit("https://m.tiktok.com/@u"), k.cast("string"), F.lit("/video/1?x=2"))).when(k % 3 == 1, F.concat(F.lit(" @shop."), k.cast("string"))).otherwise("https://www.instagram.com/reel/abc")
+    t = social.watch_target(raw, F.when(k % 3 == 1, "Instagram"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), t.alias("t")).select("id", "t.platform", "t.handle", "t.url")
+
+
+@query("SELECT c_custkey AS id, 'Segunda-feira: 9-12 / 13-' || (c_custkey % 5 + 15) || ' | Terça-feira: closed' AS hours FROM customer")
+def hours_text(spark, sf_dir):
+    late = F.concat(F.lit("13-"), (F.col("c_custkey") % 5 + 15).cast("string"))
+    hours = F.create_map(F.lit("terça-feira"), F.array(F.lit("closed")), F.lit(" Monday "), F.array(F.lit("9-12"), F.lit(" "), late, late))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), numbers.hours_text(hours).alias("hours"))
+
+
+@query("SELECT s_suppkey AS id, ['11-13', '15-' || s_suppkey % 9] AS monday, s_suppkey % 100 AS noon, ['https://i.example/' || s_suppkey] AS images, ['https://r.example'] AS reservations FROM supplier")
+def place_lists(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    d = [F.lit("null")] * 204
+    d[11], d[9] = F.lit('"Shop"'), F.lit("[null,null,1.5,2.5]")
+    d[203] = F.concat(F.lit('[[["Monday",null,null,[["11-13"],["15-'), (F.col("s_suppkey") % 9).cast("string"), F.lit('"]]],["Sunday",null,null,[]]]]'))
+    d[84] = F.concat(F.lit("[[[1,[[12,"), (F.col("s_suppkey") % 100).cast("string"), F.lit(",null]]]]]"))
+    d[171] = F.concat(F.lit('[[[null,null,"All",[[null,null,null,null,null,null,["https://i.example/'), k, F.lit('"]]]],[null,null,"None"]]]'))
+    d[46] = F.lit('[["https://r.example","book"],["",""]]')
+    raw = F.concat(F.lit("[null,null,null,null,null,null,["), F.concat_ws(",", *d), F.lit("]]"))
+    p = places.place_lists(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), raw.alias("raw")))
+    return p.select("id", F.col("open_hours")["Monday"].alias("monday"), F.col("popular_times")["Monday"][12].cast("long").alias("noon"), F.transform("images", lambda i: i["link"]).alias("images"), F.transform("reservations", lambda r: r["link"]).alias("reservations"))

@@ -152,6 +152,35 @@ def test_plans(spark):
     assert not job.select(F.struct(F.lit("{}").alias("data"), F.col("e.sha256").alias("sha256")).alias("e")).select(jobs.payload_intact(F.col("e")).alias("ok")).first().ok
 
 
+def test_profiles(spark):
+    one = lambda c: spark.range(1).select(c.alias("y")).first().y
+    none = F.lit(None).cast("string")
+    t = lambda raw, p=none: one(social.watch_target(F.lit(raw), p))
+    assert (t("https://www.facebook.com/groups/12/").handle, t("https://facebook.com/profile.php?id=7").url) == ("/groups/12", "https://www.facebook.com/profile.php?id=7")
+    assert t("https://facebook.com/watch").platform is None and t("https://x.com/home").reason == "not a profile" and t("@me").platform is None
+    assert t("https://www.threads.net/@p").url == "https://www.threads.com/@p"
+    got = one(social.header_name_bio(F.lit("shop\nThe Shop\n10 posts\n83,1 mil seguidores\n2 seguindo\nWe sell\nthings\nmais\nx")))
+    assert (got.name, got.bio) == ("The Shop", "We sell\nthings")
+    assert one(social.description_bio(F.lit("5,8 mi seguidores • 175 threads • Hello there. Veja as conversas mais recentes com @x"))) == "Hello there."
+
+
+def test_job_parameters():
+    assert jobs.validated({"keywords": [" a ", "A", ""], "depth": 0})["keywords"] == ["a"]
+    assert jobs.validated({"keywords": ["a"]})["zoom"] == 15
+    for bad in ({"keywords": []}, {"keywords": ["a"], "zoom": 99}, {"keywords": ["a" * 301]}, {"keywords": ["a"], "fast_mode": True}, {"keywords": ["a"], "lang": "x"}):
+        with pytest.raises(ValueError):
+            jobs.validated(bad)
+    with pytest.raises(ValueError, match="formats"):
+        jobs.checked_fields({"url": 1, "formats": 2}, {"url"})
+
+
+def test_bench_table(spark):
+    rows = [("a", "br", True, 1500, 10, 1), ("a", "us", False, 9, 9, 0)]
+    made = jobs.bench_table(jobs.bench_summary(spark.createDataFrame(rows, "tool string, country string, ok boolean, ms int, tokens int, emails int")))
+    lines = [r.line for r in made.orderBy("place").collect()]
+    assert lines[0] == jobs.BENCH_HEADER and lines[2] == "| a | all | 2 | 1 (50%) | 1.50 | 1.50 | 10 | 0.50 | 1 |" and lines[4] == "| a | us | 1 | 0 (0%) | – | – | – | 0.00 | 0 |"
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     t = dt.datetime(2026, 1, 1)
