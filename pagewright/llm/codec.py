@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Backtracking, Merges
-from .common import Memo, map_arrow
+from .common import Memo, hold, map_arrow
 
 FILE = "byte_bpe_50k.json"
 #: Fixed value: the split of byte-level BPE before its merges.
@@ -94,9 +93,8 @@ class Codec:
         return self.decode_bytes(np.asarray(ids, dtype=np.int64)).decode()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return hold(("codec", path), lambda: Codec(path))
 
 
 def round_trip(documents: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
@@ -113,9 +111,9 @@ def round_trip(documents: DataFrame, path: str, keep: list[str] | None = None) -
             out["n_tokens"].append(len(ids) // 4)
             out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(own.decode_bytes(np.frombuffer(ids, dtype="<u4"))).hexdigest())
-        return out | {k: c[k] for k in ["doc_id", *keep]}
+        return out | {"doc_id": c["doc_id"]}
 
-    return map_arrow(documents.select(*dict.fromkeys(["doc_id", "text", *keep])), run, schema)
+    return map_arrow(documents.select("doc_id", "text", *keep), run, schema, keep)
 
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:

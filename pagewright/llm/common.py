@@ -37,36 +37,75 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Like cut(), but as Parquet: smaller, and columns that a later stage doesn't read stay on disk."""
+def written(df: DataFrame, label: str, scratch: list | None = None) -> DataFrame:
+    """Like cut(), but as Parquet: smaller, and columns that a later stage doesn't read stay on disk.
+
+    scratch: a list that the folder's path is added to, for dropped().
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a written() table that no later stage reads."""
-    jvm = spark.sparkContext._jvm
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+def dropped(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for name in scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
+BATCH_BYTES = 16_000_000  #: of an Arrow batch that become Python objects at once
+
+_held: dict = {}
+
+
+def hold(key, make):
+    """The one large object (model table, tokenizer, memo) that a worker process keeps: another key's takes its place.
 
+    Workers outlive stages, so without this a pipeline's operators would all stay in memory together.
+    """
+    if key not in _held:
+        _held.clear()
+        freed()
+        _held[key] = make()
+    return _held[key]
+
+
+def freed() -> None:
+    """Collects garbage and gives free memory back to the system where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(dict of Python lists) -> dict of lists or arrays, over every Arrow batch of df."""
+
+def map_arrow(df: DataFrame, fn, schema: str, carry: list[str] | None = None) -> DataFrame:
+    """fn(dict of Python lists) -> dict of lists or arrays, over stretches of every Arrow batch of df.
+
+    carry: columns that go from input to output as they are, without becoming Python objects.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    carried = set(carry or ())
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            columns = [pa.array(out[f.name], type=f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        for whole in batches:
+            rows = max(1, int(whole.num_rows * BATCH_BYTES / max(BATCH_BYTES, whole.nbytes)))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                out = fn({n: batch.column(n).to_pylist() for n in batch.schema.names if n not in carried})
+                columns = [batch.column(f.name).cast(f.type) if f.name in carried else pa.array(out[f.name], type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
 

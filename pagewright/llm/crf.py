@@ -15,6 +15,7 @@ import numpy as np
 BITS = 17  #: hashed feature space: 2**17 rows of weights
 ORDERS = (1, 2, 3, 4)  #: character n-grams; those that touch a word boundary are the affixes
 EMPTY = 1 << BITS  #: the row of weights that stays 0
+WORDS_AT_ONCE = 20_000  #: new words whose features are in memory together
 LONGEST = 48  #: characters of a word that n-grams see; the whole word still counts as its own feature
 
 
@@ -108,7 +109,9 @@ class WordTable:
             if some:
                 while self.n + len(some) > len(self.log):
                     self.log, self.hits = np.concatenate([self.log, np.zeros_like(self.log)]), np.concatenate([self.hits, np.zeros_like(self.hits)])
-                self.log[self.n : self.n + len(some)] = potentials(self.model, [bare[i] for i in some])
+                for lo in range(0, len(some), WORDS_AT_ONCE):
+                    part = some[lo : lo + WORDS_AT_ONCE]
+                    self.log[self.n + lo : self.n + lo + len(part)] = potentials(self.model, [bare[i] for i in part])
                 self.n += len(some)
             self.index.update(zip(new, rows.tolist()))
             idx[missing] = rows

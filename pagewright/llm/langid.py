@@ -11,15 +11,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import crf, words
-from .common import fold_of, held_out, map_arrow
+from .common import fold_of, freed, held_out, hold, map_arrow
 
 SAMPLE_PER_LANG = 1200  #: training documents for each language, chosen by a hash of the id
 SAMPLE_WORDS = 120  #: words in a row that one of them gives
 SEQUENCES, LENGTH = 2400, 40
 LEAST_SCORE = 0.4  #: the pipeline rejects documents of which no language holds this share
 
-_models: dict = {}
-_tables: dict = {}
 
 
 def sample(documents: DataFrame, quota: int = SAMPLE_PER_LANG) -> DataFrame:
@@ -71,15 +69,14 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> crf.Model | None:
 
 def learned(spark: SparkSession, documents: DataFrame) -> crf.Model | None:
     rows = sorted((r["doc_id"], r["lang"], r["words"]) for r in sample(documents).collect())
-    return fit([(lang, w.split()) for _, lang, w in rows])
+    model = fit([(lang, w.split()) for _, lang, w in rows])
+    freed()  # the driver's memory of the training
+    return model
 
 
-def _table(broadcast) -> crf.WordTable:
-    """One table for each model in a Python worker; another model replaces it."""
-    if broadcast.id not in _tables:
-        _tables.clear()
-        _tables[broadcast.id] = crf.WordTable(broadcast.value, words.word_of)
-    return _tables[broadcast.id]
+def _table(shared) -> crf.WordTable:
+    """One table in a Python worker."""
+    return hold(("langid", shared.id), lambda: crf.WordTable(shared.value, words.word_of))
 
 
 class _Handle:
@@ -135,10 +132,10 @@ def predict(documents: DataFrame, model: crf.Model | None, keep: list[str] | Non
     def run(c):
         found = label_texts(_table(shared), c["text"]) if model_known else [("und", 0.0, 0, 0)] * len(c["text"])
         lang, score, n, switches = zip(*found)
-        return {"doc_id": c["doc_id"], "held_out": [d is not None and fold_of(d) == 2 for d in c["doc_id"]], "lang_pred": lang, "score": score, "n_words": n, "n_switches": switches} | {k: c[k] for k in keep}
+        return {"doc_id": c["doc_id"], "held_out": [d is not None and fold_of(d) == 2 for d in c["doc_id"]], "lang_pred": lang, "score": score, "n_words": n, "n_switches": switches}
 
     model_known = model is not None
-    return map_arrow(documents.select(*dict.fromkeys(["doc_id", "text", *keep])), run, schema)
+    return map_arrow(documents.select("doc_id", "text", *keep), run, schema, keep)
 
 
 def identify(spark: SparkSession, documents: DataFrame, train_on: DataFrame | None = None) -> DataFrame:

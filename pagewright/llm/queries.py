@@ -54,4 +54,4 @@ def op10_toxicity(spark, sf_dir):
 
 _ALL = (op1_language_id, op2_token_counts, op3_pfair_mix, op4_html_main_text, op5_byte_bpe, op6_jump_shards, op7_lsh_forest, op8_block_matrix_join, op9_lossless_webp, op10_toxicity)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op6_jump_shards": sharding.ORACLE, "op8_block_matrix_join": annjoin.ORACLE}
+ORACLES = {"op6_jump_shards": sharding.ORACLE, "op7_lsh_forest": neardup.ORACLE, "op8_block_matrix_join": annjoin.ORACLE}

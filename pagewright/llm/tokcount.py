@@ -12,13 +12,12 @@ rows are counted one by one; other columns pass by unread; an empty table gives
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .bpe import Merges, Prefixes
-from .common import Memo, map_arrow
+from .common import Memo, hold, map_arrow
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -105,9 +104,8 @@ class Counter:
         return total, max(0, sum(map(len, chunks[:k])) + inside - 1)  # less the dummy prefix
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return hold(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

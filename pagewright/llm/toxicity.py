@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import crf, langid, words
-from .common import fold_of, held_out, map_arrow
+from .common import fold_of, freed, held_out, hold, map_arrow
 
 SAMPLE_PER_CLASS = 2000  #: labelled documents of either class to learn from, chosen by a hash of the id
 SAMPLE_WORDS = 700  #: words in a row that one of them gives
@@ -26,8 +26,6 @@ THRESHOLD = 0.3
 FALSE_SHARE = 0.01  #: of the stems taken for toxic that may be so by luck
 LEAST_DOCUMENTS = 3  #: stems in fewer aren't tested
 
-_tables: dict = {}
-
 
 def sample(documents: DataFrame, labels: DataFrame, quota: int = SAMPLE_PER_CLASS) -> tuple[DataFrame, dict]:
     """(doc_id, toxic, words) of about `quota` rows a class, and the count of each class among rows that may be learned from."""
@@ -156,14 +154,14 @@ def score_texts(table: crf.WordTable, texts: list[str | None]) -> list[tuple[flo
 def learned(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> crf.Model | None:
     rows, counts = sample(documents, labels)
     got = sorted((r["doc_id"], r["toxic"], r["words"]) for r in rows.collect())
-    return fit([(y, w.split()) for _, y, w in got], counts.get(1, 0) / max(1, sum(counts.values())))
+    model = fit([(y, w.split()) for _, y, w in got], counts.get(1, 0) / max(1, sum(counts.values())))
+    del got
+    freed()  # the driver's memory of the training
+    return model
 
 
 def _table(shared) -> crf.WordTable:
-    if shared.id not in _tables:
-        _tables.clear()
-        _tables[shared.id] = crf.WordTable(shared.value, words.word_of)
-    return _tables[shared.id]
+    return hold(("toxicity", shared.id), lambda: crf.WordTable(shared.value, words.word_of))
 
 
 def score(documents: DataFrame, model: crf.Model | None, keep: list[str] | None = None) -> DataFrame:
@@ -183,9 +181,9 @@ def score(documents: DataFrame, model: crf.Model | None, keep: list[str] | None
             "predicted": [int(s >= THRESHOLD) for s, _ in found],
             "span_starts": [[a for a, _ in at] for _, at in found],
             "span_ends": [[b for _, b in at] for _, at in found],
-        } | {k: c[k] for k in keep}
+        }
 
-    return map_arrow(documents.select(*dict.fromkeys(["doc_id", "text", *keep])), run, schema)
+    return map_arrow(documents.select("doc_id", "text", *keep), run, schema, keep)
 
 
 def detect(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
