@@ -15,19 +15,31 @@ from pagewright.llm.common import table, written
 from pagewright.llm.queries import tokenizer
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with every column but doc_id under a name that no operator uses, beside text; and those names."""
+    names = [f"carried_{i}" for i in range(len(docs.columns))]
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]), names
+
+
+def _back(rows: DataFrame, docs: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns of docs again, and more of the operator's; a column of docs that is named like one of those gives way."""
+    own = [F.col(n).alias(c) for c, n in zip(docs.columns, names) if c not in more]
+    return rows.select(*own, *more)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that toxicity doesn't predict to be toxic."""
     model = toxicity.learned(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return toxicity.score(docs, model, keep=rest).where("predicted = 0").select(*docs.columns)
+    aside, names = _aside(docs)
+    return _back(toxicity.score(aside, model, keep=names).where("predicted = 0"), docs, names)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of which one language holds a clear share; drops those without a letter."""
     model = langid.learned(spark, table(spark, sf_dir, "documents"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = langid.predict(docs, model, keep=rest)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST_SCORE)).select(*docs.columns)
+    aside, names = _aside(docs)
+    found = langid.predict(aside, model, keep=names)
+    return _back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST_SCORE)), docs, names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with the digests of their token ids and of the text decoded from them."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = codec.round_trip(docs, tokenizer(codec.FILE), keep=rest)
-    return found.select(*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256")
+    aside, names = _aside(docs)
+    return _back(codec.round_trip(aside, tokenizer(codec.FILE), keep=names), docs, names, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
