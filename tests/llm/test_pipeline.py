@@ -87,3 +87,15 @@ def test_odd_documents(spark):
         empty = written(stage(spark, empty, SF), "test-empty")
     assert empty.count() == 0
     assert langid.LEAST_SCORE < 0.5 and neardup.NUMERATOR == 75
+
+
+def test_clashing_columns(spark):
+    """Columns of the operators' own names go through untouched; those named like a digest give way to it at the end."""
+    rows = [(1, "plain words in a row here", "en", "b", 5, "z", 7, "r", 3.5, [2]), (2, "some other words, and there", None, None, 1, "y", 6, "q", 2.5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, mix_slot int, `odd name` string, predicted double, n_tokens array<int>")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), "test-clash")
+        assert docs.columns == columns + ([] if name != "encode" else ["ids_sha256", "decoded_sha256"])
+        if name != "encode":
+            assert sorted(map(tuple, docs.collect())) == sorted(rows)
