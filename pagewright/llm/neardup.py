@@ -5,12 +5,12 @@ first BASE values form a region, as neighbours with a common prefix of that leng
 
 Rounds: (0) each set with the pivot it meets in most trees; (1) each set with all its regions' pivots; (2) what that leaves
 of a region: its sets outside of the region's largest component, each with every set of the region that isn't in its own
-component; (3) below. Pairs within a component are never compared, so copies cost rows in proportion to their number.
-A region of more than CROWD sets, with more than OTHERS of them outside of its largest component, is one level too
-shallow: its sets are regrouped by one MinHash value more, down to DEEPEST, so that pairs stay at OTHERS a row of a large
-region and below CROWD a row of a small one; what is still crowded
-there goes, in round 3, with the member that has most confirmed links. After each round the confirmed links are joined to
-components, by least label and pointer jumping on the cluster.
+component; (3) the same for crowded regions, those of more than CROWD sets with more than OTHERS of them outside of the
+largest component. There no row is made for a pair: both sides are dealt into blocks of about SIDE sets, each two blocks
+meet in a task, which counts all common shingles at once and gives only links that join two components. Every pair of a
+region is thus compared or in one component; a pair that meets in several crowded regions is compared in the first tree's.
+Pairs within a component are never compared, so copies cost rows in proportion to their number; sets that share a region
+but no component cost time with the square of their number. After each round the confirmed links are joined to components.
 
 At a similarity of 0.75 a pair misses all regions with chance (1 - 0.75**BASE)**TREES, below 2e-5.
 
@@ -29,16 +29,17 @@ from .common import Memo, dropped, hold, map_arrow, written
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100  #: linked from intersection / union >= 0.75 on
-TREES, BASE, DEEPEST = 20, 3, 6
-CROWD, OTHERS = 48, 24  #: sets of a region, or of those outside of its largest component, up to which all that is left is compared
+TREES, BASE = 20, 3
+CROWD, OTHERS = 48, 24  #: sets of a region, or of those outside of its largest component, up to which what is left becomes rows of pairs; beyond, blocks
+SIDE = 256  #: sets of a block's side, about
 FEW = 1_000_000  #: ids that a join may broadcast, 16 MB; more are joined by shuffle
 FEW_BYTES = 20_000_000  #: sets that a join may broadcast
 SHARE = 256  #: pairs of one set that meet in a task
 ROWS_A_TASK, PAIRS_A_TASK = 200_000, 2_000
 
 _rng = np.random.default_rng(20240607)
-_A = (_rng.integers(0, 1 << 31, size=TREES * DEEPEST, dtype=np.uint32) << 1 | 1).astype(np.uint32)
-_B = _rng.integers(0, 1 << 32, size=TREES * DEEPEST, dtype=np.uint64).astype(np.uint32)
+_A = (_rng.integers(0, 1 << 31, size=TREES * BASE, dtype=np.uint32) << 1 | 1).astype(np.uint32)
+_B = _rng.integers(0, 1 << 32, size=TREES * BASE, dtype=np.uint64).astype(np.uint32)
 _C = (_rng.integers(0, 1 << 62, size=WORDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -71,25 +72,22 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """MinHash values of a set, TREES x DEEPEST."""
+    """MinHash values of a set, TREES x BASE."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    best = np.full(TREES * DEEPEST, 0xFFFFFFFF, dtype=np.uint32)
+    best = np.full(TREES * BASE, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(low), 2048):
         part = low[i : i + 2048]
         np.minimum(best, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=best)
-    return best.reshape(TREES, DEEPEST)
+    return best.reshape(TREES, BASE)
 
 
-def region_keys(sig: np.ndarray) -> tuple[list[int], list[int]]:
-    """For each tree: a hash of the first BASE values, and 20 bits of each later value, for deeper levels."""
+def region_keys(sig: np.ndarray) -> np.ndarray:
+    """For each tree: a hash of the tree's number and values."""
     key = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     with np.errstate(over="ignore"):
         for j in range(BASE):
             key = _mix(key ^ _mix(sig[:, j].astype(np.uint64) + np.uint64(j + 1)))
-        tail = np.zeros(TREES, dtype=np.uint64)
-        for j in range(BASE, DEEPEST):
-            tail = tail << np.uint64(20) | (_mix(sig[:, j].astype(np.uint64) + np.uint64(99)) >> np.uint64(44))
-    return key.astype(np.int64), tail.astype(np.int64)
+    return key.astype(np.int64)
 
 
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
@@ -104,21 +102,50 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
+def crossing(region: int, ids, parts, left, top, sets: list, keys) -> list[tuple[int, int]]:
+    """Links between the sets of a block's left side and those of its right that join two components.
+
+    All arguments but region have an entry a set; left: whether it is of that side; top: whether it is in the region's
+    largest component. Of two sets outside of that, which meet on both sides, the smaller id is taken on the left; pairs
+    that share an earlier tree's region are left to it.
+    """
+    rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(rows) or not len(cols):
+        return []
+    _, part = np.unique(parts, return_inverse=True)
+    size = np.array([len(sets[j]) for j in cols])
+    flat = np.concatenate([sets[j] for j in cols])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(cols)), size)[order]
+    tree = int(np.flatnonzero(keys[rows[0]] == region)[0])
+    before, out = keys[cols, :tree], []
+    for i in rows:
+        free = (part[cols] != part[i]) & (top[cols] | (ids[cols] > ids[i])) & ~(before == keys[i, :tree]).any(axis=1)
+        if not free.any():
+            continue
+        first = np.searchsorted(flat, sets[i], "left")
+        n = np.searchsorted(flat, sets[i], "right") - first
+        both = np.bincount(owner[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(cols))
+        for j in cols[free & (both > 0) & (DENOMINATOR * both >= NUMERATOR * (len(sets[i]) + size - both))]:
+            if part[j] != part[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                part[part == part[j]] = part[i]
+    return out
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (of the whole set), keys and tails by tree; empty sets have null fp."""
+    """doc_id, n_shingles, fp (of the whole set) and keys by tree; empty sets have null fp."""
 
     def run(c):
-        out: dict = {"n_shingles": [], "fp": [], "keys": [], "tails": []}
+        out: dict = {"n_shingles": [], "fp": [], "keys": []}
         for text in c["text"]:
             s = shingles(text)
             out["n_shingles"].append(len(s))
-            keys, tails = region_keys(signature(s)) if len(s) else (None, None)
             out["fp"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            out["keys"].append(keys)
-            out["tails"].append(tails)
+            out["keys"].append(region_keys(signature(s)) if len(s) else None)
         return out | {"doc_id": c["doc_id"]}
 
-    return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, n_shingles long, fp binary, keys array<long>, tails array<long>")
+    return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, n_shingles long, fp binary, keys array<long>")
 
 
 def few(rows: DataFrame) -> DataFrame:
@@ -175,10 +202,45 @@ class _Rounds:
             good = [(a, b) for a, b, x, y in zip(c["a"], c["b"], c["items_a"], c["items_b"]) if linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64))]
             return {"a": [a for a, _ in good], "b": [b for _, b in good]}
 
-        found = written(map_arrow(self.attached(self.attached(dealt, "b"), "a"), check, "a long, b long"), f"neardup-links-{label}", self.scratch)
+        self.add(map_arrow(self.attached(self.attached(dealt, "b"), "a"), check, "a long, b long"), label)
+
+    def add(self, links: DataFrame, label: str) -> None:
+        """Takes confirmed links in and joins components anew."""
+        found = written(links, f"neardup-links-{label}", self.scratch)
         self.links = found if self.links is None else self.links.unionByName(found)
         self.join_up(label)
 
+    def regions_of(self, members: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """(region, id, part of members (region, id); region, n, most, top, others of the regions with several components)."""
+        members = written(self.part_of(members, "id", "part"), f"neardup-members-{label}", self.scratch)
+        parts = members.groupBy("region", "part").agg(F.count("*").alias("c"))
+        regions = parts.groupBy("region").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("part", F.struct("c", -F.col("part"))).alias("top"))
+        return members, _small(regions.withColumn("others", F.col("n") - F.col("most")).where("others > 0"), f"neardup-left-{label}", self.scratch)
+
+    def test_crowds(self, members: DataFrame, classes: DataFrame, label: str) -> None:
+        """Confirms all pairs of each region that aren't in one component, block by block."""
+        members, regions = self.regions_of(members, label)
+        if regions.isEmpty():
+            return
+        blocks = regions.select("region", "top", F.ceil(F.col("others") / SIDE).cast("int").alias("down"), F.ceil(F.col("n") / SIDE).cast("int").alias("across"))
+        dealt = members.join(few(blocks), "region").withColumn("top", F.col("part") == F.col("top"))
+        place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = dealt.where("not top").withColumn("lb", place(1, "down")).withColumn("rb", every("across")).withColumn("left", F.lit(True))
+        right = dealt.withColumn("rb", place(2, "across")).withColumn("lb", every("down")).withColumn("left", F.lit(False))
+        ids = _small(dealt.select("id").distinct(), f"neardup-crowd-ids-{label}", self.scratch)
+        sets = written(self.full.join(few(ids), "id").join(classes.select("id", "keys").join(few(ids), "id"), "id"), f"neardup-crowd-sets-{label}", self.scratch)
+        full = left.unionByName(right).drop("down", "across").join(F.broadcast(sets) if self.fits and sets.count() <= FEW // 20 else sets, "id")
+
+        def check(pdf):
+            import pandas as pd
+
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["items"]]
+            got = crossing(pdf["region"].iloc[0], *(pdf[c].to_numpy() for c in ("id", "part", "left", "top")), sets, np.stack(pdf["keys"].to_numpy()))
+            return pd.DataFrame(got, columns=["a", "b"], dtype=np.int64)
+
+        self.add(full.groupBy("region", "lb", "rb").applyInPandas(check, "a long, b long"), label)
+
     def join_up(self, label: str) -> None:
         """Components over all links so far: each set takes the least label beside it, then that label's own, until none changes."""
         both = self.links.union(self.links.select("b", "a"))
@@ -215,16 +277,11 @@ class _Rounds:
         return pairs if self.tested is None else pairs.join(few(self.tested), ["a", "b"], "left_anti")
 
 
-def _level(depth: int):
-    """Region key at a depth: the base key and the leading bits of the tail."""
-    return F.col("key") if depth == BASE else F.xxhash64("key", F.lit(depth), F.shiftrightunsigned("tail", 20 * (DEEPEST - depth)))
-
-
 def components(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of documents."""
     sigs = written(signatures(documents), "neardup-signatures")
-    classes = written(sigs.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("tails", "doc_id").alias("tails")), "neardup-classes")
-    trees = classes.select("id", F.explode(F.arrays_zip("keys", "tails")).alias("t")).select("id", F.col("t.keys").alias("key"), F.col("t.tails").alias("tail"))
+    classes = written(sigs.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")), "neardup-classes")
+    trees = classes.select("id", F.explode("keys").alias("key"))
     pivots = trees.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.min_by("id", F.xxhash64("id", F.lit(1))).alias("p1"), F.min_by("id", F.xxhash64("id", F.lit(2))).alias("p2")).where("n > 1")
     scratch: list = []
     rows = written(trees.join(pivots, "key"), "neardup-regions", scratch)  # sets that share a region with another
@@ -233,31 +290,14 @@ def components(spark: SparkSession, documents: DataFrame) -> DataFrame:
     state.test(state.apart(met.groupBy(F.col("id").alias("b")).agg(F.max_by("p0", F.struct("times", -F.col("p0"))).alias("a"))), "0")
     state.test(state.apart(rows.select(F.col("id").alias("a"), F.explode(F.array("p0", "p1", "p2")).alias("b"))), "1")
     # What pairs of a region are left: those of its sets outside of its largest component with any of its sets.
-    left, depth, leftover = rows.select(F.col("key").alias("region"), "id", "key", "tail"), BASE, None
-    pairs = None
-    while True:
-        members = written(state.part_of(left, "id", "part"), f"neardup-members-{depth}", scratch)
-        parts = members.groupBy("region", "part").agg(F.count("*").alias("c"))
-        regions = parts.groupBy("region").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("part", F.struct("c", -F.col("part"))).alias("top"))
-        regions = _small(regions.withColumn("others", F.col("n") - F.col("most")).where("others > 0"), f"neardup-left-{depth}", scratch)
-        settle = (F.col("others") <= OTHERS) | (F.col("n") <= CROWD)
-        settled = regions.where(settle).select("region", "top")
-        others = members.join(few(settled), "region").where("part <> top").groupBy("region").agg(F.collect_list(F.struct("id", "part")).alias("m"))
-        found = members.join(F.broadcast(others) if regions.count() <= FEW // CROWD else others, "region").select(F.col("id").alias("a"), F.explode(F.expr("filter(m, y -> y.part <> part)")).alias("y")).select("a", F.col("y.id").alias("b"))
-        found = written(state.apart(found), f"neardup-rest-{depth}", scratch)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        many = members.join(few(regions.where(~settle).select("region")), "region", "left_semi")
-        if depth == DEEPEST or many.isEmpty():
-            leftover = many
-            break
-        depth += 1
-        left = many.withColumn("region", _level(depth)).select("region", "id", "key", "tail")
-    state.test(pairs.distinct(), "2")
-    if state.links is not None and not leftover.isEmpty():
-        degree = state.links.union(state.links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
-        deep = leftover.select("region", "id").join(degree, "id", "left").fillna(0, ["degree"])
-        hubs = deep.groupBy("region").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("b"))
-        state.test(state.apart(deep.select("region", F.col("id").alias("a")).join(hubs, "region").select("a", "b")), "3")
+    members, regions = state.regions_of(rows.select(F.col("key").alias("region"), "id"), "2")
+    settle = (F.col("others") <= OTHERS) | (F.col("n") <= CROWD)
+    settled = regions.where(settle).select("region", "top")
+    others = members.join(few(settled), "region").where("part <> top").groupBy("region").agg(F.collect_list(F.struct("id", "part")).alias("m"))
+    found = members.join(F.broadcast(others) if regions.count() <= FEW // CROWD else others, "region").select(F.col("id").alias("a"), F.explode(F.expr("filter(m, y -> y.part <> part)")).alias("y")).select("a", F.col("y.id").alias("b"))
+    state.test(state.apart(found), "2")
+    crowded = few(regions.where(~settle).select("region"))
+    state.test_crowds(members.join(crowded, "region", "left_semi").select("region", "id"), classes, "3")
     dropped(spark, scratch)
     whole = state.part_of(classes.select("fp", "id"), "id", "component_id").select("fp", "component_id")
     # Copies of one text may be a third of all rows: their class is one row here, so the join's other side may be split.

@@ -105,3 +105,19 @@ def test_intersections():
     for _ in range(50):
         a, b = (np.unique(r.integers(0, 40, r.integers(0, 30)).astype(np.uint64)) for _ in range(2))
         assert neardup.intersection(a, b) == len(set(a.tolist()) & set(b.tolist()))
+
+
+def test_crowded_regions_are_compared_whole(spark, monkeypatch):
+    """Pages of one template, alike to 0.72 and so not linked, share most regions; some pairs of them are alike to 0.79."""
+    r = random.Random(5)
+    base = words(r, 204)  # 200 shingles
+    rows = []
+    for i in range(240):
+        own = words(r, 38)
+        rows.append((i * 7 % 1009, " ".join(base + own)))
+        if i % 4 == 0:
+            rows.append((2000 + i, " ".join(base + own[:12] + words(r, 26))))
+    assert sum(d != c for d, (_, c) in brute(rows).items()) == 60
+    check(spark, rows)
+    monkeypatch.setattr(neardup, "SIDE", 40)
+    check(spark, rows)
