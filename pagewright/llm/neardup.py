@@ -21,6 +21,8 @@ join. A null id has a null component and is kept. Other columns pass by unread;
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -242,17 +244,25 @@ class _Rounds:
         self.add(full.groupBy("region", "lb", "rb").applyInPandas(check, "a long, b long"), label)
 
     def join_up(self, label: str) -> None:
-        """Components over all links so far: each set takes the least label beside it, then that label's own, until none changes."""
+        """Components over all links so far, in turns until none changes a label.
+
+        In a turn each set takes the least of its label's own label and those of its neighbours' labels, and hands it on to
+        the set that its label names, so that whole groups move: turns grow with the logarithm of a chain's length.
+        """
         both = self.links.union(self.links.select("b", "a"))
         edges = _small(both.toDF("id", "other").distinct(), f"neardup-edges-{label}", self.scratch)
         if edges.isEmpty():
             return
         parts = _small(edges.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("part")), f"neardup-parts-{label}-0", self.kept)
-        for turn in range(1, 64):
-            beside = edges.join(few(parts.select(F.col("id").alias("other"), "part")), "other").groupBy("id").agg(F.min("part").alias("near"))
-            low = beside.join(few(parts), "id").select("id", F.least("part", "near").alias("low"), F.col("part").alias("was"))
-            up = parts.select(F.col("id").alias("low"), F.col("part").alias("top"))
-            nxt = _small(low.join(few(up), "low", "left").select("id", F.least("low", "top").alias("part"), "was"), f"neardup-parts-{label}-{turn}", self.kept)
+        for turn in count(1):
+            tops = parts.join(few(parts.select(F.col("id").alias("part"), F.col("part").alias("top"))), "part")  # a label is a set with links, too
+            tops = _small(tops.select("id", "part", "top"), f"neardup-tops-{label}-{turn}", self.scratch)
+            beside = edges.join(few(tops.select(F.col("id").alias("other"), "top")), "other").groupBy("id").agg(F.min("top").alias("near"))
+            low = beside.join(few(tops), "id").select("id", "part", F.least("top", "near").alias("low"))
+            low = _small(low, f"neardup-low-{label}-{turn}", self.scratch)
+            hooks = low.groupBy(F.col("part").alias("id")).agg(F.min("low").alias("hook"))
+            nxt = low.join(few(hooks), "id", "left").select("id", F.least("low", "hook").alias("part"), F.col("part").alias("was"))
+            nxt = _small(nxt, f"neardup-parts-{label}-{turn}", self.kept)
             done = nxt.where("part <> was").isEmpty()
             parts = nxt.select("id", "part")
             if done:

@@ -121,3 +121,11 @@ def test_crowded_regions_are_compared_whole(spark, monkeypatch):
     check(spark, rows)
     monkeypatch.setattr(neardup, "SIDE", 40)
     check(spark, rows)
+
+
+def test_long_chain_is_one_component(spark):
+    """Revisions that are linked to the next one only, with ids in no order."""
+    r = random.Random(6)
+    stream = words(r, 104 + 300 * 10)
+    ids = r.sample(range(5000), 300)
+    check(spark, [(d, " ".join(stream[i * 10 : i * 10 + 104])) for i, d in enumerate(ids)])
