@@ -105,3 +105,30 @@ def test_mixed_table(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.scheduled(df, {"s0": 0})
+
+
+def test_many_sources_are_scheduled_in_levels(spark, monkeypatch):
+    rows = [(i, f"s{i % 600}" if i % 2 else f"s{i % 7}") for i in range(6000)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    for most, fan in ((mixing.MOST_SOURCES, mixing.FAN), (5, 4)):  # two levels and five
+        monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+        monkeypatch.setattr(mixing, "FAN", fan)
+        out = mixing.scheduled(df, {"s0": 4000}, block=4).collect()
+        assert sorted(map(str, ((r.doc_id, r.source) for r in out))) == sorted(map(str, rows))
+        ranks, slots = collections.defaultdict(list), collections.defaultdict(set)
+        for r in out:
+            assert r.mix_release <= r.mix_slot < r.mix_deadline
+            ranks[r.source].append(r.mix_rank)
+            slots[r.mix_slot].add((r.source, r.mix_rank // 4))
+        assert all(sorted(x) == list(range(len(x))) for x in ranks.values())
+        assert sorted(slots) == list(range(len(slots))) and all(len(x) == 1 for x in slots.values())
+
+
+def test_levels_keep_shares():
+    """Sources that all last as long: after a tenth of all slots each has about a tenth of its blocks out."""
+    weights = {f"s{i}": 1 + i % 3 for i in range(1200)}
+    paths = mixing.levels({s: 40 * w for s, w in weights.items()}, weights)
+    total = 40 * sum(weights.values())
+    for s, w in weights.items():
+        out = sum(mixing.place_of(paths[s], k)[0] < total // 10 for k in range(40 * w))
+        assert abs(out - 4 * w) <= 3, (s, out)
