@@ -2,8 +2,8 @@
 the sources to their weights, and encodes.
 
 Each stage reads what its predecessor wrote and works on all of it. Filters return the kept rows as they are, with the
-columns of documents; mixing returns all rows in the order of its schedule; encoding adds n_tokens, ids_sha256 and
-decoded_sha256 to them. Models are learned from the documents table, never from rows that are held out.
+columns of documents; mixing returns all rows in the order of its schedule; encoding restores that order and adds n_tokens,
+ids_sha256 and decoded_sha256. Models are learned from the documents table, never from rows that are held out.
 """
 
 from __future__ import annotations
@@ -54,8 +54,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with the digests of their token ids and of the text decoded from them."""
-    aside, names = _aside(docs)
+    """All rows with the digests of their token ids and of the text decoded from them, in the order of the mix.
+
+    Files of a table are read in no fixed order. The schedule is a function of the rows, so it is worked out again here.
+    """
+    aside, names = _aside(mixing.mixed(docs))
     return _back(codec.round_trip(aside, tokenizer(codec.FILE), keep=names), docs, names, "n_tokens", "ids_sha256", "decoded_sha256")
 
 

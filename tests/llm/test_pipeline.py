@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from pagewright.llm import codec, langid, neardup
+from pagewright.llm import codec, langid, mixing, neardup
 from pagewright.llm.common import table, written
 
 SF = "/root/testdata/sf0.01"
@@ -99,3 +99,20 @@ def test_clashing_columns(spark):
         assert docs.columns == columns + ([] if name != "encode" else ["ids_sha256", "decoded_sha256"])
         if name != "encode":
             assert sorted(map(tuple, docs.collect())) == sorted(rows)
+
+
+def test_rows_come_in_the_order_of_the_mix(spark, tmp_path):
+    """Also where the mix was written as several files, of which the later ones are larger and read first."""
+    rows = [(i, f"plain words in a row {i} " * (1 + i % 40), "en", f"s{i % 3 if i % 5 else 0}", 1) for i in range(3000)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "test-order")
+    stages = dict(corpus_pipeline.STAGES)
+    slots = {r.doc_id: (r.mix_slot, r.mix_rank) for r in mixing.scheduled(docs).collect()}
+    mixed = written(stages["mix"](spark, docs, SF), "test-order-mix")
+    out = stages["encode"](spark, mixed, SF)
+    assert [r.doc_id for r in out.select("doc_id").collect()] == sorted(slots, key=slots.get)
+
+
+def test_run_comes_in_the_order_of_the_mix(spark):
+    got = corpus_pipeline.run(spark, SF)
+    slots = {r.doc_id: (r.mix_slot, r.mix_rank) for r in mixing.scheduled(got.select("doc_id", "source")).collect()}
+    assert [r.doc_id for r in got.select("doc_id").collect()] == sorted(slots, key=slots.get)
