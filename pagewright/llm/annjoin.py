@@ -51,7 +51,10 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def tile(query_ids, queries, row_ids, rows, k: int = K):
-    """(query id, row id, cosine) of the k best rows of a tile for each query, by int8 bounds and then in full."""
+    """(query id, row id, cosine) of the k best row ids of a tile for each query row, by int8 bounds and then in full.
+
+    An id may have several rows; the best stands for it.
+    """
     row_ids, query_ids = np.asarray(row_ids), np.asarray(query_ids)
     by_id = np.argsort(row_ids, kind="stable")
     row_ids, rows = row_ids[by_id], rows[by_id]
@@ -65,6 +68,7 @@ def tile(query_ids, queries, row_ids, rows, k: int = K):
     row_ids, rows = row_ids[kept], rows[kept]
     rq, rs, rg = quantised(_units(rows))
     rf = rq.astype(np.float32)
+    starts = np.flatnonzero(np.diff(row_ids, prepend=row_ids[0] - 1))  # of an id's rows
     out_q, out_r, out_s = [], [], []
     for lo in range(0, len(query_ids), STEP):
         ids, q = query_ids[lo : lo + STEP], queries[lo : lo + STEP]
@@ -76,8 +80,9 @@ def tile(query_ids, queries, row_ids, rows, k: int = K):
         lower, upper = dots - slack, dots + slack
         own = ids[:, None] == row_ids[None, :]
         lower[own], upper[own] = -np.inf, -np.inf
-        if lower.shape[1] > k:
-            bar = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
+        of_id = lower if len(starts) == lower.shape[1] else np.maximum.reduceat(lower, starts, axis=1)
+        if len(starts) > k:
+            bar = np.partition(of_id, len(starts) - k, axis=1)[:, len(starts) - k]
         else:
             bar = np.full(len(ids), -np.inf)
         qi, ri = np.nonzero((upper >= bar[:, None]) & ~own)
@@ -86,6 +91,8 @@ def tile(query_ids, queries, row_ids, rows, k: int = K):
             score[s : s + 65536] = cosines(q[qi[s : s + 65536]], rows[ri[s : s + 65536]])
         best = np.lexsort((row_ids[ri], -score, qi))
         qi, ri, score = qi[best], ri[best], score[best]
+        once = np.sort(np.unique(qi * len(starts) + np.searchsorted(row_ids[starts], row_ids[ri]), return_index=True)[1])  # each id's first
+        qi, ri, score = qi[once], ri[once], score[once]
         n = np.bincount(qi, minlength=len(ids))
         place = np.arange(len(qi)) - np.repeat(np.cumsum(n) - n, n)
         keep = place < k

@@ -72,3 +72,12 @@ def test_bounds_hold():
     (a, s, g), (b, t, h) = annjoin.quantised(x), annjoin.quantised(y)
     rough = (a.astype(float) @ b.T.astype(float)) * s[:, None] * t[None]
     assert (np.abs(rough - x @ y.T) <= g[:, None] + h[None] + g[:, None] * h[None] + 1e-12).all()
+
+
+def test_ids_of_many_vectors_take_one_place(spark):
+    r = np.random.default_rng(7)
+    base = r.normal(size=8)
+    rows = [(0, base.astype(np.float32).tolist(), "x")]
+    rows += [(1 + i % 2, (base + r.normal(size=8) * 0.01).astype(np.float32).tolist(), "x") for i in range(40)]  # two ids take all near places
+    rows += [(10 + i, v.tolist(), "x") for i, v in enumerate(r.normal(size=(30, 8)).astype(np.float32))]
+    check(spark, rows)
