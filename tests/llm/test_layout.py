@@ -108,9 +108,10 @@ def test_mixed_table(spark):
 
 
 def test_many_sources_are_scheduled_in_levels(spark, monkeypatch):
-    rows = [(i, f"s{i % 600}" if i % 2 else f"s{i % 7}") for i in range(6000)] + [(None, None)]
+    rows = [(i, f"s{i % 601}" if i % 2 else f"s{i % 7}") for i in range(6000)] + [(None, None)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    for most, fan in ((mixing.MOST_SOURCES, mixing.FAN), (5, 4)):  # two levels and five
+    assert df.select("source").distinct().count() == 602
+    for most, fan in ((500, 32), (5, 4)):  # two levels and five
         monkeypatch.setattr(mixing, "MOST_SOURCES", most)
         monkeypatch.setattr(mixing, "FAN", fan)
         out = mixing.scheduled(df, {"s0": 4000}, block=4).collect()
