@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from .bpe import Backtracking, Merges
 from .common import Memo, hold, map_arrow
 
+MEMO_BYTES = 64_000_000  #: of encoded words that a worker keeps
 FILE = "byte_bpe_50k.json"
 #: Fixed value: the split of byte-level BPE before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,7 +59,7 @@ class Codec:
         self.lengths = np.array([len(t) for t in spelled], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(spelled), dtype=np.uint8)
-        self.words = Memo(self._word, 250_000)
+        self.words = Memo(self._word, MEMO_BYTES)
         self._split = regex.compile(PATTERN)
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 

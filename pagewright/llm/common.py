@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,27 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a folder of this session's own.
 
-    The fallback is a local folder and is meant for local mode only, as in tests.
+    The fallback is a local folder and holds for a local master only: on a cluster it would be lost with its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {master}")
     own = os.path.join(tempfile.gettempdir(), f"pagewright-checkpoints-{os.getpid()}")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, so that later jobs neither recompute it nor depend on one executor."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+def measured(df: DataFrame, label: str, scratch: list | None = None, **sums) -> tuple[DataFrame, dict]:
+    """written(), and aggregates over the rows seen on the way out: n, their number, and those of `sums`."""
+    spark, seen = df.sparkSession, Observation()
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()]).write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
+    return spark.read.parquet(path), {k: v or 0 for k, v in seen.get.items()}
 
 
 def written(df: DataFrame, label: str, scratch: list | None = None) -> DataFrame:
-    """Like cut(), but as Parquet: smaller, and columns that a later stage doesn't read stay on disk.
+    """Cuts the lineage of df by a Parquet table in the shared folder: columns that a later stage doesn't read stay on disk.
 
     scratch: a list that the folder's path is added to, for dropped().
     """
@@ -142,18 +147,28 @@ def ranked(counts: DataFrame, group: str, bucket: str, count: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A bounded memo of fn in two generations: when the young one is full it becomes the old one, so hot keys survive."""
+    """A memo of fn bounded in bytes, in two generations: when the young one is full it becomes the old one, so hot keys survive.
+
+    A key or value longer than LONG isn't kept: one text without white space must not fill a worker.
+    """
+
+    LONG = 256
 
-    def __init__(self, fn, cap: int = 100_000):
+    def __init__(self, fn, cap: int):
+        """cap: bytes of both generations, about."""
         super().__init__()
-        self.fn, self.cap, self.old = fn, cap, {}
+        self.fn, self.half, self.old, self.size = fn, cap // 2, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-        if len(self) >= self.cap:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        more = len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if more <= self.LONG:
+            if self.size >= self.half:
+                self.old = dict(self)
+                self.clear()
+                self.size = 0
+            self[key] = value
+            self.size += more + 200  # the objects' own heads and their places in the table
         return value

@@ -21,6 +21,7 @@ from .common import Memo, hold, map_arrow
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
+MEMO_BYTES = 64_000_000  #: of counted chunks that a worker keeps
 SPACE = "▁"
 
 
@@ -51,7 +52,7 @@ class Counter:
         self.prefixes = Prefixes(self.merges)
         self.units = {t for t in normal if t and len(t) == 1}
         self.beside = {t[i : i + 2] for t in normal if t for i in range(len(t) - 1)}
-        self.size = Memo(lambda chunk: self.table(chunk)[-1], 350_000)
+        self.size = Memo(lambda chunk: self.table(chunk)[-1], MEMO_BYTES)
         self._break = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
 
     def _runs(self, chunk: str) -> list[str]:

@@ -129,3 +129,62 @@ def test_long_chain_is_one_component(spark):
     stream = words(r, 104 + 300 * 10)
     ids = r.sample(range(5000), 300)
     check(spark, [(d, " ".join(stream[i * 10 : i * 10 + 104])) for i, d in enumerate(ids)])
+
+
+def test_ids_with_several_texts(spark):
+    """Rows of one id are one document: its texts' groups are one. The pipeline goes by text, so that no text is lost."""
+    t, u = "one two three four five six seven", "red green blue white black grey pink"
+    df = spark.createDataFrame([(3, t), (5, t), (5, u), (7, u), (7, u), (9, "a lone text of some seven words")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.components(spark, df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False), (9, 9, True)]
+    assert sorted(map(tuple, neardup.dropped_copies(spark, df).collect())) == [(3, t), (5, u), (9, "a lone text of some seven words")]
+
+
+def test_repeated_rows_leave_one(spark):
+    """Also where other columns differ, and where columns have the operator's names."""
+    t = "one two three four five six seven"
+    df = spark.createDataFrame([(3, t, "a", 1), (3, t, "a", 1), (3, t.upper(), "b", 2), (4, None, "c", 3), (None, t, "d", 4)], "doc_id long, text string, text_hash string, row int")
+    got = neardup.dropped_copies(spark, df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect()) == [(0, t), (3, t), (4, "")]
+
+
+def test_links_in_a_crowd(spark):
+    """Documents that share 86 of 104 words, alike to 0.69, with 150 pairs that share 4 words more and are alike to 0.754."""
+    r = random.Random(8)
+    base = words(r, 86)
+    rows = [(i, " ".join(base + words(r, 18))) for i in range(600)]
+    for i in range(150):
+        own = words(r, 4)
+        rows += [(1000 + 2 * i + k, " ".join(base + own + words(r, 14))) for k in range(2)]
+    got = {r.doc_id: r.component_id for r in neardup.components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: c for d, c in got.items() if d != c} == {1001 + 2 * i: 1000 + 2 * i for i in range(150)}
+
+
+def test_neighbours_in_every_order(spark, monkeypatch):
+    """Whatever the partitions: rows of regions with several sets, and of those that share a partition the depth in common."""
+    r = np.random.default_rng(7)
+    sigs = r.integers(0, 3, (200, neardup.TREES, neardup.BASE)).astype(np.uint32)
+    rows = [(int(h), int(d), i) for i, s in enumerate(sigs) for h, d in zip(neardup.region_keys(s), neardup.deeper_keys(s))]
+    size = {}
+    for h, _, _ in rows:
+        size[h] = size.get(h, 0) + 1
+    want = {(h, i) for h, _, i in rows if size[h] > 1}
+    flat = sigs.reshape(200, -1)
+    for n in (1, 7):
+        got = neardup.neighbours(spark.createDataFrame(rows, "head long, deep long, id long").repartition(n)).collect()
+        assert want <= {(x.head, x.id) for x in got}
+        assert len(got) <= len(want) + 2 * 8
+        met = [x for x in got if x.prev is not None]
+        assert len(met) > 0.8 * len(want) / 2
+        for x in met:
+            tree = next(t for t in range(neardup.TREES) if neardup.region_keys(sigs[x.id])[t] == x.head)
+            a, b = (np.roll(flat[i], -tree * neardup.BASE)[: neardup.BASE + neardup.DEEPER] for i in (x.id, x.prev))
+            assert x.depth == (len(a) if (a == b).all() else int((a != b).argmax()))
+
+
+def test_a_very_long_text_without_white_space(spark):
+    long = "x" * 3_000_000
+    df = spark.createDataFrame([(1, long), (2, long), (3, long + "y"), (4, " ".join(words(random.Random(9), 200_000)))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.components(spark, df).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 4)]
