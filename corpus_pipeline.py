@@ -44,8 +44,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near copies."""
-    gone = written(neardup.components(spark, docs).where("not kept").select("doc_id").distinct(), "pipeline-gone")
-    return docs.join(neardup.few(gone), "doc_id", "left_anti").select(*docs.columns)
+    return neardup.dropped_copies(spark, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
