@@ -2,7 +2,8 @@
 
 A word's potentials come from hashed features of the word itself (affixes, character n-grams, the word, lexicon
 membership); learned transitions tie neighbours. Because potentials depend on the word alone they are kept in a
-bounded table by word, and forward-backward runs in lockstep over all documents of a batch.
+bounded table by word, and forward-backward runs in lockstep over all documents of a batch. A word of any length is one
+word, with features over all its characters.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from itertools import repeat
 
 import numpy as np
 
+from .common import slices
+
 BITS = 17  #: hashed feature space: 2**17 rows of weights
 ORDERS = (1, 2, 3, 4)  #: character n-grams; those that touch a word boundary are the affixes
 EMPTY = 1 << BITS  #: the row of weights that stays 0
-WORDS_AT_ONCE = 20_000  #: new words whose features are in memory together
-LONGEST = 48  #: characters of a word that n-grams see; the whole word still counts as its own feature
+CHARACTERS_AT_ONCE = 150_000  #: of new words whose features are in memory together
+LONG = 1024  #: characters from which a word's features are summed stretch by stretch, and the word isn't kept in a table
+PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4, 5, 6)  #: lengths of affixes, where a model goes by them alone
 
 
 @dataclass
@@ -26,7 +30,7 @@ class Model:
     transitions: np.ndarray  # (labels, labels), log
     start: np.ndarray  # (labels,), log
     lexicon: dict[str, int] = field(default_factory=dict)  # word -> label whose lexicon holds it
-    extra: dict = field(default_factory=dict)
+    by_affixes: bool = False  # features are the word and its affixes instead of n-grams
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,7 +43,7 @@ def _grams(words: list[str]):
 
     Where the word ends before the n-gram does, the id is that of the empty last row.
     """
-    marked = ["\x02" + w[:LONGEST] + "\x03" for w in words]
+    marked = ["\x02" + w + "\x03" for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
     ends = np.cumsum(lengths)
@@ -50,7 +54,7 @@ def _grams(words: list[str]):
     with np.errstate(over="ignore"):
         for n in range(1, max(ORDERS) + 1):
             h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
-            h[: len(chars) - n + 1] += chars[n - 1 :]
+            h[: max(0, len(chars) - n + 1)] += chars[n - 1 :]
             if n in ORDERS:
                 by_order.append(np.where(left >= n, (_mix(h) >> np.uint64(64 - BITS)).astype(np.int64), EMPTY))
         spot = _mix(chars * np.uint64(0xD6E8FEB86659FD93) + left.astype(np.uint64))
@@ -74,7 +78,58 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     return ids[order], np.searchsorted(owners[order], np.arange(len(words)))
 
 
+def affixes(words: list[str]) -> np.ndarray:
+    """Feature ids of each word (words x features): the word, its longer prefixes and suffixes; the empty row where it is too short."""
+    chars = np.frombuffer(("".join(words) + " " * max(PREFIXES)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    row = lambda h: (_mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        left = np.repeat(ends, lengths) - np.arange(ends[-1])
+        out = [row(np.add.reduceat(_mix(chars[: ends[-1]] * np.uint64(0xD6E8FEB86659FD93) + left.astype(np.uint64)), starts))]
+        for salt, sizes, at in ((0x9E3779B97F4A7C15, PREFIXES, lambda n: starts + n - 1), (0xC2B2AE3D27D4EB4F, SUFFIXES, lambda n: np.maximum(ends - n, 0))):
+            h = np.zeros(len(words), dtype=np.uint64)
+            for n in range(1, max(sizes) + 1):
+                h = (h + chars[at(n)]) * np.uint64(salt) + np.uint64(n)
+                if n in sizes:
+                    out.append(np.where(lengths > n, row(h), EMPTY))
+    return np.stack(out, axis=1)
+
+
+def _long_potential(model: Model, word: str) -> np.ndarray:
+    """Of one long word: the sum over its n-grams, whose memory doesn't grow with the word."""
+    marked, most = "\x02" + word + "\x03", max(ORDERS)
+    total, whole = np.zeros(model.weights.shape[1]), np.zeros(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(marked), LONG):
+            chars = np.frombuffer(marked[at : at + LONG + most - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            n_here, left = min(LONG, len(marked) - at), len(marked) - at - np.arange(len(chars))
+            h = np.zeros(len(chars), dtype=np.uint64)
+            for n in range(1, most + 1):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
+                h[: max(0, len(chars) - n + 1)] += chars[n - 1 :]
+                if n in ORDERS:
+                    own = (left >= n)[:n_here]
+                    total += model.weights[(_mix(h[:n_here][own]) >> np.uint64(64 - BITS)).astype(np.int64)].sum(axis=0, dtype=np.float64)
+            whole += _mix(chars[:n_here] * np.uint64(0xD6E8FEB86659FD93) + left[:n_here].astype(np.uint64)).sum(dtype=np.uint64)
+        total += model.weights[int(_mix(whole)[0] >> np.uint64(64 - BITS))]
+    return total + model.weights[_flags([word], model.lexicon)[0]]
+
+
 def potentials(model: Model, words: list[str]) -> np.ndarray:
+    """Log potentials of words, of which none is empty."""
+    if model.by_affixes:  # of a long word only its affixes count
+        return model.weights[affixes([w if len(w) < LONG else w[: LONG // 2] + w[-(LONG // 2) :] for w in words])].sum(axis=1)
+    if any(len(w) >= LONG for w in words):
+        out = np.empty((len(words), model.weights.shape[1]), dtype=np.float32)
+        short = [i for i, w in enumerate(words) if len(w) < LONG]
+        if short:
+            out[short] = potentials(model, [words[i] for i in short])
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = _long_potential(model, w)
+        return out
     starts, by_order, whole = _grams(words)
     total = model.weights[by_order[0]]
     for ids in by_order[1:]:
@@ -83,15 +138,15 @@ def potentials(model: Model, words: list[str]) -> np.ndarray:
 
 
 class WordTable:
-    """Potentials by word. Beyond `cap` words the half that was looked up least goes, at a batch's end."""
+    """Potentials by word. Beyond `cap` words the half that was looked up least goes, at a batch's end; long words always do."""
 
-    def __init__(self, model: Model, word_of, cap: int = 200_000):
+    def __init__(self, model: Model, word_of, cap: int = 120_000):
         """word_of: raw token -> the word whose features count, or None if the token takes no part."""
         self.model, self.word_of, self.cap = model, word_of, cap
         self.index: dict[str, int] = {}
-        self.log = np.zeros((cap * 2, len(model.labels)), dtype=np.float32)
-        self.hits = np.zeros(cap * 2, dtype=np.int64)
-        self.n = 0
+        self.log = np.zeros((cap, len(model.labels)), dtype=np.float32)
+        self.hits = np.zeros(cap, dtype=np.int64)
+        self.n, self.long = 0, False
 
     def lookup(self, tokens: list[str], counts: np.ndarray) -> np.ndarray:
         """Row of each distinct token, -2 for one that takes no part; counts: how often each stands in the batch.
@@ -107,13 +162,17 @@ class WordTable:
             rows = np.full(len(new), -2, dtype=np.int64)
             rows[some] = np.arange(self.n, self.n + len(some))
             if some:
-                while self.n + len(some) > len(self.log):
-                    self.log, self.hits = np.concatenate([self.log, np.zeros_like(self.log)]), np.concatenate([self.hits, np.zeros_like(self.hits)])
-                for lo in range(0, len(some), WORDS_AT_ONCE):
-                    part = some[lo : lo + WORDS_AT_ONCE]
-                    self.log[self.n + lo : self.n + lo + len(part)] = potentials(self.model, [bare[i] for i in part])
+                room = max(len(self.log), self.n + len(some))
+                if room > len(self.log):
+                    more = room + self.cap - len(self.log)
+                    self.log = np.concatenate([self.log, np.zeros((more, self.log.shape[1]), dtype=np.float32)])
+                    self.hits = np.concatenate([self.hits, np.zeros(more, dtype=np.int64)])
+                sizes = [len(bare[i]) for i in some]
+                for lo, hi in slices(sizes, CHARACTERS_AT_ONCE):
+                    self.log[self.n + lo : self.n + hi] = potentials(self.model, [bare[i] for i in some[lo:hi]])
                 self.n += len(some)
             self.index.update(zip(new, rows.tolist()))
+            self.long = self.long or max(map(len, new)) >= LONG
             idx[missing] = rows
         real = idx >= 0
         self.hits[idx[real]] += counts[real]
@@ -121,16 +180,17 @@ class WordTable:
 
     def trim(self) -> None:
         """Call between batches: rows move, so indexes from before are void."""
-        if len(self.index) <= self.cap:
+        if len(self.index) <= self.cap and not self.long:
             return
-        keep = np.argsort(-self.hits[: self.n], kind="stable")[: self.cap // 2]
-        place = np.full(self.n, -1, dtype=np.int64)
+        whole = len(self.index) <= self.cap
+        keep = np.arange(self.n) if whole else np.argsort(-self.hits[: self.n], kind="stable")[: self.cap // 2]
+        place = np.full(self.n + 1, -1, dtype=np.int64)
         place[keep] = np.arange(len(keep))
-        self.index = {t: int(place[i]) for t, i in self.index.items() if i >= 0 and place[i] >= 0}
+        self.index = {t: int(place[i]) for t, i in self.index.items() if i >= 0 and place[i] >= 0 and len(t) < LONG}
         log, hits = self.log[keep], self.hits[keep] // 2
-        self.log = np.zeros((self.cap * 2, log.shape[1]), dtype=np.float32)
-        self.hits = np.zeros(self.cap * 2, dtype=np.int64)
-        self.log[: len(keep)], self.hits[: len(keep)], self.n = log, hits, len(keep)
+        self.log = np.zeros((max(self.cap, len(keep)), log.shape[1]), dtype=np.float32)
+        self.hits = np.zeros(len(self.log), dtype=np.int64)
+        self.log[: len(keep)], self.hits[: len(keep)], self.n, self.long = log, hits, len(keep), False
 
 
 def forward_backward(model: Model, potential: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Operator 1, language ID: a linear-chain CRF labels every word of a (code-switched) text; shares decide the document.
 
 Defined results: null text, no letter -> `und`, score 0, no spans. Ties between languages go to the first in order.
-Rows repeat or ids are null: each row is labelled alone. Columns with other names pass by unread.
+Rows repeat or ids are null: each row is labelled alone. Columns with other names pass by unread. A text of any length is
+labelled whole; a stretch of letters without white space is one word, whatever its length.
 An empty table, or one without a label to learn from, gives `und` for every row.
 """
 
@@ -13,13 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import crf, words
 from .common import fold_of, freed, held_out, hold, map_arrow
 
-SAMPLE_PER_LANG = 1200  #: training documents for each language, chosen by a hash of the id
-SAMPLE_WORDS = 120  #: words in a row that one of them gives
+SAMPLE_PER_LANG = 600  #: training documents for each language, chosen by a hash of the id, each whole
 SEQUENCES, LENGTH = 2400, 40
 LEAST_SCORE = 0.4  #: the pipeline rejects documents of which no language holds this share
 
 
-
 def sample(documents: DataFrame, quota: int = SAMPLE_PER_LANG) -> DataFrame:
     """Labelled rows to learn from, about `quota` a language (all, if fewer): (doc_id, lang, words)."""
     may = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -32,10 +31,9 @@ def sample(documents: DataFrame, quota: int = SAMPLE_PER_LANG) -> DataFrame:
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
 
     def take(c):
-        found = [words.window(d, [w for t in words.tokens_of(x) if (w := words.word_of(t))], SAMPLE_WORDS) for d, x in zip(c["doc_id"], c["text"])]
-        return {"doc_id": c["doc_id"], "lang": c["lang"], "words": [" ".join(w) for w in found]}
+        return {"doc_id": c["doc_id"], "lang": c["lang"], "words": [" ".join(words.words_of(x)) for x in c["text"]]}
 
-    return map_arrow(may.where(draw < share), take, "doc_id long, lang string, words string").where("words <> ''").limit(2 * quota * len(counts))
+    return map_arrow(may.where((draw < share) & (F.length("text") <= words.TRAINING_CHARACTERS)), take, "doc_id long, lang string, words string").where("words <> ''").limit(2 * quota * len(counts))
 
 
 def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> crf.Model | None:
@@ -69,7 +67,9 @@ def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> crf.Model | None:
 
 def learned(spark: SparkSession, documents: DataFrame) -> crf.Model | None:
     rows = sorted((r["doc_id"], r["lang"], r["words"]) for r in sample(documents).collect())
-    model = fit([(lang, w.split()) for _, lang, w in rows])
+    known: dict[str, str] = {}
+    model = fit([(lang, [known.setdefault(x, x) for x in w.split()]) for _, lang, w in rows])
+    del rows, known
     freed()  # the driver's memory of the training
     return model
 
@@ -100,7 +100,7 @@ def label_texts(table: crf.WordTable, texts: list[str | None]) -> list[tuple[str
     """(language, its share of the text, words, switches between words) of each text."""
     out = [("und", 0.0, 0, 0)] * len(texts)
     names = table.model.labels
-    for i, _, p in words.marginals_of(table, texts):
+    for i, _, p, _ in words.marginals_of(table, texts):
         share = p.mean(axis=0)
         best = int(share.argmax())
         tags = p.argmax(axis=1)
@@ -111,7 +111,7 @@ def label_texts(table: crf.WordTable, texts: list[str | None]) -> list[tuple[str
 def spans(table: crf.WordTable, text: str) -> list[tuple[int, int, str]]:
     """Stretches of one language: (start, end, language), in characters."""
     places, out = words.token_spans(text), []
-    for _, at, p in words.marginals_of(table, [text]):
+    for _, at, p, _ in words.marginals_of(table, [text]):
         for j, k in zip(at, p.argmax(axis=1)):
             a, b = places[j]
             name = table.model.labels[k]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annjoin, codec, htmlmain, langid, mixing, neardup, sharding, tokcount, toxicity, webp
+from . import annjoin, codec, htmlmain, langid, media, mixing, neardup, sharding, tokcount, toxicity
 from .common import table
 
 
@@ -45,7 +45,7 @@ def op8_block_matrix_join(spark, sf_dir):
 
 
 def op9_lossless_webp(spark, sf_dir):
-    return webp.media(table(spark, sf_dir, "documents"))
+    return media.media(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark, sf_dir):

@@ -1,33 +1,18 @@
-"""Operator 9, media columns: lossless WebP (VP8L).
+"""Lossless WebP (VP8L), the format of operator 9 (`media.py`).
 
 `decode` reads any lossless stream: prefix codes (simple and normal, one group or many), back-references with the near
 distance map, the colour cache, and the inverse predictor, cross-colour, subtract-green and palette transforms; it gives
-an array of height x width pixels of alpha, red, green, blue. `encode` writes such streams with any of these features.
-
-A payload of bytes is stored as the green samples of an image, one byte a pixel, under a prefix code of its own
-(`pack`); red, blue and alpha have codes of one symbol, which take no bits. Streams of that shape are decoded many at a
-time: each step reads the next symbol of every image of a batch (`unpack`); all others go through `decode`.
-
-Defined results: null text counts as empty: 64 zero bytes. Repeated texts give equal values; other columns pass by
-unread. A payload of over 2**28 bytes becomes several images in a row.
+an array of height x width pixels of alpha, red, green, blue. `encode` writes such streams with any of these features, one
+image at a time and as it is told. `media.py` does both for many images at once.
 """
 
 from __future__ import annotations
 
-import hashlib
-import heapq
-import zlib
+from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
-
-from .common import map_arrow, slices
 
-UNIT = 64  #: payloads are multiples of this
-MOST_SIDE = 16384
-MOST_PAYLOAD = 1 << 28
-LIMIT = 11  #: longest prefix code that the packer writes, and width of the decoder's first table
-STEP_SAMPLES, STEP_IMAGES = 3_000_000, 2000
+LIMIT = 11  #: longest prefix code that is written
 
 #: Fixed values of the format: order in which lengths of the code-length code stand, and the near pixels (x, y) of distance codes 1 to 120.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -263,6 +248,9 @@ def predicted(mode: int, left, top, top_left, top_right):
     }[mode]()
 
 
+_BLACK = np.array([255, 0, 0, 0])
+
+
 def _neighbours(image: np.ndarray, y: int, x: int):
     """Left, top, top left, top right; right of the last column stands the row's own first pixel."""
     w = image.shape[1]
@@ -277,11 +265,32 @@ def _mode_at(image, modes, bits, y, x):
     return predicted(int(modes[y >> bits, x >> bits]), *_neighbours(image, y, x))
 
 
+_FROM_ABOVE = {2, 3, 4, 8, 9}  # modes that look at the row above only
+
+
 def undo_predictor(residual: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
-    out = residual.copy()
-    for y in range(out.shape[0]):
-        for x in range(out.shape[1]):
-            out[y, x] = (out[y, x] + _mode_at(out, modes, bits, y, x)) & 255
+    """Row by row; within a row, blocks whose mode needs no neighbour that is decoded just before go in one step."""
+    out = residual.astype(np.int64)
+    height, width = out.shape[:2]
+    out[0, 0] += _BLACK
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    for y in range(1, height):
+        out[y, 0] = (out[y, 0] + out[y - 1, 0]) & 255
+        for block in range(modes.shape[1]):
+            lo, hi = max(1, block << bits), min(width, (block + 1) << bits)
+            mode = int(modes[y >> bits, block])
+            if lo >= hi:
+                continue
+            if mode == 1:
+                out[y, lo:hi] = (out[y, lo - 1] + np.cumsum(out[y, lo:hi], axis=0)) & 255
+            elif mode == 0 or mode > 13:
+                out[y, lo:hi] = (out[y, lo:hi] + _BLACK) & 255
+            elif mode in _FROM_ABOVE:
+                above = np.concatenate([out[y - 1], out[y, :1]])  # right of the last column stands the row's own first pixel
+                out[y, lo:hi] = (out[y, lo:hi] + predicted(mode, None, above[lo:hi], above[lo - 1 : hi - 1], above[lo + 1 : hi + 1])) & 255
+            else:
+                for x in range(lo, hi):
+                    out[y, x] = (out[y, x] + predicted(mode, *_neighbours(out, y, x))) & 255
     return out
 
 
@@ -317,6 +326,17 @@ def _palette_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
+def from_palette(image: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
+    """Colours of bundled indexes; an index beyond the palette is transparent black."""
+    wide = _palette_bits(len(table))
+    x = np.arange(width)
+    each = 8 >> wide
+    index = (image[:, x >> wide, 2] >> ((x & ((1 << wide) - 1)) * each)) & ((1 << each) - 1)
+    whole = np.zeros((256, 4), dtype=np.int64)
+    whole[: len(table)] = table
+    return whole[index]
+
+
 def decode_stream(bits, width: int, height: int) -> np.ndarray:
     """The image after the header: transforms, pixels, transforms undone."""
     undo, seen, coded = [], set(), width
@@ -346,13 +366,7 @@ def decode_stream(bits, width: int, height: int) -> np.ndarray:
             image[..., 1] = (image[..., 1] + image[..., 2]) & 255
             image[..., 3] = (image[..., 3] + image[..., 2]) & 255
         else:
-            wide = _palette_bits(len(data))
-            x = np.arange(size)
-            each = 8 >> wide
-            index = (image[:, x >> wide, 2] >> ((x & ((1 << wide) - 1)) * each)) & ((1 << each) - 1)
-            table = np.zeros((256, 4), dtype=np.int64)
-            table[: len(data)] = data
-            image = table[index]
+            image = from_palette(image, data, size)
     return image
 
 
@@ -393,30 +407,43 @@ class Writer:
         self.at += n
 
 
-def code_lengths(counts: list[int], limit: int = LIMIT) -> list[int]:
-    """Huffman code lengths of at most `limit`; counts are flattened until they fit."""
-    out = [0] * len(counts)
-    used = [i for i, c in enumerate(counts) if c]
+def code_lengths(counts, limit: int = LIMIT) -> list[int]:
+    """Huffman code lengths of at most `limit`; counts are flattened until they fit.
+
+    Symbols by count and merged nodes by the order of merging are both sorted, so the next two are at the two heads.
+    """
+    counts = np.asarray(counts)
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), dtype=np.int64)
     if len(used) == 1:
-        out[used[0]] = 1
-    while len(used) > 1:
-        heap = [(counts[s], s) for s in used]
-        heapq.heapify(heap)
-        parent, nxt = {}, len(counts)
-        while len(heap) > 1:
-            (a, x), (b, y) = heapq.heappop(heap), heap[0]
-            parent[x] = parent[y] = nxt
-            heapq.heapreplace(heap, (a + b, nxt))
-            nxt += 1
-        depth = {nxt - 1: 0}
-        for node in range(nxt - 2, len(counts) - 1, -1):
-            depth[node] = depth[parent[node]] + 1
-        for s in used:
-            out[s] = depth[parent[s]] + 1
-        if max(out) <= limit:
-            break
-        counts = [(c + 1) // 2 if c else 0 for c in counts]
-    return out
+        out[used] = 1
+    if len(used) < 2:
+        return out.tolist()
+    order = used[np.argsort(counts[used], kind="stable")]
+    weights = counts[order].tolist()
+    n = len(weights)
+    while True:
+        nodes, parent = weights + [0] * (n - 1), [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner >= made or nodes[leaf] <= nodes[inner]):
+                    total += nodes[leaf]
+                    parent[leaf] = made
+                    leaf += 1
+                else:
+                    total += nodes[inner]
+                    parent[inner] = made
+                    inner += 1
+            nodes[made] = total
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[:n]) <= limit:
+            out[order] = depth[:n]
+            return out.tolist()
+        weights = [(w + 1) // 2 for w in weights]
 
 
 def codes_of(lengths) -> np.ndarray:
@@ -444,20 +471,23 @@ def write_lengths(w: Writer, lengths: list[int]) -> None:
         if len(used) == 2:
             w.write(used[1], 8)
         return
-    steps, i, end = [], 0, max(used) + 1
-    while i < end:
-        n = 1
-        while i + n < end and lengths[i + n] == lengths[i]:
-            n += 1
-        if lengths[i] == 0 and n >= 3:
-            n = min(n, 138)
-            steps.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
-        elif lengths[i] and n >= 4:
-            n = min(n, 7)
-            steps += [(lengths[i], 0, 0), (16, n - 4, 2)]
-        else:
-            steps += [(lengths[i], 0, 0)] * n
-        i += n
+    steps, place = [], 0  # symbol, extra value, its bits
+    for own, run in groupby(lengths[: used[-1] + 1]):
+        n = len(list(run))
+        place += n
+        if own == 0:
+            while n > 2:
+                part = min(n, 138)
+                steps.append((17, part - 3, 3) if part <= 10 else (18, part - 11, 7))
+                n -= part
+        elif n > 3:
+            steps.append((own, 0, 0))
+            n -= 1
+            while n > 2:
+                part = min(n, 6)
+                steps.append((16, part - 3, 2))
+                n -= part
+        steps += [(own, 0, 0)] * n
     counts = [0] * 19
     for s, _, _ in steps:
         counts[s] += 1
@@ -473,11 +503,12 @@ def write_lengths(w: Writer, lengths: list[int]) -> None:
     nbits = max(2, (len(steps) - 2).bit_length() + 1 & ~1)
     w.write((nbits - 2) // 2, 3)
     w.write(len(steps) - 2, nbits)
-    single = sum(1 for n in first if n) == 1
+    sizes = first if sum(1 for n in first if n) > 1 else [0] * 19
+    value = at = 0
     for s, extra, n in steps:
-        if not single:
-            w.write(own[s], first[s])
-        w.write(extra, n)
+        value |= (own[s] | extra << sizes[s]) << at
+        at += sizes[s] + n
+    w.write(value, at)
 
 
 def _file(chunk: bytes) -> bytes:
@@ -610,192 +641,3 @@ def encode(image: np.ndarray, predictor: tuple | None = None, cross: tuple | Non
     w.write(0, 1)
     _write_image(w, _numbers(out), coded, True, cache_bits, copies, group_bits)
     return _file(_head(width, height) + w.value.to_bytes((w.at + 7) // 8, "little"))
-
-
-def shape_of(size: int) -> tuple[int, int]:
-    """Width and height of the image of a payload: 64 wide while that is not too high."""
-    units = size // UNIT
-    across = -(-units // MOST_SIDE)
-    return UNIT * across, -(-units // across)
-
-
-def pack(payloads: list[np.ndarray]) -> list[bytes]:
-    """A WebP file of each payload (bytes, a positive multiple of 64 up to 2**28)."""
-    heads, tables_code, tables_size, starts, sizes = [], [], [], [], []
-    word = 0
-    shapes = [shape_of(len(p)) for p in payloads]
-    samples = [p if w * h == len(p) else np.concatenate([p, np.zeros(w * h - len(p), dtype=np.uint8)]) for p, (w, h) in zip(payloads, shapes)]
-    for p in samples:
-        counts = np.bincount(p, minlength=280)
-        lengths = code_lengths(counts.tolist())
-        w = Writer()
-        w.write(0, 3)  # no transform, no colour cache, one group of codes
-        write_lengths(w, lengths)
-        for only in (0, 0, 255, 0):  # red, blue, alpha, distance
-            write_lengths(w, [int(s == only) for s in range(256)])
-        size = np.array(lengths[:256], dtype=np.int64)
-        if (size > 0).sum() == 1:
-            size[:] = 0
-        heads.append(w)
-        tables_code.append(codes_of(lengths)[:256])
-        tables_size.append(size)
-        starts.append(word * 32 + w.at)
-        sizes.append(w.at + int((counts[:256] * size).sum()))
-        word += -(-sizes[-1] // 32) + 1
-    flat = np.concatenate(samples)
-    lengths_of = np.array([len(s) for s in samples])
-    owner = np.repeat(np.arange(len(samples)) << 8, lengths_of) | flat
-    size = np.concatenate(tables_size)[owner]
-    value = np.concatenate(tables_code)[owner]
-    ends = np.cumsum(size)
-    begin = np.cumsum(lengths_of) - lengths_of
-    base = np.array(starts) - np.where(begin > 0, ends[begin - 1], 0)
-    at = ends - size + np.repeat(base, lengths_of)
-    sums = np.bincount(at >> 5, weights=(value << (at & 31)).astype(np.float64), minlength=word + 1).astype(np.int64)  # bits don't meet, so sums are exact
-    words = sums & 0xFFFFFFFF
-    words[1:] |= sums[:-1] >> 32
-    stream = words.astype("<u4").tobytes()
-    out = []
-    place = 0
-    for (w, h), head, bits in zip(shapes, heads, sizes):
-        body = bytearray(stream[4 * place : 4 * place + (bits + 7) // 8])
-        n = (head.at + 7) // 8
-        body[:n] = (int.from_bytes(body[:n], "little") | head.value).to_bytes(n, "little")
-        out.append(_file(_head(w, h) + bytes(body)))
-        place += -(-bits // 32) + 1
-    return out
-
-
-def _plain_code(chunk: bytes):
-    """(green lengths, first data bit) if the stream is one of literal green samples only, else None."""
-    bits = Window(chunk, 40)
-    if bits.read(3):
-        return None
-    green = read_lengths(bits, 280)
-    if any(green[256:]) or max(green) > LIMIT:
-        return None
-    for want, size in ((0, 256), (0, 256), (255, 256), (0, 40)):
-        got = read_lengths(bits, size)
-        if not got[min(want, size - 1)] or sum(1 for n in got if n) != 1:
-            return None
-    return green, bits.at
-
-
-def unpack(files: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The payloads of pack(), each of its size. Many plain streams are read in step, others one at a time."""
-    out: list = [None] * len(files)
-    plain = []
-    for i, f in enumerate(files):
-        chunk = _chunk(f)
-        width, height = _sides(chunk)
-        code = _plain_code(chunk)
-        if code is None:
-            out[i] = decode(f)[..., 2].reshape(-1)[: sizes[i]]
-        else:
-            plain.append((width * height, i, chunk, *code))
-    plain.sort(key=lambda x: (-x[0], x[1]))
-    if not plain:
-        return out
-    counts = np.array([p[0] for p in plain])
-    steps = int(counts[0])
-    live = np.searchsorted(-counts, -np.arange(steps), side="left").tolist()
-    tables = np.concatenate([code_table(p[3], LIMIT) for p in plain])
-    stream = np.frombuffer(b"".join(p[2] for p in plain) + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
-    window = stream[:-3] | stream[1:-2] << np.uint32(8) | stream[2:-1] << np.uint32(16) | stream[3:] << np.uint32(24)
-    length = np.array([len(p[2]) for p in plain])
-    first = np.cumsum(length) - length
-    at = first * 8 + np.array([p[4] for p in plain])
-    base = np.arange(len(plain)) << LIMIT
-    got = np.empty(int(counts.sum()), dtype=np.uint8)
-    o = 0
-    for t in range(steps):
-        k = live[t]
-        if k < len(at):
-            at, base = at[:k], base[:k]
-        e = tables[base + (window[at >> 3] >> (at & 7) & ((1 << LIMIT) - 1))]
-        got[o : o + k] = e >> 4
-        at = at + (e & 15)
-        o += k
-    offsets = np.concatenate([[0], np.cumsum(live)[:-1]])
-    for j, (n, i, chunk, *_) in enumerate(plain):
-        out[i] = got[offsets[:n] + j][: sizes[i]]
-    return out
-
-
-def payload_of(text: str | None) -> tuple[bytes, int]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return raw + b"\0" * (-len(raw) % UNIT or (0 if raw else UNIT)), len(raw)
-
-
-def feature_of(payload: np.ndarray, counts: np.ndarray) -> str:
-    """Mean, deviation and entropy of the samples, and the mean step between neighbours in a row and in a column."""
-    n = len(payload)
-    p = counts[counts > 0] / n
-    values = np.arange(256)
-    mean = float((counts * values).sum() / n)
-    spread = float(np.sqrt(max(0.0, (counts * values * values).sum() / n - mean * mean)))
-    grid = payload.reshape(-1, UNIT).astype(np.int16)
-    across = float(np.abs(np.diff(grid, axis=1)).mean())
-    down = float(np.abs(np.diff(grid, axis=0)).mean()) if len(grid) > 1 else 0.0
-    return f"mean={mean:.4f};dev={spread:.4f};entropy={max(0.0, float(-(p * np.log2(p)).sum())):.4f};across={across:.4f};down={down:.4f}"
-
-
-def store(texts: list[str | None]) -> list[tuple[bytes, int, int]]:
-    """(stored form, bytes of the text, bytes of the payload) of each text."""
-    out: list = [None] * len(texts)
-    made = [payload_of(t) for t in texts]
-    for lo, hi in slices([len(p) + STEP_SAMPLES // STEP_IMAGES for p, _ in made], STEP_SAMPLES):
-        parts = [(i, np.frombuffer(made[i][0][k : k + MOST_PAYLOAD], dtype=np.uint8)) for i in range(lo, hi) for k in range(0, len(made[i][0]), MOST_PAYLOAD)]
-        files: dict[int, list[bytes]] = {}
-        for (i, _), f in zip(parts, pack([p for _, p in parts])):
-            files.setdefault(i, []).append(f)
-        for i, f in files.items():
-            out[i] = (b"".join(f), made[i][1], len(made[i][0]))
-    return out
-
-
-def _files(stored: bytes) -> list[bytes]:
-    out = []
-    while stored:
-        size = 8 + int.from_bytes(stored[4:8], "little")
-        out.append(stored[:size])
-        stored = stored[size:]
-    return out
-
-
-def load(stored: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The payloads of store(), from the stored bytes and the payloads' sizes."""
-    out: list = [None] * len(stored)
-    order = sorted(range(len(stored)), key=lambda i: -sizes[i])
-    for lo, hi in slices([sizes[i] + STEP_SAMPLES // STEP_IMAGES for i in order], STEP_SAMPLES):
-        parts = []
-        for i in order[lo:hi]:
-            files = _files(stored[i])
-            parts += [(i, f, min(MOST_PAYLOAD, sizes[i] - k * MOST_PAYLOAD)) for k, f in enumerate(files)]
-        joined: dict[int, list] = {}
-        for (i, _, _), p in zip(parts, unpack([f for _, f, _ in parts], [n for _, _, n in parts])):
-            joined.setdefault(i, []).append(p)
-        for i, p in joined.items():
-            out[i] = p[0] if len(p) == 1 else np.concatenate(p)
-    return out
-
-
-def media(documents: DataFrame) -> DataFrame:
-    """Stores every text, reads the stored bytes back and describes them."""
-
-    def run(c):
-        stored = store(c["text"])
-        back = load([s for s, _, _ in stored], [n for _, _, n in stored])
-        raw = [p.tobytes() for p in back]
-        return {
-            "doc_id": c["doc_id"],
-            "n_bytes": [n for _, n, _ in stored],
-            "payload_bytes": list(map(len, raw)),
-            "payload_sha256": [hashlib.sha256(p).hexdigest() for p in raw],
-            "tail_crc32": [zlib.crc32(p[-UNIT:]) for p in raw],
-            "media_bytes": [len(s) for s, _, _ in stored],
-            "media_sha256": [hashlib.sha256(s).hexdigest() for s, _, _ in stored],
-            "feature": [feature_of(p, np.bincount(p, minlength=256)) for p in back],
-        }
-
-    return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -12,15 +12,13 @@ from .common import slices
 _RUNS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}|#$%&*-_"
-STEP_WORDS = 600_000  #: words of one forward-backward call, unless one text alone has more
+STEP_WORDS = 250_000  #: words of one forward-backward call, unless one text alone has more
+TRAINING_CHARACTERS = 200_000  #: longer texts aren't drawn to learn from
 
 
 def tokens_of(text: str | None) -> list[str]:
-    """Tokens between white space; one longer than a feature window is cut into pieces, so that no part goes unseen."""
-    out = (text or "").split()
-    if out and max(map(len, out)) > crf.LONGEST:
-        out = [t[i : i + crf.LONGEST] for t in out for i in range(0, len(t), crf.LONGEST)]
-    return out
+    """Tokens between white space."""
+    return (text or "").split()
 
 
 def word_of(token: str) -> str:
@@ -31,22 +29,13 @@ def word_of(token: str) -> str:
     return bare.lower() if bare.isalpha() else "".join(_RUNS.findall(token)).lower()
 
 
-def token_spans(text: str) -> list[tuple[int, int]]:
-    """Offsets of tokens_of(text)."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        out += [(i, min(i + crf.LONGEST, m.end())) for i in range(m.start(), m.end(), crf.LONGEST)]
-    return out
-
+def words_of(text: str | None) -> list[str]:
+    return [w for t in tokens_of(text) if (w := word_of(t))]
 
-def window(doc_id, words: list[str], most: int) -> list[str]:
-    """For training samples only: `most` words in a row, from a place that the id decides."""
-    import zlib
 
-    if len(words) <= most:
-        return words
-    start = zlib.crc32(f"w{doc_id}".encode()) % (len(words) - most + 1)
-    return words[start : start + most]
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Offsets of tokens_of(text)."""
+    return [m.span() for m in _TOKEN.finditer(text)]
 
 
 def _coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -56,22 +45,18 @@ def _coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
     parts = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], type=pa.large_string()))
     flat = parts.flatten()
-    if len(flat) and pc.max(pc.utf8_length(flat)).as_py() > crf.LONGEST:
-        lists = list(map(tokens_of, texts))
-        counts, flat = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)), pa.array([t for p in lists for t in p], type=pa.large_string())
-    else:
-        counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-        empty = pc.equal(flat, "")  # before leading and after trailing white space
-        if pc.any(empty).as_py():
-            gone = empty.to_numpy(zero_copy_only=False)
-            counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[gone], minlength=len(counts))
-            flat = flat.filter(pc.invert(empty))
+    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    empty = pc.equal(flat, "")  # before leading and after trailing white space
+    if pc.any(empty).as_py():
+        gone = empty.to_numpy(zero_copy_only=False)
+        counts = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[gone], minlength=len(counts))
+        flat = flat.filter(pc.invert(empty))
     coded = flat.dictionary_encode()
     return counts.astype(np.int64), coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
 def marginals_of(table: crf.WordTable, texts: list[str | None]):
-    """Yields (index of the text, its token positions that take part, marginals) for each text with a word.
+    """Yields (index of the text, its token positions that take part, marginals, log partition) for each text with a word.
 
     Texts go in order of length, so that those that advance together are about as long.
     """
@@ -89,9 +74,9 @@ def marginals_of(table: crf.WordTable, texts: list[str | None]):
         owner = np.repeat(np.arange(len(counts)), counts)[kept]
         lengths = np.bincount(owner, minlength=len(counts))
         some = np.flatnonzero(lengths)
-        marginals, _ = crf.forward_backward(table.model, table.log[rows[kept]], lengths[some])
+        marginals, log_z = crf.forward_backward(table.model, table.log[rows[kept]], lengths[some])
         first = np.cumsum(counts) - counts
         ends = np.cumsum(lengths[some])
-        for j, end in zip(some, ends):
+        for j, end, z in zip(some, ends, log_z.tolist()):
             own = slice(end - lengths[j], end)
-            yield order[lo + j], kept[own] - first[j], marginals[own]
+            yield order[lo + j], kept[own] - first[j], marginals[own], z

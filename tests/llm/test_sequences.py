@@ -132,3 +132,102 @@ def test_toxicity_table(spark):
     assert [r.predicted for r in out if r.doc_id in (None, 901)] == [0, 0]
     assert toxicity.detect(spark, df.limit(0), labels).count() == 0
     assert {r.score for r in toxicity.detect(spark, df, labels.limit(0)).collect()} == {0.0}
+
+
+def paths(model, tokens):
+    """(weight, labels) of every labelling of words."""
+    e = [crf.potentials(model, [w])[0].astype(float) for w in tokens]
+    for path in itertools.product(range(len(model.labels)), repeat=len(tokens)):
+        yield np.exp(model.start[path[0]] + sum(e[t][k] for t, k in enumerate(path)) + sum(model.transitions[a, b] for a, b in zip(path, path[1:]))), path
+
+
+def test_language_by_enumeration(language):
+    r = random.Random(10)
+    table = crf.WordTable(language, words.word_of)
+    for _ in range(20):
+        t = text(r.choice(list(SYLLABLES)), r.randint(1, 3), r) + " " + text(r.choice(list(SYLLABLES)), r.randint(1, 3), r)
+        tokens = words.words_of(t)
+        shares, total = np.zeros(len(language.labels)), 0.0
+        for w, path in paths(language, tokens):
+            total += w
+            shares += w * np.bincount(path, minlength=len(shares)) / len(tokens)
+        got = langid.label_texts(table, [t])[0]
+        assert got[0] == language.labels[int(shares.argmax())] and np.isclose(got[1], shares.max() / total, atol=1e-4) and got[2] == len(tokens)
+
+
+def test_toxicity_by_enumeration():
+    model = toxicity.fit([(y, words.words_of(t)) for _, t, _, y in _documents(300, 11)])
+    table = crf.WordTable(model, words.word_of)
+    r = random.Random(12)
+    for _ in range(30):
+        t = " ".join(r.choice(["Dolt,", "vexora", "vexomi", "then 12", "schun", "grub.", text("aa", 1, r)]) for _ in range(r.randint(1, 6)))
+        tokens = words.words_of(t)
+        clean, total, marks = 0.0, 0.0, np.zeros(len(tokens))
+        for w, path in paths(model, tokens):
+            total += w
+            clean += w * (not any(path))
+            marks += w * np.array(path)
+        score, spans = toxicity.score_texts(table, [t])[0]
+        assert np.isclose(score, 1 - clean / total, atol=1e-4)
+        places = [p for p in words.token_spans(t) if words.word_of(t[slice(*p)])]
+        sure = np.abs(marks / total - 0.5) > 1e-3
+        assert {p for p, m, s in zip(places, marks / total >= 0.5, sure) if m and s} <= set(spans) <= {p for p, m, s in zip(places, marks / total >= 0.5, sure) if m or not s}
+
+
+def test_expected_counts_by_enumeration():
+    """What training takes from chains: marginals, pairs, first words and the chance of the all-clean path."""
+    rng = np.random.default_rng(13)
+    odds, start, trans = rng.normal(size=(3, 5)), rng.normal(size=2), rng.normal(size=(2, 2))
+    real = np.arange(5) < np.array([[5], [3], [1]])
+    toxic, pairs, first, clean = toxicity._expected(odds, real, start, trans)
+    for i in range(3):
+        total, m, p = 0.0, np.zeros(5), np.zeros((2, 2))
+        for path in itertools.product((0, 1), repeat=5):
+            if any(k and not ok for k, ok in zip(path, real[i])):
+                continue
+            w = np.exp(start[path[0]] + sum(o for o, k in zip(odds[i], path) if k) + sum(trans[a, b] for a, b in zip(path, path[1:])))
+            total += w
+            m += w * np.array(path)
+            for a, b in zip(path, path[1:]):
+                p[a, b] += w
+        assert np.allclose(toxic[i], m / total) and np.allclose(pairs[i], p / total) and np.allclose(first[i], [1 - m[0] / total, m[0] / total])
+        assert np.isclose(clean[i], np.log(np.exp(start[0] + 4 * trans[0, 0]) / total))
+
+
+def test_long_words_are_summed_stretch_by_stretch(monkeypatch):
+    rng = np.random.default_rng(14)
+    model = crf.Model(["x", "y"], rng.normal(size=(crf.EMPTY + 1, 2)).astype(np.float32), np.zeros((2, 2)), np.zeros(2), {"ab" * 40: 1})
+    model.weights[crf.EMPTY] = 0
+    some = ["a", "ab" * 40, "c" * 63, "é" * 64, "abcdefghi" * 30]
+    whole = crf.potentials(model, some)
+    monkeypatch.setattr(crf, "LONG", 7)
+    assert np.allclose(crf.potentials(model, some), whole, atol=1e-3)
+
+
+def test_one_word_of_millions_of_letters(spark, language):
+    long = "sch" * 1_000_000
+    table = crf.WordTable(language, words.word_of)
+    assert langid.label_texts(table, [long])[0][:1] + langid.label_texts(table, [long])[0][2:] == ("bb", 1, 0)
+    assert langid.label_texts(table, [long + " " + text("aa", 200, random.Random(1))])[0][0] == "aa"  # one word, one vote
+    table.trim()
+    assert max(map(len, table.index)) < crf.LONG
+    model = toxicity.fit([(y, words.words_of(t)) for _, t, _, y in _documents(200, 15)])
+    table = crf.WordTable(model, words.word_of)
+    (clean, none), (bad, spans) = toxicity.score_texts(table, [long, long + " vexora " + text("aa", 50_000, random.Random(2))])
+    assert clean < 0.3 and not none and bad >= 0.3 and (len(long) + 1, len(long) + 7) in spans
+
+
+@pytest.mark.parametrize(("sf", "recall", "false"), [("sf0.01", 0.9, 0.02), ("sf0.1", 0.9, 0.02)])
+def test_held_out_toxicity_of_the_given_tables(spark, sf, recall, false):
+    read = lambda name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+    truth = {r.doc_id: r.toxic for r in read("labels").collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in toxicity.detect(spark, read("documents"), read("labels")).where("held_out").collect() if r.doc_id in truth]
+    assert sum(p for y, p in held if y) >= recall * sum(y for y, _ in held)
+    assert sum(p for y, p in held if not y) <= false * sum(1 - y for y, _ in held)
+
+
+def test_held_out_languages_of_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.where("lang is not null").collect()}
+    held = [r for r in langid.identify(spark, docs).where("held_out").collect() if r.doc_id in truth]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
