@@ -205,12 +205,12 @@ def _written(images: list[np.ndarray], widths: list[int], heads: list[webp.Write
     """
     batch = _Batch(images)
     pixels, n_images = batch.flat, len(images)
-    green, red = pixels >> 8 & 255, pixels >> 16 & 255
+    green, red = (pixels >> 8 & 255).astype(np.int32), (pixels >> 16 & 255).astype(np.int32) if unit_bits == 16 else None
     wide = 280 + (1 << cache_bits if cache_bits else 0)
-    symbol, kind = green, np.zeros(len(pixels), dtype=bool)  # kind: a cache index
+    symbol, kind = green, np.zeros(len(pixels) if cache_bits else 0, dtype=bool)  # kind: a cache index
     if cache_bits:
         slots, kind = _cache_hits(batch, cache_bits)
-        symbol = np.where(kind, 280 + slots, green)
+        symbol = np.where(kind, 280 + slots, green).astype(np.int32)
     plain = batch.counts(symbol, wide)
     plain_bits = _entropy(plain) + (_entropy(batch.counts(red[~kind], 256, ~kind)) if cache_bits else 0)
     units = green if unit_bits == 8 else green | red << 8
@@ -262,9 +262,10 @@ def _written(images: list[np.ndarray], widths: list[int], heads: list[webp.Write
         symbol[is_copy] = 256 + s_len
     owner = batch.owner[at]
     reds = ~is_copy & ~kind[at] if cache_bits else np.zeros(len(at), dtype=bool)
-    first_counts = np.bincount(owner * wide + symbol, minlength=n_images * wide).reshape(n_images, wide)
+    entry = owner * np.int32(wide) + symbol
+    first_counts = np.bincount(entry, minlength=n_images * wide).reshape(n_images, wide)
     far_counts = np.bincount(owner[is_copy] * 40 + s_far, minlength=n_images * 40).reshape(n_images, 40) if len(places) else np.zeros((n_images, 40), dtype=np.int64)
-    red_counts = np.bincount(owner[reds] * 256 + red[at[reds]], minlength=n_images * 256).reshape(n_images, 256)
+    red_counts = np.bincount(owner[reds] * 256 + red[at[reds]], minlength=n_images * 256).reshape(n_images, 256) if cache_bits else None
     tables = {name: (np.zeros((n_images, size), dtype=np.int64), np.zeros((n_images, size), dtype=np.int64)) for name, size in (("first", wide), ("far", 40), ("red", 256))}
     for i, w in enumerate(heads):
         w.write(0, 1)
@@ -285,7 +286,7 @@ def _written(images: list[np.ndarray], widths: list[int], heads: list[webp.Write
                 tables[name][0][i] = webp.codes_of(sizes)
                 tables[name][1][i] = sizes
     value, size = np.zeros((len(at), 3), dtype=np.int64), np.zeros((len(at), 3), dtype=np.int64)
-    value[:, 0], size[:, 0] = tables["first"][0][owner, symbol], tables["first"][1][owner, symbol]
+    value[:, 0], size[:, 0] = (t.reshape(-1).take(entry) for t in tables["first"])
     if reds.any():
         value[reds, 1], size[reds, 1] = tables["red"][0][owner[reds], red[at[reds]]], tables["red"][1][owner[reds], red[at[reds]]]
     if len(places):
@@ -386,7 +387,7 @@ def _residual(samples: np.ndarray, width: int, mode: int) -> np.ndarray:
     out[0, 1:] -= grid[0, :-1]
     out[1:, 0] -= grid[:-1, 0]
     out[1:, 1:] -= grid[1:, :-1] if mode == 1 else grid[:-1, 1:]
-    return (out & 255).reshape(-1)
+    return (out & 255).reshape(-1).astype(np.uint32)
 
 
 def pack(payloads: list[np.ndarray], forms: list[str] | None = None) -> list[tuple[str, bytes]]:
@@ -395,11 +396,11 @@ def pack(payloads: list[np.ndarray], forms: list[str] | None = None) -> list[tup
     samples = [p if w * h == len(p) else np.concatenate([p, np.zeros(w * h - len(p), dtype=np.uint8)]) for p, (w, h) in zip(payloads, shapes)]
     forms = forms or _form_of(samples, [w for w, _ in shapes])
     images, widths, heads = [], [], []
-    opaque = np.int64(255 << 24)
+    opaque = np.uint32(255 << 24)
     for p, (width, height), form in zip(samples, shapes, forms):
         w = webp.Writer()
         heads.append(w)
-        v = p.astype(np.int64)
+        v = p.astype(np.uint32)
         if form == "pairs":
             images.append(opaque | v[1::2] << 16 | v[::2] << 8)
             widths.append(width // 2)
@@ -410,11 +411,12 @@ def pack(payloads: list[np.ndarray], forms: list[str] | None = None) -> list[tup
             colours = np.unique(v)
             w.write(1 | PALETTE << 1, 3)
             w.write(len(colours) - 1, 8)
+            colours = colours.astype(np.int64)
             steps = np.diff(colours, prepend=0)
             alphas = np.append(255, np.zeros(len(colours) - 1, dtype=np.int64))
             webp._write_image(w, (alphas << 24 | steps * 0x010101).tolist(), len(colours), False, copies=False)
             bundled = _bundled(np.searchsorted(colours, v), width, len(colours))
-            images.append(opaque | bundled << 8)
+            images.append(opaque | bundled.astype(np.uint32) << 8)
             widths.append(webp._rounded(width, webp._palette_bits(len(colours))))
         else:
             if form in ("left", "top"):
@@ -422,7 +424,7 @@ def pack(payloads: list[np.ndarray], forms: list[str] | None = None) -> list[tup
                 w.write(1 | PREDICTOR << 1, 3)
                 w.write(WIDEST - 2, 3)
                 w.write(*_constant(255, 0, mode, 0))
-                v, alpha = _residual(p, width, mode), 0
+                v, alpha = _residual(p, width, mode), np.uint32(0)
             else:
                 alpha = opaque
             w.write(1 | CROSS_COLOUR << 1, 3)
@@ -673,14 +675,14 @@ def _undone(image: _Parsed, pixels: np.ndarray) -> np.ndarray:
 
 def _uncrossed(images: list[_Parsed], pixels: list[np.ndarray]) -> list[np.ndarray]:
     """_undone() of images whose one transform is cross-colour of one element each, all at once."""
-    element = np.array([p.transforms[0][1].reshape(-1, 4)[0] for p in images])
-    whole = np.concatenate(pixels).astype(np.int64)
-    e = ((element ^ 128) - 128)[np.repeat(np.arange(len(images)), [len(p) for p in pixels])]
-    signed = lambda c: (c ^ 128) - 128
-    green = whole >> 8 & 255
-    red = ((whole >> 16) + (e[:, 3] * signed(green) >> 5)) & 255
-    blue = (whole + (e[:, 2] * signed(green) >> 5) + (e[:, 1] * signed(red) >> 5)) & 255
-    out = np.stack([whole >> 24, red, green, blue], axis=-1)
+    element = ((np.array([p.transforms[0][1].reshape(-1, 4)[0] for p in images]) ^ 128) - 128).astype(np.int16)
+    e = element[np.repeat(np.arange(len(images)), [len(p) for p in pixels])]
+    bytes_of = np.concatenate(pixels).astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)  # blue, green, red, alpha
+    step = lambda t, c: (t * c.view(np.int8) >> 5).astype(np.uint8)  # noqa: E731  bytes wrap, as the format has it
+    green = np.ascontiguousarray(bytes_of[:, 1])
+    red = bytes_of[:, 2] + step(e[:, 3], green)
+    blue = bytes_of[:, 0] + step(e[:, 2], green) + step(e[:, 1], red)
+    out = np.stack([bytes_of[:, 3], red, green, blue], axis=-1)
     ends = np.cumsum([len(p) for p in pixels])[:-1]
     return [x.reshape(-1, p.width, 4) for x, p in zip(np.split(out, ends), images)]
 
@@ -717,17 +719,25 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (-len(raw) % UNIT or (0 if raw else UNIT)), len(raw)
 
 
-def feature_of(payload: np.ndarray, counts: np.ndarray) -> str:
-    """Mean, deviation and entropy of the samples, and the mean step between neighbours in a row and in a column."""
-    n = len(payload)
-    p = counts[counts > 0] / n
+def features_of(payloads: list[np.ndarray]) -> list[str]:
+    """Mean, deviation and entropy of each payload's samples, and the mean step between neighbours in a row and in a column."""
+    batch = _Batch(payloads)
+    flat, n = batch.flat, batch.sizes
+    counts = batch.counts(flat, 256)
     values = np.arange(256)
-    mean = float((counts * values).sum() / n)
-    spread = float(np.sqrt(max(0.0, (counts * values * values).sum() / n - mean * mean)))
-    grid = payload.reshape(-1, UNIT).astype(np.int16)
-    across = float(np.abs(np.diff(grid, axis=1)).mean())
-    down = float(np.abs(np.diff(grid, axis=0)).mean()) if len(grid) > 1 else 0.0
-    return f"mean={mean:.4f};dev={spread:.4f};entropy={max(0.0, float(-(p * np.log2(p)).sum())):.4f};across={across:.4f};down={down:.4f}"
+    mean = counts @ values / n
+    spread = np.sqrt(np.maximum(0.0, counts @ (values * values) / n - mean * mean))
+    p = counts / n[:, None]
+    entropy = np.maximum(0.0, -(p * np.log2(np.where(p > 0, p, 1.0))).sum(axis=1))
+    rows = flat.reshape(-1, UNIT)
+    per_row = np.abs(np.diff(rows.astype(np.int16), axis=1)).sum(axis=1, dtype=np.int64)
+    first = batch.starts // UNIT
+    across = np.add.reduceat(per_row, first) / (n // UNIT * (UNIT - 1))
+    under = np.zeros(len(rows), dtype=np.int64)
+    under[1:] = np.abs(np.diff(rows.astype(np.int16), axis=0)).sum(axis=1, dtype=np.int64)
+    under[first] = 0
+    down = np.add.reduceat(under, first) / np.maximum(1, n - UNIT)
+    return [f"mean={a:.4f};dev={b:.4f};entropy={c:.4f};across={d:.4f};down={e:.4f}" for a, b, c, d, e in zip(mean, spread, entropy, across, down)]
 
 
 def store(texts: list[str | None]) -> list[tuple[bytes, int, int, str]]:
@@ -785,7 +795,7 @@ def media(documents: DataFrame) -> DataFrame:
             "tail_crc32": [zlib.crc32(p[-UNIT:]) for p in raw],
             "media_bytes": [len(s) for s, _, _, _ in stored],
             "media_sha256": [hashlib.sha256(s).hexdigest() for s, _, _, _ in stored],
-            "feature": [feature_of(p, np.bincount(p, minlength=256)) for p in back],
+            "feature": [f for lo, hi in slices(list(map(len, back)), PIXELS) for f in features_of(back[lo:hi])],
             "form": [f for _, _, _, f in stored],
         }
 

@@ -40,8 +40,11 @@ class Bits:
     def __init__(self, data: bytes):
         self.value, self.size, self.at = int.from_bytes(data, "little"), 8 * len(data), 0
 
+    def peek(self, n: int) -> int:
+        return (self.value >> self.at) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
-        got = (self.value >> self.at) & ((1 << n) - 1)
+        got = self.peek(n)
         self.at += n
         if self.at > self.size:
             raise Corrupt("the stream ends early")
@@ -128,20 +131,36 @@ def read_lengths(bits, alphabet: int) -> list[int]:
         first[LENGTH_ORDER[k]] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     code, at, before = Code(first), 0, 8
+    table, mask, single = code.table, (1 << code.width) - 1, code.single
+    place, base, value = bits.at, -1 << 20, 0  # bits are read here, without a call for each
     while at < alphabet and left > 0:
         left -= 1
-        s = code.read(bits)
+        if place - base > 1024:
+            bits.at = base = place
+            value = bits.peek(1024 + 32)
+        v = value >> (place - base)
+        if table is None:
+            s = single
+        else:
+            s = table[v & mask]
+            place += s & 15
+            v >>= s & 15
+            s >>= 4
         if s < 16:
             out[at] = s
             at += 1
             before = s or before
             continue
-        n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+        n = 3 + (v & 3) if s == 16 else 3 + (v & 7) if s == 17 else 11 + (v & 127)
+        place += 2 if s == 16 else 3 if s == 17 else 7
         if at + n > alphabet:
             raise Corrupt("code lengths run over their alphabet")
         if s == 16:
             out[at : at + n] = [before] * n
         at += n
+    bits.at = place
+    if place > bits.size:
+        raise Corrupt("the stream ends early")
     return out
 
 
@@ -450,13 +469,12 @@ def codes_of(lengths) -> np.ndarray:
     """The bits of each symbol's code, in the order in which they are written."""
     lengths = np.asarray(lengths, dtype=np.int64)
     out = np.zeros(len(lengths), dtype=np.int64)
-    order = np.flatnonzero(lengths)
-    order = order[np.argsort(lengths[order], kind="stable")]
+    order = lengths.nonzero()[0]
     if len(order) < 2:
         return out
+    order = order[lengths[order].argsort(kind="stable")]
     spans = 1 << (15 - lengths[order])
-    first = np.cumsum(spans) - spans  # left-aligned in 15 bits
-    out[order] = _REVERSED[15][first]
+    out[order] = _REVERSED[15][spans.cumsum() - spans]  # left-aligned in 15 bits
     return out
 
 
