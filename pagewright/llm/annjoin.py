@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 K = 5
 STRIDE = 50
 QUERY_BLOCK, ROW_BLOCK = 4096, 16384  #: vectors of a tile's sides
-STEP = 1024  #: queries of a tile that are worked on at once
+MERGED = 500  #: queries whose heaps are merged together
+STEP = 256  #: queries of a tile that are worked on at once
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -39,14 +40,19 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, gap * (1 + 1e-9) + 1e-12
 
 
+def _level(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two near their largest component: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each pair of rows, in double precision; a row's value doesn't depend on the rows beside it."""
+    a, b = _level(a), _level(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
 def _units(x: np.ndarray) -> np.ndarray:
-    top = np.abs(x).max(axis=1, keepdims=True)
-    x = x / top
+    x = _level(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -123,19 +129,22 @@ def nearest(embeddings: DataFrame, k: int = K, stride: int = STRIDE) -> DataFram
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got)))
 
     tiles = queries.groupBy("dim", "qb", "rb").cogroup(cands.groupBy("row_dim", "row_qb", "row_rb")).applyInPandas(both, "query_id long, vec_id long, score double")
+
     def merge(pdf):
-        """The heaps of a query's tiles, merged. Of rows of one id with different vectors the best stands for the id."""
+        """The heaps of queries' tiles, merged. Of rows of one id with different vectors the best stands for the id."""
         import heapq
 
         import pandas as pd
 
         once: dict = {}
-        for r, x in zip(pdf["vec_id"], pdf["score"]):
-            once[r] = max(x, once.get(r, -np.inf))
-        best = heapq.nsmallest(k, ((-x, r) for r, x in once.items()))
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "rank": range(1, len(best) + 1), "vec_id": [r for _, r in best], "score": [-x for x, _ in best]})
-
-    return tiles.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+        for q, r, x in zip(pdf["query_id"].tolist(), pdf["vec_id"].tolist(), pdf["score"].tolist()):
+            own = once.setdefault(q, {})
+            own[r] = max(x, own.get(r, -np.inf))
+        rows = [(q, i + 1, r, -x) for q, own in once.items() for i, (x, r) in enumerate(heapq.nsmallest(k, ((-x, r) for r, x in own.items())))]
+        return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
+
+    together = F.pmod(F.xxhash64("query_id"), F.lit(-(-sizes["q"] // MERGED) or 1))
+    return tiles.groupBy(together).applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
 ORACLE = f"""

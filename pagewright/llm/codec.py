@@ -1,7 +1,8 @@
 """Operator 5, byte-level BPE: a backtracking encoder over Aho-Corasick longest matches, and an offset-table decoder.
 
 Defined results: null text counts as empty: no tokens. The file's added special tokens are taken out of a text first, as
-the library does by default. Repeated rows are encoded one by one; other columns pass by unread.
+the library does by default. Repeated rows are encoded one by one; null ids stay null; other columns pass by unread; an
+empty table gives an empty table. A text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Backtracking, Merges
-from .common import Memo, hold, map_arrow
+from .common import Memo, hold, local, map_arrow, shipped
 
 MEMO_BYTES = 64_000_000  #: of encoded words that a worker keeps
 FILE = "byte_bpe_50k.json"
@@ -33,6 +34,9 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        split = file.get("pre_tokenizer") or {}
+        assert file.get("normalizer") is None, "the file has a normaliser"
+        assert split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space"), "the file splits texts in another way"
         alphabet = byte_alphabet()
         model = file["model"]
         raw = lambda t: "".join(chr(alphabet[c]) for c in t)
@@ -104,8 +108,10 @@ def round_trip(documents: DataFrame, path: str, keep: list[str] | None = None) -
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", `{c}` {kinds[c]}" for c in keep)
 
+    name = shipped(documents.sparkSession, path)
+
     def run(c):
-        own = codec(path)
+        own = codec(local(name))
         out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for text in c["text"]:
             ids = own.encode_bytes(text)
@@ -121,10 +127,12 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     """All columns of documents and `ids`, an array of token ids: for writing a tokenised corpus."""
     from pyspark.sql import functions as F, types as T
 
+    name = shipped(documents.sparkSession, path)
+
     def ids(batches):
         import pandas as pd
 
-        own = codec(path)
+        own = codec(local(name))
         for texts in batches:
             yield pd.Series([own.encode(t) for t in texts])
 

@@ -92,23 +92,37 @@ def freed() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, fn, schema: str, carry: list[str] | None = None) -> DataFrame:
+def shipped(spark: SparkSession, path: str) -> str:
+    """Gives the workers a file of the driver's; returns the name under which local() finds it there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def local(name: str) -> str:
+    """On a worker: the path of a shipped() file."""
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
+def map_arrow(df: DataFrame, fn, schema: str, carry: list[str] | None = None, read: list[str] | None = None) -> DataFrame:
     """fn(dict of Python lists) -> dict of lists or arrays, over stretches of every Arrow batch of df.
 
-    carry: columns that go from input to output as they are, without becoming Python objects.
+    carry: columns that go from input to output as they are, without becoming Python objects; read: those of them that
+    fn sees nevertheless.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    carried = set(carry or ())
+    carried, seen = set(carry or ()), set(read or ())
 
     def run(batches):
         for whole in batches:
             rows = max(1, int(whole.num_rows * BATCH_BYTES / max(BATCH_BYTES, whole.nbytes)))
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                out = fn({n: batch.column(n).to_pylist() for n in batch.schema.names if n not in carried})
+                out = fn({n: batch.column(n).to_pylist() for n in batch.schema.names if n not in carried or n in seen})
                 columns = [batch.column(f.name).cast(f.type) if f.name in carried else pa.array(out[f.name], type=f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 

@@ -8,7 +8,8 @@ ancestors. So a paragraph in a dropped block can't survive, and a block with eno
 The trees are trained here on pages that this module writes itself (`sample_page`), with layouts drawn at random.
 
 Defined results: null or empty html gives an empty text. Unclosed and unknown tags, broken references and pages that end
-inside a tag are read as far as they go. Rows repeat or ids are null: each is read alone; other columns pass by unread.
+inside a tag are read as far as they go. Rows repeat or ids are null: each is read alone; other columns pass by unread; an
+empty table gives an empty table. A page of any length, depth or number of siblings is read whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -216,6 +218,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     x = np.zeros((n, FEATURES))
     bad_above, good_above, tag_bad, tag_good = (np.zeros(n) for _ in range(4))
     total = max(1.0, chars[0])
+    tags_of = [Counter(nodes[c].tag for c in v.children) if v.children else None for v in nodes]
     order = np.cumsum([len(v.text) if v.text is not None else 0 for v in nodes])
     for i, v in enumerate(nodes):
         group = _GROUP.get(v.tag, 4)
@@ -227,13 +230,13 @@ def features(nodes: list[Node]) -> np.ndarray:
             pg = _GROUP.get(nodes[p].tag, 4)
             tag_bad[i], tag_good[i] = tag_bad[p] + (pg in ABOVE_BAD), tag_good[p] + (pg in ABOVE_GOOD)
             kin = nodes[p].children
-            same = sum(nodes[c].tag == v.tag for c in kin) if len(kin) < 64 else len(kin)
+            same = tags_of[p][v.tag]
             parent_group, parent_chars, kin_n = pg, max(1.0, chars[p]), len(kin)
         else:
             same, parent_group, parent_chars, kin_n = 1, len(GROUPS), max(1.0, chars[i]), 1
         c = max(1.0, chars[i])
         x[i] = (
-            group, good, bad, min(v.depth, 20), np.log1p(chars[i]), link[i] / c, stops[i] / c, np.log1p(blocks[i]), tags[i] / c, np.log1p(longest[i]),
+            group, good, bad, v.depth, np.log1p(chars[i]), link[i] / c, stops[i] / c, np.log1p(blocks[i]), tags[i] / c, np.log1p(longest[i]),
             np.log1p(paragraphs[i]), chars[i] / parent_chars, same, kin_n, parent_group, bad_above[i], good_above[i], tag_bad[i], tag_good[i],
             order[i] / total, chars[i] / total, chars[i] / max(1.0, blocks[i]), group in ABOVE_BAD, group in ABOVE_GOOD, link[i] / max(1.0, blocks[i]),
         )

@@ -6,21 +6,21 @@ its own, so no task ever holds a whole shard. Rows that agree in all of these ar
 get consecutive slots.
 
 Defined results: null text has size 8 and checksum 0; a null id counts as key 0 and stays null. Repeated rows get slots
-of their own in the same shard; other columns are dropped; an empty table gives an empty table.
+of their own in the same shard; other columns are dropped; an empty table gives an empty table. Texts of any length.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .common import map_arrow, ranked
 
 SHARDS = 24
-BUCKETS = 4096  #: parts of a shard that are numbered apart; SHARDS * BUCKETS counts are broadcast at most
+BUCKETS = 4096  #: parts of a shard that are numbered apart
 OVERHEAD = 8
+FEW_BUCKETS = 250_000  #: counts of buckets that a join may broadcast, 10 MB; more are joined by shuffle
+STRETCH = 100_000  #: slots of one repeated row that a task gives out
 STEP = 2862933555777941757  #: fixed value: the multiplier of jump consistent hashing
 
 
@@ -47,19 +47,16 @@ def bucket(keys: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def assign(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Rows that agree in id, size and checksum, counted, with their shards and bucket. Texts don't leave the JVM."""
+
     def run(c):
-        texts = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in c["text"]]
         keys = np.array([d or 0 for d in c["doc_id"]], dtype=np.int64).astype(np.uint64)
-        return {
-            "doc_id": c["doc_id"],
-            "size": [len(t) + OVERHEAD for t in texts],
-            "text_crc32": list(map(zlib.crc32, texts)),
-            "shard": jump(keys, shards),
-            "grown_shard": jump(keys, shards + 1),
-            "bucket": bucket(keys),
-        }
-
-    rows = map_arrow(documents.select("doc_id", "text"), run, "doc_id long, size long, text_crc32 long, shard int, grown_shard int, bucket int")
+        return {"shard": jump(keys, shards), "grown_shard": jump(keys, shards + 1), "bucket": bucket(keys)}
+
+    raw = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
+    kept = ["doc_id", "size", "text_crc32"]
+    rows = map_arrow(rows, run, "doc_id long, size long, text_crc32 long, shard int, grown_shard int, bucket int", kept, ["doc_id"])
     return rows.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard").agg(F.count("*").alias("copies"))
 
 
@@ -72,12 +69,15 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     per = map_arrow(documents.select("doc_id"), keyed, "shard int, bucket int").groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     first = ranked(per, "shard", "bucket", "n").select("shard", "bucket", "first")
     w = W.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("copies").over(w), F.lit(0))).join(F.broadcast(first), ["shard", "bucket"])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("first") + F.col("before"), F.col("first") + F.col("before") + F.col("copies") - 1)).alias("slot"),
-        "grown_shard",
-    )
+    few = shards * BUCKETS <= FEW_BUCKETS
+    placed = rows.withColumn("before", F.coalesce(F.sum("copies").over(w), F.lit(0))).join(F.broadcast(first) if few else first, ["shard", "bucket"])
+    placed = placed.withColumn("begin", F.col("first") + F.col("before")).withColumn("end", F.col("begin") + F.col("copies"))
+    slots = F.explode(F.sequence("begin", F.col("end") - 1)).alias("slot")
+    columns = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slots, "grown_shard"]
+    # A row that repeats without end is dealt out in stretches, so that no task holds all of its slots.
+    parts = F.explode(F.sequence("begin", F.col("end") - 1, F.lit(STRETCH).cast("long")))
+    many = placed.where(F.col("copies") > STRETCH).withColumn("begin", parts).withColumn("end", F.least("end", F.col("begin") + STRETCH)).repartition("begin")
+    return placed.where(F.col("copies") <= STRETCH).select(*columns).unionByName(many.select(*columns))
 
 
 #: DuckDB: the same by a recursive walk over the jumps; checksums by a table of bytes, as DuckDB has no crc32.

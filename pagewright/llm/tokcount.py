@@ -6,7 +6,8 @@ without a piece, between two characters that no piece holds side by side), so th
 table of a chunk's prefixes serves every text that has the chunk.
 
 Defined results: null text counts as empty: 0 bytes, 0 tokens. Special strings in a text are ordinary text. Repeated
-rows are counted one by one; other columns pass by unread; an empty table gives an empty table.
+rows are counted one by one; null ids stay null; other columns pass by unread; an empty table gives an empty table. A
+text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .bpe import Merges, Prefixes
-from .common import Memo, hold, map_arrow
+from .common import Memo, hold, local, map_arrow, shipped
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -50,6 +51,7 @@ class Counter:
         rank = {i: -1 if len(t) == 1 else place[sp.get_score(i)] for i, t in enumerate(normal) if t}
         self.merges = Pieces(normal, rank)
         self.prefixes = Prefixes(self.merges)
+        assert all(SPACE not in t.lstrip(SPACE) and "\n" not in t for t in normal if t), "a piece spans words, so texts can't be cut there"
         self.units = {t for t in normal if t and len(t) == 1}
         self.beside = {t[i : i + 2] for t in normal if t for i in range(len(t) - 1)}
         self.size = Memo(lambda chunk: self.table(chunk)[-1], MEMO_BYTES)
@@ -112,8 +114,10 @@ def counter(path: str) -> Counter:
 def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, and fit_chars: characters that stay if the text is cut to the limit."""
 
+    name = shipped(documents.sparkSession, path)
+
     def run(c):
-        own = counter(path)
+        own = counter(local(name))
         found = [own.fitting(t, limit) for t in c["text"]]
         return {
             "doc_id": c["doc_id"],

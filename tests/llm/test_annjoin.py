@@ -81,3 +81,26 @@ def test_ids_of_many_vectors_take_one_place(spark):
     rows += [(1 + i % 2, (base + r.normal(size=8) * 0.01).astype(np.float32).tolist(), "x") for i in range(40)]  # two ids take all near places
     rows += [(10 + i, v.tolist(), "x") for i, v in enumerate(r.normal(size=(30, 8)).astype(np.float32))]
     check(spark, rows)
+
+
+def test_magnitudes_of_any_size(spark):
+    """Squares of these numbers overflow or vanish; their cosines don't."""
+    r = np.random.default_rng(11)
+    base = r.normal(size=(40, 6))
+    scale = 10.0 ** r.choice([-300, -200, 0, 200, 300], size=40)
+    rows = [(i * 10, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, scale))]
+    got = annjoin.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 8 * 5
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for x in got:
+        cosine = unit @ unit[x.query_id // 10]
+        cosine[x.query_id // 10] = -2
+        assert x.vec_id == 10 * int(np.argsort(-cosine)[x["rank"] - 1]) and np.isclose(x.score, cosine[x.vec_id // 10], rtol=1e-9)
+
+
+def test_merging_several_queries_at_once(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(900)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, annjoin.nearest(df, stride=7).collect()))
+    monkeypatch.setattr(annjoin, "MERGED", 3)
+    assert sorted(map(tuple, annjoin.nearest(df, stride=7).collect())) == want

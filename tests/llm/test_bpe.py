@@ -105,3 +105,14 @@ def test_codec_table(spark, library):
         ids = library.encode(text, add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert codec.round_trip(df.limit(0), P.path(codec.FILE)).count() == 0
+
+
+def test_very_long_texts(own, library, counter, sp):
+    """Millions of characters, with and without white space; long words aren't kept in the memo."""
+    for t in ("ab1é" * 500_000, "some words here, and there. " * 60_000):
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    t = "some words here, and there. " * 60_000
+    assert counter.count(t) == len(sp.encode(t))
+    t = "xq" * 20_000
+    assert counter.count(t) == len(sp.encode(t))
+    assert max(map(len, [*own.words, *own.words.old, *counter.size, *counter.size.old])) <= 256

@@ -90,3 +90,18 @@ def test_table(spark):
     out = htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(r.n_chars for r in out)[0] == 0 and len({r.text for r in out}) == 2
     assert htmlmain.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_many_siblings_are_counted_alike():
+    """The sibling feature is the number of equal tags under a parent, however many children it has."""
+    for n in (5, 63, 64, 300):
+        nodes = htmlmain.parse("<body><div>" + "<p>text</p><span>x</span><h2>y</h2>" * n + "</div></body>")
+        x = htmlmain.features(nodes)
+        assert {x[i, 12] for i, v in enumerate(nodes) if v.tag == "p"} == {n} == {x[i, 12] for i, v in enumerate(nodes) if v.tag == "h2"}
+
+
+def test_a_very_long_page(trees):
+    body = "".join(f"<p>Sentence {i} of the article, which goes on, and on.</p>" for i in range(20_000))
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article>{body}</article><footer>Copyright</footer></body></html>"
+    text = htmlmain.extract_pages([page], trees)[0]
+    assert text.split("\n\n") == [f"Sentence {i} of the article, which goes on, and on." for i in range(20_000)]

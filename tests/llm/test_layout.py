@@ -133,3 +133,39 @@ def test_levels_keep_shares():
     for s, w in weights.items():
         out = sum(mixing.place_of(paths[s], k)[0] < total // 10 for k in range(40 * w))
         assert abs(out - 4 * w) <= 3, (s, out)
+
+
+def test_columns_may_bear_the_operators_names(spark):
+    rows = [(i, f"s{i % 3}", i, 2 * i, f"b{i}", 3.5, 7, 8, 9) for i in range(200)]
+    names = ["doc_id", "source", "first", "mix_hash", "mix_bucket", "mix_place", "mix_slot", "row", "id"]
+    df = spark.createDataFrame(rows, "doc_id long, source string, first int, mix_hash long, mix_bucket string, mix_place double, mix_slot int, row int, id int")
+    out = mixing.scheduled(df, block=4)
+    assert out.columns == [n for n in names if n != "mix_slot"] + ["mix_slot", "mix_rank", "mix_release", "mix_deadline"]
+    got = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [tuple(r[n] for n in names if n != "mix_slot") for r in got] == [r[:6] + r[7:] for r in rows]
+    assert sorted({r.mix_slot for r in got}) == list(range(len({r.mix_slot for r in got})))
+    assert mixing.mixed(df).columns == names and sorted(map(tuple, mixing.mixed(df).collect())) == sorted(rows)
+
+
+def test_weights_of_any_size():
+    assert mixing.bounded({"a": 3 * 10**12, "b": 10**12}) == {"a": 3, "b": 1}
+    own = mixing.bounded({"a": 3 * 10**12 + 1, "b": 10**12, "c": 1})
+    assert sum(own.values()) <= mixing.MOST_SLOTS + 3 and abs(own["a"] / own["b"] - 3) < 0.01 and own["c"] == 1
+
+
+def test_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STRETCH", 70)
+    rows = [(5, "same")] * 1000 + [(i, f"t{i}") for i in range(100)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert len(out) == 1100 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_more_shards_than_a_broadcast_holds(spark, monkeypatch):
+    rows = [(i * 7919, f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, sharding.shard(df, 100).collect()))
+    monkeypatch.setattr(sharding, "FEW_BUCKETS", 10)
+    assert sorted(map(tuple, sharding.shard(df, 100).collect())) == want
