@@ -8,34 +8,38 @@ from .rx import EDGE, all_matches, js, let, trimmed
 
 SCAN = rf"(?<![\w.%+-])[\w.%+-]{{1,64}}@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})*\.[A-Za-z]{{2,24}}{EDGE}"
 
-# Fixed values.
-PLACEHOLDER_LOCALS = (
-    "user usuario example exemplo test teste email e-mail seuemail seu-email seu.email seunome nome fulano yourname your-email "
-    "youremail name johndoe john.doe foo bar"
-).split()
-IGNORED_DOMAINS = (
-    "example.com example.org example.net exemplo.com exemplo.com.br domain.com dominio.com dominio.com.br seudominio.com "
-    "seudominio.com.br yourdomain.com mydomain.com site.com seusite.com seusite.com.br email.com sentry.io wixpress.com cloudflare.com "
-    "schema.org wordpress.org gravatar.com w3.org sentry-next.wixpress.com"
-).split()
-FILE_ENDINGS = "png jpg jpeg webp avif gif bmp svg tif tiff heic ico css js mjs json map woff woff2 ttf otf eot pdf mp4 webm php".split()
-ROLES = (
-    "contato contatos faleconosco fale-conosco fale.conosco vendas venda financeiro atendimento comercial sac rh suporte orcamento "
-    "orcamentos agendamento agendamentos recepcao secretaria administrativo adm admin diretoria compras cobranca faturamento fiscal "
-    "contabilidade juridico marketing imprensa ouvidoria pedidos loja clinica escritorio geral noreply no-reply naoresponda nao-responda "
-    "trabalheconosco curriculos curriculo parcerias eventos reservas empresa info contact contacts sales support help hello hi office "
-    "billing accounts hr jobs careers press media team service services customerservice webmaster postmaster hostmaster abuse privacy "
-    "legal booking orders enquiries inquiries"
-).split()
-FREE_PROVIDERS = (
-    "gmail.com googlemail.com hotmail.com hotmail.com.br outlook.com outlook.com.br live.com msn.com yahoo.com yahoo.com.br ymail.com "
-    "icloud.com me.com mac.com uol.com.br bol.com.br terra.com.br ig.com.br globo.com globomail.com r7.com zipmail.com.br protonmail.com "
-    "proton.me aol.com gmx.com zoho.com"
-).split()
-DISPOSABLE = (
-    "mailinator.com guerrillamail.com 10minutemail.com tempmail.com temp-mail.org yopmail.com trashmail.com sharklasers.com getnada.com "
-    "dispostable.com maildrop.cc throwawaymail.com fakeinbox.com mintemail.com emailondeck.com"
-).split()
+# Names that stand for no one, domains and file endings that are no addresses, names of roles, and kinds of providers.
+PLACEHOLDER_LOCALS = [
+    "user", "usuario", "example", "exemplo", "test", "teste", "email", "e-mail", "seuemail", "seu-email", "seu.email", "seunome", "nome", "fulano",
+    "yourname", "your-email", "youremail", "name", "johndoe", "john.doe", "foo", "bar",
+]
+IGNORED_DOMAINS = [
+    "example.com", "example.org", "example.net", "exemplo.com", "exemplo.com.br", "domain.com", "dominio.com", "dominio.com.br", "seudominio.com",
+    "seudominio.com.br", "yourdomain.com", "mydomain.com", "site.com", "seusite.com", "seusite.com.br", "email.com", "sentry.io", "wixpress.com",
+    "cloudflare.com", "schema.org", "wordpress.org", "gravatar.com", "w3.org", "sentry-next.wixpress.com",
+]
+FILE_ENDINGS = [
+    "png", "jpg", "jpeg", "webp", "avif", "gif", "bmp", "svg", "tif", "tiff", "heic", "ico", "css", "js", "mjs", "json", "map", "woff", "woff2",
+    "ttf", "otf", "eot", "pdf", "mp4", "webm", "php",
+]
+ROLES = [
+    "contato", "contatos", "faleconosco", "fale-conosco", "fale.conosco", "vendas", "venda", "financeiro", "atendimento", "comercial", "sac", "rh",
+    "suporte", "orcamento", "orcamentos", "agendamento", "agendamentos", "recepcao", "secretaria", "administrativo", "adm", "admin", "diretoria",
+    "compras", "cobranca", "faturamento", "fiscal", "contabilidade", "juridico", "marketing", "imprensa", "ouvidoria", "pedidos", "loja", "clinica",
+    "escritorio", "geral", "noreply", "no-reply", "naoresponda", "nao-responda", "trabalheconosco", "curriculos", "curriculo", "parcerias", "eventos",
+    "reservas", "empresa", "info", "contact", "contacts", "sales", "support", "help", "hello", "hi", "office", "billing", "accounts", "hr", "jobs",
+    "careers", "press", "media", "team", "service", "services", "customerservice", "webmaster", "postmaster", "hostmaster", "abuse", "privacy",
+    "legal", "booking", "orders", "enquiries", "inquiries",
+]
+FREE_PROVIDERS = [
+    "gmail.com", "googlemail.com", "hotmail.com", "hotmail.com.br", "outlook.com", "outlook.com.br", "live.com", "msn.com", "yahoo.com",
+    "yahoo.com.br", "ymail.com", "icloud.com", "me.com", "mac.com", "uol.com.br", "bol.com.br", "terra.com.br", "ig.com.br", "globo.com",
+    "globomail.com", "r7.com", "zipmail.com.br", "protonmail.com", "proton.me", "aol.com", "gmx.com", "zoho.com",
+]
+DISPOSABLE = [
+    "mailinator.com", "guerrillamail.com", "10minutemail.com", "tempmail.com", "temp-mail.org", "yopmail.com", "trashmail.com", "sharklasers.com",
+    "getnada.com", "dispostable.com", "maildrop.cc", "throwawaymail.com", "fakeinbox.com", "mintemail.com", "emailondeck.com",
+]
 _AT = js(r"\s{0,3}[\[({<]\s{0,3}(?:at|arroba)\s{0,3}[\])}>]\s{0,3}", True)
 _DOT = js(r"\s{0,3}[\[({<]\s{0,3}(?:dot|ponto)\s{0,3}[\])}>]\s{0,3}", True)
 _SPACED = js(r"(?<=\w)\s{1,3}@\s{1,3}(?=[A-Za-z0-9])")

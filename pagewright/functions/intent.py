@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .rx import EDGE, first_match, fold_accents, js
+from .rx import EDGE, fold_accents, let, low
 
 
 @dataclass(frozen=True)
@@ -78,16 +78,22 @@ LEXICONS = {
         exclude=r"\b(pecas?|pneus?|rodas?|som automotivo|mecanic[oa]s?|oficina|funilaria|lanternagem|seguro|guincho|despachante|emplacamento|lavagem|insulfilm|emprego|vaga)\b",
     ),
 }
+# Points of a lead, and how a budget is worded.
 BASE = {"buyer": 75, "price_question": 50}
 REGION_POINTS, BUDGET_POINTS = 15, 10
-_BUDGET = js(r"\b(?:ate|up to|under|budget(?: of)?)\s*(r\$\s*|\$\s*)?(\d{1,3}(?:[.,]\d{3})*|\d+)\s*(mil|k)?\b")
+_BUDGET = low(r"\b(?:ate|up to|under|budget(?: of)?)\s*(r\$\s*|\$\s*)?(\d{1,3}(?:[.,]\d{3})*|\d+)\s*(mil|k)?\b")
 
 
 def budget(folded: Column) -> Column:
     """Amount after `up to` and the like; years and amounts below 1000 don't count, unless in thousands."""
-    n = F.regexp_replace(F.regexp_extract(folded, _BUDGET, 2), "[.,]", "").cast("double")
-    year = n.between(1950, 2035) & (F.regexp_extract(folded, _BUDGET, 1) == "")
-    return F.when(folded.rlike(_BUDGET), F.when(F.regexp_extract(folded, _BUDGET, 3) != "", n * 1000).when((n >= 1000) & ~year, n))
+    return let(F.regexp_extract(folded, _BUDGET, 0), _amount)
+
+
+def _amount(phrase: Column) -> Column:
+    part = lambda k: F.regexp_extract(phrase, "^" + _BUDGET, k)
+    n = F.regexp_replace(part(2), "[.,]", "").cast("double")
+    year = n.between(1950, 2035) & (part(1) == "")
+    return F.when(phrase != "", F.when(part(3) != "", n * 1000).when((n >= 1000) & ~year, n))
 
 
 def region_of(folded: Column, regions: list[str]) -> Column:
@@ -98,7 +104,7 @@ def region_of(folded: Column, regions: list[str]) -> Column:
 
     plain = ["".join(c for c in unicodedata.normalize("NFD", r) if not unicodedata.combining(c)).lower() for r in regions]
     for r in sorted(plain, key=len, reverse=True):
-        out = out.when(folded.rlike(EDGE + re.escape(r) + EDGE), r)
+        out = out.when(folded.contains(r) & folded.rlike(EDGE + re.escape(r) + EDGE), r)
     return out
 
 
@@ -107,17 +113,30 @@ def score(text: Column, vertical: str = "generic", regions: list[str] = ()) -> C
     if vertical not in LEXICONS:
         raise ValueError(f"unknown vertical {vertical!r}; there are: {', '.join(LEXICONS)}")
     lex = LEXICONS[vertical]
-    t = fold_accents(F.coalesce(text, F.lit("")))
-    hits = lambda rules: F.array_compact(F.array(*[F.nullif(first_match(t, js(r)), F.lit("")) for r in rules]))
-    buyer, question, seller = hits(lex.buyer), hits(lex.question), hits(lex.seller)
-    money, place = budget(t), region_of(t, list(regions))
-    context = F.lit(True) if lex.context is None else t.rlike(js(lex.context)) | money.isNotNull()
-    free = F.lit(True) if lex.exclude is None else ~t.rlike(js(lex.exclude))
-    kind = F.when((F.size(buyer) > 0) & context & free, "buyer").when(F.size(seller) > 0, "seller").when(F.size(question) > 0, "price_question").otherwise("none")
+    return let(let(fold_accents(F.coalesce(text, F.lit(""))), lambda t: _found(t, lex, list(regions))), _scored)
+
+
+def _found(t: Column, lex: Lexicon, regions: list[str]) -> Column:
+    """What each rule finds in folded text: one regular expression a rule, run once."""
+    hits = lambda rules: F.filter(F.array(*[F.regexp_extract(t, low(r), 0) for r in rules]), lambda m: m != "")
+    has = lambda rule, none: F.lit(none) if rule is None else t.rlike(low(rule))
+    return F.struct(
+        hits(lex.buyer).alias("buyer"), hits(lex.question).alias("question"), hits(lex.seller).alias("seller"), budget(t).alias("budget"), region_of(t, regions).alias("region"),
+        has(lex.context, True).alias("context"), has(lex.exclude, False).alias("excluded"),
+    )
+
+
+def _scored(f: Column) -> Column:
+    buys = (F.size(f["buyer"]) > 0) & (f["context"] | f["budget"].isNotNull()) & ~f["excluded"]
+    kind = F.when(buys, "buyer").when(F.size(f["seller"]) > 0, "seller").when(F.size(f["question"]) > 0, "price_question").otherwise("none")
+    return let(kind, lambda k: _pointed(f, k))
+
+
+def _pointed(f: Column, kind: Column) -> Column:
     lead = kind.isin(*BASE)
     base = F.when(kind == "buyer", BASE["buyer"]).otherwise(BASE["price_question"])
-    points = F.least(F.lit(100), base + F.when(place.isNotNull(), REGION_POINTS).otherwise(0) + F.when(money > 0, BUDGET_POINTS).otherwise(0))
-    return F.struct(kind.alias("kind"), lead.alias("is_lead"), F.when(lead, points).otherwise(0).alias("score"), F.concat(buyer, question, seller).alias("matched"), place.alias("region"), money.alias("budget"))
+    points = F.least(F.lit(100), base + F.when(f["region"].isNotNull(), REGION_POINTS).otherwise(0) + F.when(f["budget"] > 0, BUDGET_POINTS).otherwise(0))
+    return F.struct(kind.alias("kind"), lead.alias("is_lead"), F.when(lead, points).otherwise(0).alias("score"), F.concat(f["buyer"], f["question"], f["seller"]).alias("matched"), f["region"].alias("region"), f["budget"].alias("budget"))
 
 
 def leads(items: DataFrame, vertical: str = "generic", regions: list[str] = (), all_items: bool = False) -> DataFrame:

@@ -32,6 +32,36 @@ def js(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iu)" if ignore_case else "") + "".join(out)
 
 
+def _begins_words(rest: str) -> bool:
+    """Whether whatever matches here begins with an ASCII word character: a letter, or a group whose alternatives all do."""
+    if not rest.startswith("("):
+        return rest[:1].isascii() and rest[:1].isalnum() and rest[1:2] not in ("?", "*", "{")
+    rest = rest.removeprefix("(?:") if rest.startswith("(?:") else rest[1:]
+    depth, begin = 0, True
+    for i, c in enumerate(rest):
+        if begin and depth == 0 and not (c.isascii() and c.isalnum()):
+            return False
+        begin = depth == 0 and c == "|"
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return rest[i + 1 : i + 2] not in ("?", "*")
+    return False
+
+
+def low(pattern: str) -> str:
+    """pattern with ECMAScript's meaning, without regard to case, for text that is in lower case.
+
+    An edge before a word needs to look back only: that is tried at every place of a text.
+    """
+    out, i = "", 0
+    while i < len(pattern):
+        n = 1 if pattern[i] != "\\" else pattern.index("}", i) + 1 - i if pattern[i : i + 3] in (r"\p{", r"\x{") else 2
+        out += pattern[i].lower() if n == 1 else pattern[i : i + n]
+        i += n
+    parts = out.split(r"\b")
+    return js(parts[0]) + "".join(("(?<![A-Za-z0-9_])" if _begins_words(p) else EDGE) + js(p) for p in parts[1:])
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")
 

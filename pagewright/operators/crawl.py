@@ -76,7 +76,7 @@ def crawl(edges: DataFrame, starts: DataFrame, max_depth: int, max_pages: int |
     doesn't grow with the depth.
     """
     spark = edges.sparkSession
-    _checkpoints(spark)
+    shared_checkpoints(spark)
     seen = starts.select("url").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -90,13 +90,19 @@ def crawl(edges: DataFrame, starts: DataFrame, max_depth: int, max_pages: int |
     return seen
 
 
-def _checkpoints(spark) -> None:
+def shared_checkpoints(spark) -> None:
+    """Points checkpoint() at the shared folder named in spark.checkpoint.dir; a local master without one gets a folder of its own."""
     import os
+    import re
     import tempfile
 
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"pagewright-crawl-{os.getpid()}"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {sc.master}")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"pagewright-crawl-{os.getpid()}"))
 
 
 def crawl_summary(pages: DataFrame) -> DataFrame:

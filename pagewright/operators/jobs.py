@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
+from .crawl import shared_checkpoints
+
 STATUSES = ["draft", "queued", "running", "succeeded", "failed", "canceled", "timed_out", "interrupted"]
 TERMINAL = ["succeeded", "failed", "canceled", "timed_out", "interrupted"]
 DRIFT_WINDOW, DRIFT_RATIO = 50, 0.95
@@ -68,9 +70,21 @@ def service_snapshot(requests: DataFrame) -> DataFrame:
 
 
 def drift(records: DataFrame, order: list, fields: list[str], window: int = DRIFT_WINDOW, ratio: float = DRIFT_RATIO, partition: list[str] = ()) -> DataFrame:
-    """Share of missing values in each full run of `window` records, and whether it warns. Runs count within a partition."""
-    n = F.row_number().over(W.partitionBy(*partition).orderBy(*order))
-    runs = records.withColumn("run", F.floor((n - 1) / window)).groupBy(*partition, "run")
+    """Share of missing values in each full run of `window` records, and whether it warns. Runs count within a partition.
+
+    Records are dealt out by ranges of the order and numbered in each; a record's number is its place there plus the
+    records of earlier ranges, so no task holds a whole partition. Ranges are checkpointed: worked out twice they may differ.
+    """
+    shared_checkpoints(records.sparkSession)
+    within = [*partition, "_range"]
+    dealt = records.repartitionByRange(*partition, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    w = W.partitionBy(*partition).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy(*within).agg(F.count("*").alias("_own")).withColumn("_before", F.coalesce(F.sum("_own").over(w), F.lit(0))).drop("_own")
+    place = F.row_number().over(W.partitionBy(*within).orderBy(*order))
+    own = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in within]
+    # Without a partition there is one row a range to broadcast.
+    numbered = dealt.withColumn("_place", place).alias("l").join((before if partition else F.broadcast(before)).alias("r"), own)
+    runs = numbered.select("l.*", "r._before").withColumn("run", F.floor((F.col("_before") + F.col("_place") - 1) / window)).drop("_range", "_before", "_place").groupBy(*partition, "run")
     missing = [F.avg((F.coalesce(F.col(f).cast("string"), F.lit("")) == "").cast("double")).alias(f"{f}_missing") for f in fields]
     out = runs.agg(F.count("*").alias("n"), *missing).where(F.col("n") == window)
     warn = F.lit(False)

@@ -101,7 +101,7 @@ def grid_cells(boxes: DataFrame, most: int | None = None) -> DataFrame:
 
 def seed_jobs(queries: DataFrame, cells: DataFrame, budget: int) -> DataFrame:
     """Every query with every cell, refused beyond a budget. Both sides are request lists, bounded by the budget."""
-    n = queries.count() * cells.count()
+    n = queries.limit(budget + 1).count() * cells.limit(budget + 1).count()  # neither is read beyond the budget
     if n > budget:
         raise ValueError(f"{n} seed jobs exceed the budget of {budget}")
     return queries.crossJoin(F.broadcast(cells))
@@ -131,16 +131,27 @@ def merged_contacts(evidence: DataFrame) -> DataFrame:
     return sites
 
 
-def contacts(page_rows: DataFrame) -> DataFrame:
-    """pages (site, url, page_rank, html) -> evidence rows by one parse a page."""
+def contacts(page_rows: DataFrame, region: str = "BR") -> DataFrame:
+    """pages (site, url, page_rank, html) -> evidence rows (site, page_rank, ord, value, type, origin) by one parse a page.
+
+    Emails, phones and company ids of the visible text, phones of tel: links, chat numbers of raw html, profiles of social networks.
+    """
     from .dom import products
 
-    made = page_rows.withColumn("p", products(F.col("html"), F.col("url"), ["visible", "links"]))
-    base = made.select("site", "page_rank", F.col("p.visible").alias("text"), F.col("p.links").alias("links"), "html")
-    mails = base.select("site", "page_rank", F.posexplode(email.find(F.col("text"))).alias("ord", "value"), F.lit("email").alias("type"), F.lit("text").alias("origin"))
-    chats = base.select("site", "page_rank", F.posexplode(phone.whatsapp_in_html(F.col("html"))).alias("ord", "d"), F.lit("whatsapp").alias("type"), F.lit("html").alias("origin")).withColumn("value", F.concat(F.lit("+"), "d")).drop("d")
+    made = page_rows.withColumn("p", products(F.col("html"), F.col("url"), ["visible", "links", "phone_links"]))
+    base = made.select("site", "page_rank", F.col("p.visible").alias("text"), F.col("p.links").alias("links"), F.col("p.phone_links").alias("calls"), "html")
+
+    def evidence(values: Column, type_: str, origin: str) -> DataFrame:
+        return base.select("site", "page_rank", F.posexplode(values).alias("ord", "value"), F.lit(type_).alias("type"), F.lit(origin).alias("origin"))
+
+    numbers = lambda found: F.transform(F.filter(found, lambda p: p["valid"]), lambda p: p["e164"])
+    mails = evidence(email.find(F.col("text")), "email", "text")
+    called = evidence(numbers(F.transform("calls", lambda c: phone.normalise(c, region, "tel"))), "phone", "tel")
+    read = evidence(numbers(phone.find_phones(F.col("text"), region)), "phone", "text")
+    ids = evidence(phone.extract_cnpjs(F.col("text")), "cnpj", "text")
+    chats = evidence(F.transform(phone.whatsapp_in_html(F.col("html")), lambda d: F.concat(F.lit("+"), d)), "whatsapp", "html")
     nets = base.select("site", "page_rank", F.explode("links").alias("l")).select("site", "page_rank", F.col("l.place").alias("ord"), urls.without_query(F.col("l.href")).alias("value"), F.lit("social").alias("type"), urls.network(F.col("l.href")).alias("origin")).where("origin is not null")
-    return mails.unionByName(chats).unionByName(nets)
+    return mails.unionByName(called).unionByName(read).unionByName(ids).unionByName(chats).unionByName(nets)
 
 
 def enriched(leads: DataFrame, sites: DataFrame) -> DataFrame:

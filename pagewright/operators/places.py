@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import pages
 
-#: Column -> (path in the place array, type).
+# Column -> (path in the place array, type).
 PATHS = {
     "link": ("[27]", "string"), "title": ("[11]", "string"), "raw_address": ("[18]", "string"), "raw_website": ("[7][0]", "string"), "phone": ("[178][0][0]", "string"),
     "plus_code": ("[183][2][2][0]", "string"), "review_count": ("[4][8]", "double"), "review_rating": ("[4][7]", "double"), "latitude": ("[9][2]", "double"), "longitude": ("[9][3]", "double"),

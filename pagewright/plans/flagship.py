@@ -31,9 +31,9 @@ def page_products(spark, sf_dir):
 
 
 @query("""SELECT page_id, 100 - 10 - 5 - 10 - 5 - 10 - 10 - CASE WHEN length(t) BETWEEN 20 AND 65 THEN 0 ELSE 5 END - CASE WHEN starts_with(url, 'https://') THEN 0 ELSE 10 END AS seo_score FROM (
-  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '&quot;', '"'), '&amp', '&'), '\\s+', ' ', 'g')) AS t FROM pages) WHERE NOT contains(t, '&')""")
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '&quot;', '"'), '&amp', '&'), '\\s+', ' ', 'g')) AS t FROM pages)""")
 def site_audit(spark, sf_dir):
-    """SEO points of the pages whose title has no reference in it (the checking SQL decodes none)."""
+    """SEO points of every page. Titles hold no references but these three and cut-off ones."""
     p = table(spark, sf_dir, "pages")
-    made = p.select("page_id", dom.products(F.col("html"), F.col("url"), ["audit", "metadata"]).alias("p"))
-    return made.where(~F.contains("p.metadata.title", F.lit("&"))).select("page_id", F.col("p.audit.seo_score").alias("seo_score"))
+    made = p.select("page_id", dom.products(F.col("html"), F.col("url"), ["audit"]).alias("p"))
+    return made.select("page_id", F.col("p.audit.seo_score").alias("seo_score"))

@@ -68,16 +68,16 @@ def grid_cells(spark, sf_dir):
     return leads.grid_cells(_boxes(spark, sf_dir), 1000).select("box_id", "y", "x", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
-@query(f"SELECT r_name AS query, box_id, y, x FROM region, ({_CELLS}) WHERE box_id < 3")
+@query(f"SELECT r_name AS query, box_id, y, x FROM region, ({_CELLS})")
 def query_cell_cross(spark, sf_dir):
-    cells = leads.grid_cells(_boxes(spark, sf_dir).where("box_id < 3"), 1000).select("box_id", "y", "x")
+    cells = leads.grid_cells(_boxes(spark, sf_dir), 1000).select("box_id", "y", "x")
     return leads.seed_jobs(table(spark, sf_dir, "region").select(F.col("r_name").alias("query")), cells, 10_000)
 
 
-@query("SELECT c_custkey AS lead_id, o_orderkey AS page_id FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON c_custkey = o_custkey")
+@query("SELECT c_custkey AS lead_id, o_orderkey AS page_id FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def lead_page_left_join(spark, sf_dir):
     sites = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lead_id"))
-    stored = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("lead_id"), F.col("o_orderkey").alias("page_id"))
+    stored = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lead_id"), F.col("o_orderkey").alias("page_id"))
     return sites.join(stored, "lead_id", "left")
 
 
@@ -93,10 +93,10 @@ def ttl_cache_join(spark, sf_dir):
     return crawl.cached(wanted, stored, F.expr(_NOW)).select("key", "event_id", "hit")
 
 
-@query("SELECT DISTINCT user_id AS url FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 20)")
+@query("SELECT DISTINCT user_id AS url FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)")
 def visited_anti_join(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "url")
-    return crawl.unvisited(e.where("event_type = 'click'").select("url").distinct(), e.where("event_type = 'purchase' and value > 20"))
+    return crawl.unvisited(e.where("event_type = 'click'").select("url").distinct(), e.where("event_type = 'purchase' and value > 90"))
 
 
 _LEADS = "SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'Cid' || CAST(user_id AS STRING) ELSE '' END AS cid, 'Shop ' || upper(event_type) AS title, 'Street ' || CAST(user_id AS STRING) AS address FROM events"
@@ -138,14 +138,14 @@ def sitemap_entries(spark, sf_dir):
     return crawl.sitemap_entries(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source"), xml.alias("xml"))).select("source", "place", "url", "lastmod")
 
 
-_EDGES = "SELECT o_custkey % 300 AS src, o_orderkey * 13 % 300 AS dst FROM orders WHERE o_orderkey % 7 = 0"
+_EDGES = "SELECT o_custkey AS src, o_orderkey * 13 % (SELECT max(c_custkey) FROM customer) + 1 AS dst FROM orders"
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), walk(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM walk JOIN e ON src = url WHERE depth < 4)
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), walk(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM walk JOIN e ON src = url WHERE depth < 3)
 SELECT url::BIGINT AS url, min(depth)::INTEGER AS depth FROM walk GROUP BY 1""")
 def bfs_depth(spark, sf_dir):
     edges = rows(spark, sf_dir, _EDGES).select(F.col("src").cast("long"), F.col("dst").cast("long"))
-    return crawl.crawl(edges, spark.createDataFrame([(1,)], "url long"), 4)
+    return crawl.crawl(edges, spark.createDataFrame([(1,)], "url long"), 3)
 
 
 _EVIDENCE = """SELECT c_nationkey AS site, CAST(c_custkey % 3 AS INT) AS page_rank, CAST(c_custkey AS INT) AS ord, CASE c_custkey % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 2 THEN 'whatsapp' ELSE 'cnpj' END AS type,
@@ -254,11 +254,11 @@ def percentile_nearest_rank(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(jobs.nearest_rank("event_id", 0.5).alias("p50"), jobs.nearest_rank("event_id", 0.95).alias("p95"))
 
 
-@query("SELECT user_id AS handle, 0 AS place, 'v' || user_id AS id, 'https://www.tiktok.com/@' || user_id || '/video/v' || user_id AS url, user_id AS views, 'caption ' || user_id AS description FROM events WHERE event_type = 'view' AND event_id % 5 = 0")
+@query("SELECT user_id AS handle, 0 AS place, 'v' || user_id AS id, 'https://www.tiktok.com/@' || user_id || '/video/v' || user_id AS url, user_id AS views, 'caption ' || user_id AS description FROM events WHERE event_type = 'view'")
 def playlist_videos(spark, sf_dir):
     u = F.col("user_id").cast("string")
     raw = F.concat(F.lit('{"entries":[{"id":"v'), u, F.lit('","title":"caption '), u, F.lit('","view_count":'), u, F.lit(',"duration":0},null]}'))
-    e = table(spark, sf_dir, "events").where("event_type = 'view' and event_id % 5 = 0").select(u.alias("handle"), raw.alias("raw"))
+    e = table(spark, sf_dir, "events").where("event_type = 'view'").select(u.alias("handle"), raw.alias("raw"))
     return social.playlist_videos(e).select(F.col("handle").cast("long").alias("handle"), "place", "id", "url", "views", "description")
 
 

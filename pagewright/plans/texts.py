@@ -127,16 +127,16 @@ def email_deobfuscate(spark, sf_dir):
     return rows(spark, sf_dir, _HIDDEN_MAIL).select("c_custkey", email.find(F.col("text")).alias("emails"))
 
 
-_PHONES = """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '(62) 99' || lpad(CAST(c_custkey AS STRING), 3, '0') || '-4321' WHEN 1 THEN '+55 (11) 3' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-4444'
-  WHEN 2 THEN '(62) 8' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-9999' WHEN 3 THEN '2019-2026' WHEN 4 THEN '(20) 99' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-5432' ELSE '12.345.678/0001-95' END AS raw FROM (SELECT c_custkey % 1000 AS c_custkey FROM customer WHERE c_custkey < 1000)"""
+_PHONES = """SELECT id, c_custkey, CASE c_custkey % 6 WHEN 0 THEN '(62) 99' || lpad(CAST(c_custkey AS STRING), 3, '0') || '-4321' WHEN 1 THEN '+55 (11) 3' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-4444'
+  WHEN 2 THEN '(62) 8' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-9999' WHEN 3 THEN '2019-2026' WHEN 4 THEN '(20) 99' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-5432' ELSE '12.345.678/0001-95' END AS raw FROM (SELECT c_custkey AS id, c_custkey % 1000 AS c_custkey FROM customer)"""
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '+556299' || k || '4321' WHEN 1 THEN '+55113' || k || '4444' WHEN 2 THEN '+556298' || k || '9999' WHEN 4 THEN '+552099' || k || '5432' END AS e164,
+@query("""SELECT id, CASE c_custkey % 6 WHEN 0 THEN '+556299' || k || '4321' WHEN 1 THEN '+55113' || k || '4444' WHEN 2 THEN '+556298' || k || '9999' WHEN 4 THEN '+552099' || k || '5432' END AS e164,
   CASE c_custkey % 6 WHEN 0 THEN 'mobile' WHEN 1 THEN 'fixed' WHEN 2 THEN 'mobile' WHEN 4 THEN 'unknown' END AS type, CASE c_custkey % 6 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN TRUE WHEN 4 THEN FALSE END AS valid
-  FROM (SELECT c_custkey, lpad(c_custkey::VARCHAR, 3, '0') AS k FROM customer WHERE c_custkey < 1000)""")
+  FROM (SELECT c_custkey AS id, c_custkey % 1000 AS c_custkey, lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS k FROM customer)""")
 def phone_normalise(spark, sf_dir):
     p = phone.normalise(F.col("raw"))
-    return rows(spark, sf_dir, _PHONES).select("c_custkey", p["e164"].alias("e164"), p["type"].alias("type"), p["valid"].alias("valid"))
+    return rows(spark, sf_dir, _PHONES).select("id", p["e164"].alias("e164"), p["type"].alias("type"), p["valid"].alias("valid"))
 
 
 _BASES = "SELECT o_orderkey, lpad(CAST(o_orderkey % 999999999 AS STRING), 9, '0') AS cpf, lpad(CAST(o_orderkey AS STRING), 8, '0') || '0001' AS cnpj FROM orders"
@@ -234,28 +234,42 @@ def intent_leads_topk(spark, sf_dir):
     return rows(spark, sf_dir, _PHRASES).select("event_id", s["score"].alias("score"), s["is_lead"].alias("is_lead")).where("is_lead").orderBy(F.col("score").desc(), "event_id").limit(25).select("event_id", "score")
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'recommendation_request' WHEN 1 THEN 'problem_complaint' WHEN 2 THEN 'hiring_service' ELSE 'general_discussion' END AS category FROM documents WHERE lang = 'en'")
+_FORUM = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Please RECOMMEND one with no issue' WHEN 1 THEN 'It is broken, hire me' WHEN 2 THEN 'A quote for it' ELSE 'Hello' END AS title, text FROM documents"
+_ANY = " ".join(f"WHEN {' OR '.join(f"contains(t, '{w}')" for w in words)} THEN '{name}'" for name, words in pages.FORUM.items())
+
+
+@query(f"SELECT doc_id, CASE {_ANY} ELSE 'general_discussion' END AS category FROM (SELECT doc_id, lower(title || ' ' || coalesce(text, '')) AS t FROM ({_FORUM}))")
 def forum_category(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    title = F.when(F.col("doc_id") % 4 == 0, "Please RECOMMEND one with no issue").when(F.col("doc_id") % 4 == 1, "It is broken, hire me").when(F.col("doc_id") % 4 == 2, "A quote for it").otherwise("Hello")
-    return d.select("doc_id", pages.forum_category(title, F.lit(None).cast("string")).alias("category"))
+    return rows(spark, sf_dir, _FORUM).select("doc_id", pages.forum_category(F.col("title"), F.col("text")).alias("category"))
+
+
+_COPY = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'We delve into the tapestry of game-changer ideas. ' WHEN 1 THEN 'Furthermore, 20% more in 30 dias. ' WHEN 2 THEN 'It''s not just about price, it''s about trust. '
+  WHEN 3 THEN 'No cenário atual, é importante notar que a sinergia de ponta é um método revolucionário. ' ELSE '' END || text AS text FROM documents"""
+_BLANK = r"[\s\x{0b}\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _matches(pattern: str) -> str:
+    """The number of a rule's matches by DuckDB's own engine, whose word edges are those of ECMAScript."""
+    own = pattern.replace(r"[-\s]", f"[-{_BLANK[1:]}").replace(r"\s", _BLANK).replace(r"(?<![\p{L}\d])", r"(?:^|[^\p{L}\d])").replace("'", "''")
+    return f"len(regexp_extract_all(text, '(?i){own}'))"
 
 
-_COPY = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'We delve into the tapestry of game-changer ideas. ' WHEN 1 THEN 'Furthermore, 20% more in 30 dias. ' WHEN 2 THEN 'It''s not just about price, it''s about trust. ' ELSE '' END || substr(text, 1, 40) AS text FROM documents WHERE lang = 'en'"
+_BANNED, _ANTITHESES = (" + ".join(_matches(p) for p, kind, *_ in slop.rules() if kind == k) for k in ("banned_word", "false_antithesis"))
 
 
-@query(f"""SELECT doc_id, banned, antitheses, least(100, greatest(0, banned * 25 + antitheses * 30 - CASE WHEN nums > 0 THEN least(20, 5 * nums) ELSE 0 END))::INTEGER AS score FROM (
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS banned, CASE doc_id % 4 WHEN 2 THEN 1 ELSE 0 END AS antitheses, len(regexp_extract_all(text, '(?:^|[^\\w])([0-9])')) + 0 * length(text) AS nums FROM ({_COPY}) WHERE NOT regexp_matches(substr(text, CASE doc_id % 4 WHEN 1 THEN 36 ELSE 1 END), '[0-9]'))""")
+@query(f"""SELECT doc_id, banned::INTEGER AS banned, antitheses::INTEGER AS antitheses, numbers::INTEGER AS numbers, words::INTEGER AS words, (banned + antitheses + decorated + hollow)::INTEGER AS violations,
+  least(100, greatest(0, banned * 25 + antitheses * 30 + decorated * 15 + hollow * 20 - least(20, 5 * numbers)))::INTEGER AS score FROM (
+  SELECT *, (words > 20 AND emoji > ceil(words / 25.0))::INTEGER AS decorated, (words > 80 AND numbers = 0)::INTEGER AS hollow FROM (
+  SELECT doc_id, {_BANNED} AS banned, {_ANTITHESES} AS antitheses, {_matches(slop.NUMBERS)} AS numbers, len(regexp_extract_all(text, '{slop.EMOJI}')) AS emoji,
+    len(list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda w: w <> '')) AS words FROM ({_COPY})))""")
 def slop_score(spark, sf_dir):
-    c = rows(spark, sf_dir, _COPY)
-    own = c.where(~F.substr(F.col("text"), F.when(F.col("doc_id") % 4 == 1, 36).otherwise(1), F.lit(1000)).rlike("[0-9]"))
-    return own.select("doc_id", slop.lint(F.col("text")).alias("l")).select("doc_id", "l.banned", "l.antitheses", "l.score")
+    return rows(spark, sf_dir, _COPY).select("doc_id", slop.lint(F.col("text")).alias("l")).select("doc_id", "l.banned", "l.antitheses", "l.numbers", "l.words", "l.violations", "l.score")
 
 
 @query("""SELECT doc_id, words, greatest(1, sentences)::INTEGER AS sentences, floor(words / greatest(1, sentences)::DOUBLE + 0.5)::INTEGER AS average FROM (
   SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text, ' \t\n\r'), '\\s+'), lambda w: w <> ''))::INTEGER AS words, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: length(trim(s, ' \t\n\r')) > 5)) AS sentences FROM documents)""")
 def slop_metrics(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", slop.lint(F.col("text")).alias("l")).select("doc_id", "l.words", "l.sentences", "l.average")
+    return table(spark, sf_dir, "documents").select("doc_id", slop.metrics(F.col("text")).alias("l")).select("doc_id", "l.words", "l.sentences", "l.average")
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'um método eficiente ' || doc_id || '.' WHEN 1 THEN 'We analisar topic ' || doc_id ELSE 'plain ' || doc_id END AS cleaned FROM documents")
