@@ -92,6 +92,22 @@ def freed() -> None:
         pass
 
 
+_broadcasts: list = []
+
+
+def shared(spark: SparkSession, value):
+    """A broadcast of value that released() takes back."""
+    _broadcasts.append(spark.sparkContext.broadcast(value))
+    return _broadcasts[-1]
+
+
+def released() -> None:
+    """Takes models and schedules back from the executors, once what needs them is written; a task that runs again fetches its own."""
+    for b in _broadcasts:
+        b.unpersist()
+    _broadcasts.clear()
+
+
 def shipped(spark: SparkSession, path: str) -> str:
     """Gives the workers a file of the driver's; returns the name under which local() finds it there."""
     spark.sparkContext.addFile(path)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import crf, words
-from .common import fold_of, freed, held_out, hold, map_arrow
+from .common import fold_of, freed, held_out, hold, map_arrow, shared
 
 SAMPLE_PER_LANG = 600  #: training documents for each language, chosen by a hash of the id, each whole
 SEQUENCES, LENGTH = 2400, 40
@@ -93,7 +93,7 @@ class _Handle:
 def handle(spark: SparkSession | None, model) -> _Handle:
     import uuid
 
-    return _Handle(spark.sparkContext.broadcast(model) if spark else model, uuid.uuid4().hex)
+    return _Handle(shared(spark, model) if spark else model, uuid.uuid4().hex)
 
 
 def label_texts(table: crf.WordTable, texts: list[str | None]) -> list[tuple[str, float, int, int]]:

@@ -392,8 +392,10 @@ def components(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of documents."""
     scratch: list = []
     sigs, classes = grouped(spark, documents, True, scratch)
-    least = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    whole = written(classes.join(least, "component").select("fp", "component_id"), "neardup-groups")
+    # Most classes are a component of their own; the others' components are few rows, so that a large one needn't meet in one task.
+    least, seen = _small(classes.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "neardup-least", scratch)
+    whole = classes.join(few(least, seen["n"]), "component", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    whole = written(whole, "neardup-groups", scratch)
     # Copies of one text may be a third of all rows: their class is one row here, so the join's other side may be split.
     out = sigs.select("doc_id", "n_shingles", "fp").join(whole, "fp", "left")
     at = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -412,8 +414,10 @@ def dropped_copies(spark: SparkSession, documents: DataFrame) -> DataFrame:
     sigs, classes = grouped(spark, documents, False, scratch)
     rows = sigs.where("fp is not null and doc_id is not null").groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
     rows = rows.join(classes.select("fp", "component"), "fp")
-    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
-    rows = rows.join(best, "component").withColumn("kept", F.struct("doc_id", "text_hash") == F.col("best"))
+    rows = written(rows, "neardup-rows", scratch)
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"), F.sum("rows").alias("n")).where("n > 1").drop("n")
+    best, groups = _small(best, "neardup-best", scratch)
+    rows = rows.join(few(best, groups["n"]), "component").withColumn("kept", F.struct("doc_id", "text_hash") == F.col("best"))
     odd, seen = measured(rows.where("not kept or rows > 1").select("doc_id", "text_hash", "kept"), "neardup-gone", None, again=F.count_if("kept"))
     dropped(spark, scratch)
     whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
