@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm import codec, langid, mixing, neardup, toxicity
-from pagewright.llm.common import table, written
+from pagewright.llm.common import dropped, released, table, written
 from pagewright.llm.queries import tokenizer
 
 
@@ -28,14 +28,22 @@ def _back(rows: DataFrame, docs: DataFrame, names: list[str], *more: str) -> Dat
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that toxicity doesn't predict to be toxic."""
+    """Keeps documents that toxicity doesn't predict to be toxic.
+
+    Null and empty texts, null ids and rows that repeat are scored alone, null and empty ones as clean. Very long texts are
+    scored whole. No rows in, no rows out. Columns of any name go through; without labels of both classes all rows stay.
+    """
     model = toxicity.learned(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     aside, names = _aside(docs)
     return _back(toxicity.score(aside, model, keep=names).where("predicted = 0"), docs, names)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of which one language holds a clear share; drops those without a letter."""
+    """Keeps documents of which one language holds a clear share; drops those without a letter, null and empty texts among them.
+
+    Null ids and rows that repeat are judged alone, very long texts whole. No rows in, no rows out. Columns of any name go
+    through. Without a labelled row to learn from every row goes, as no language is known.
+    """
     model = langid.learned(spark, table(spark, sf_dir, "documents"))
     aside, names = _aside(docs)
     found = langid.predict(aside, model, keep=names)
@@ -43,12 +51,20 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near copies."""
+    """Keeps the document of least id of each group of near copies, by text and row; of rows equal in id and text one.
+
+    Null ids, null texts and texts without words stay. Very long texts are compared whole. No rows in, no rows out. Columns
+    of any name go through.
+    """
     return neardup.dropped_copies(spark, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order of the schedule."""
+    """All rows, in the order of the schedule.
+
+    A null source is a source of its own; null ids, null texts, rows that repeat and very long texts are rows like others.
+    No rows in, no rows out. Columns of any name go through.
+    """
     return mixing.mixed(docs)
 
 
@@ -56,6 +72,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with the digests of their token ids and of the text decoded from them, in the order of the mix.
 
     Files of a table are read in no fixed order. The schedule is a function of the rows, so it is worked out again here.
+    A null or empty text has no tokens; null ids stay null; rows that repeat are encoded one by one, very long texts whole.
+    No rows in, no rows out. A column named like one of the three gives way to it.
     """
     aside, names = _aside(mixing.mixed(docs))
     return _back(codec.round_trip(aside, tokenizer(codec.FILE), keep=names), docs, names, "n_tokens", "ids_sha256", "decoded_sha256")
@@ -73,7 +91,11 @@ ORACLE_SQL = None  # trained models, MinHash and byte-pair merges; tests hold ea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made: list = []
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", made)
+        released()
+        dropped(spark, before)  # what this stage read
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)
