@@ -12,7 +12,6 @@ from .rx import fold_accents
 TRACKING_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid"]
 MAX_PATTERNS, MAX_PATTERN_LENGTH = 10, 200
 SOCIAL_HOSTS = {"instagram": ["instagram.com"], "linkedin": ["linkedin.com"], "reddit": ["reddit.com"], "twitter": ["twitter.com", "x.com"]}
-NETWORKS = {"instagram": ["instagram.com"], "facebook": ["facebook.com", "fb.com"], "linkedin": ["linkedin.com"], "youtube": ["youtube.com", "youtu.be"], "tiktok": ["tiktok.com"], "twitter": ["twitter.com", "x.com"]}
 
 
 def part(url: Column, name: str) -> Column:
@@ -138,13 +137,55 @@ def platform(url: Column) -> Column:
     return out.otherwise("unknown")
 
 
+# What the path of a profile must or must not hold, by network; a link to a post or a share button is no profile.
+PROFILE_PATHS = {
+    "instagram": (None, ["/p/", "/stories/", "/explore/"]), "linkedin": (["/company/", "/in/"], []), "facebook": (None, ["/sharer", "/share.php"]),
+    "twitter": (None, ["/intent/", "/share"]), "youtube": (["/@", "/channel/", "/c/"], []), "github": (None, []), "tiktok": (["/@"], []),
+}
+PROFILE_HOSTS = {"instagram": ["instagram.com"], "linkedin": ["linkedin.com"], "facebook": ["facebook.com"], "twitter": ["twitter.com", "x.com"], "youtube": ["youtube.com"], "github": ["github.com"], "tiktok": ["tiktok.com"]}
+# Hosts of profiles, which are no websites of their own.
+SOCIAL_DOMAINS = ["instagram.com", "facebook.com", "fb.com", "tiktok.com", "twitter.com", "x.com", "linkedin.com", "wa.me", "whatsapp.com", "linktr.ee"]
+
+
 def network(url: Column) -> Column:
+    """The network of which a URL is a profile, by its host and path; null for other links."""
+    low, out = F.lower(url), F.when(F.lit(False), "")
+    any_of = lambda parts: F.array_contains(F.array(*[low.contains(p) for p in parts]), True)
+    for name, domains in PROFILE_HOSTS.items():
+        wanted, barred = PROFILE_PATHS[name]
+        ok = F.lit(True) if wanted is None else any_of(wanted)
+        out = out.when(host_in(host(url), domains), F.when(ok & ~any_of(barred) if barred else ok, name))
+    return out
+
+
+def normalised_url(raw: Column) -> Column:
+    """An http(s) URL, with https:// where there is no scheme; null for any other text."""
+    v = F.trim(raw)
+    whole = F.when(v.contains("://"), v).otherwise(F.concat(F.lit("https://"), v))
+    return F.when((v != "") & part(whole, "PROTOCOL").isin("http", "https") & (F.coalesce(part(whole, "HOST"), F.lit("")) != ""), whole)
+
+
+def social_domain(raw: Column) -> Column:
+    """The network's domain of a profile URL, else null."""
+    h = F.regexp_replace(host(normalised_url(raw)), r"^www\.", "")
     out = F.when(F.lit(False), "")
-    for name, domains in NETWORKS.items():
-        out = out.when(host_in(host(url), domains), name)
+    for d in SOCIAL_DOMAINS:
+        out = out.when((h == d) | h.endswith("." + d), d)
     return out
 
 
+def site_and_instagram(website: Column, instagram: Column) -> Column:
+    """Struct website, instagram of a row's two cells: a profile in the website's place is no website, but may be the profile."""
+    site, profile = normalised_url(website), F.when(social_domain(instagram) == "instagram.com", normalised_url(instagram))
+    where = social_domain(website)
+    return F.struct(F.when(where.isNull(), site).alias("website"), F.coalesce(profile, F.when(where == "instagram.com", site)).alias("instagram"))
+
+
+def email_site(website: Column) -> Column:
+    """Whether a website may hold addresses: there is one, and it is no profile."""
+    return (F.coalesce(website, F.lit("")) != "") & social_domain(website).isNull()
+
+
 def without_query(url: Column) -> Column:
     return F.substring_index(F.substring_index(url, "#", 1), "?", 1)
 

@@ -105,6 +105,51 @@ def shared_checkpoints(spark) -> None:
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"pagewright-crawl-{os.getpid()}"))
 
 
+def crawl_site(pages: DataFrame, links: DataFrame, start: str, rules: DataFrame | None = None, max_depth: int = 2, max_pages: int = 20) -> DataFrame:
+    """Crawls stored pages (url, error) over links (src, dst) from `start`: url, depth, error of at most max_pages, nearest first.
+
+    Only URLs of the start's host that robots rules allow are followed, and each once; pages that failed or aren't stored
+    count, but lead nowhere. A depth is followed on only while pages and queue stay below twice max_pages. Order within a
+    depth is that of the URLs, where the first to answer would come first.
+    """
+    spark = pages.sparkSession
+    shared_checkpoints(spark)
+    own = links.where(urls.host(F.col("dst")) == urls.host(F.lit(start))).select("src", F.substring_index("dst", "#", 1).alias("dst"))
+    may = lambda df: df if rules is None else allowed(df, rules).select("url")
+    seen = may(spark.createDataFrame([(start,)], "url string")).withColumn("depth", F.lit(0)).join(pages.select("url", "error", F.lit(True).alias("stored")), "url", "left")
+    seen = seen.select("url", "depth", F.when(F.col("stored").isNull(), "not stored").otherwise(F.col("error")).alias("error")).checkpoint()
+    frontier, known = seen, seen.count()
+    for depth in range(1, max_depth + 1):
+        if known >= 2 * max_pages:
+            break
+        nxt = frontier.where("error is null").join(own, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+        found = may(nxt).withColumn("depth", F.lit(depth)).join(pages.select("url", "error", F.lit(True).alias("stored")), "url", "left")
+        frontier = found.select("url", "depth", F.when(F.col("stored").isNull(), "not stored").otherwise(F.col("error")).alias("error")).checkpoint()
+        n = frontier.count()
+        if not n:
+            break
+        seen, known = seen.unionByName(frontier), known + n
+    return seen.orderBy("depth", "url").limit(max_pages)
+
+
+def batch_totals(pages: DataFrame) -> DataFrame:
+    """Totals of a batch (url, error, char_count, estimated_tokens): URLs, successes, failures, characters, tokens."""
+    ok = F.col("error").isNull()
+    total = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).cast("long")
+    return pages.agg(F.count("*").alias("urls"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), total("char_count").alias("chars"), total("estimated_tokens").alias("tokens"))
+
+
+def merged_rounds(reads: DataFrame, limit: int) -> DataFrame:
+    """reads (page, round, place, url, pinned) of a page that grows: posts by URL up to the first round that added none, pinned ones last."""
+    first = first_wins(reads, ["page", "url"], ["round", "place"])
+    grew = first.select("page", "round").distinct()
+    rounds = reads.select("page", "round").distinct().join(grew.withColumn("grew", F.lit(True)), ["page", "round"], "left")
+    end = rounds.where("grew is null").groupBy("page").agg(F.min("round").alias("end"))
+    kept = first.join(end, "page", "left").where(F.col("end").isNull() | (F.col("round") < F.col("end"))).drop("end")
+    w = W.partitionBy("page").orderBy(F.coalesce("pinned", F.lit(False)), "round", "place")
+    return kept.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
+
+
 def crawl_summary(pages: DataFrame) -> DataFrame:
     """Totals of crawled pages (url, depth, char_count, estimated_tokens, error)."""
     return pages.agg(F.count("*").alias("pages"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.sum("char_count").alias("chars"), F.sum("estimated_tokens").alias("tokens"), F.max("depth").alias("deepest"))
@@ -114,6 +159,25 @@ def unvisited(candidates: DataFrame, visited: DataFrame, key: str = "url") -> Da
     return candidates.join(visited.select(key).distinct(), key, "left_anti")
 
 
+# Hours for which an entry of a kind holds.
+TTL_HOURS = {"page": 24, "mail_server": 6, "email": 6, "place": 24, "crawl": 1}
+MOST_EMAIL_ENTRIES = 2048  #: beyond, the whole table of emails is emptied
+
+
+def fresh(entries: DataFrame, kind: str, now: Column) -> DataFrame:
+    """Entries (cached_at) of a kind that still hold."""
+    return entries.where(F.col("cached_at") > now - F.expr(f"interval {TTL_HOURS[kind]} hours"))
+
+
+def cache_purged(cache: DataFrame, now: Column, kind: str = "page") -> DataFrame:
+    """What stays when entries past their time go."""
+    return fresh(cache, kind, now)
+
+
+def cache_size(cache: DataFrame) -> DataFrame:
+    return cache.agg(F.count("*").alias("entries"))
+
+
 def cached(requests: DataFrame, cache: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """requests (key) with the cached content of the last hours, and whether it was a hit."""
     fresh = cache.where(F.col("cached_at") > now - F.expr(f"interval {hours} hours"))

@@ -550,14 +550,24 @@ def decoded(content: Column, content_type: Column) -> Column:
     return run(content, content_type)
 
 
-def document_text(pages: DataFrame) -> DataFrame:
-    """pages (url, content, content_type) -> text, kind, parse_error: PDF isn't read here, plain text passes, the rest is HTML."""
+MOST_BYTES = 15_000_000  #: of a body; larger ones give an error instead of a text
+
+
+def document_text(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """pages (url, content, content_type, and final_url after redirects if known) -> url, final_url, kind, text, parse_error.
+
+    PDF isn't read here, plain text passes, the rest is HTML, whose links are resolved against the final URL.
+    """
+    if "final_url" not in pages.columns:
+        pages = pages.withColumn("final_url", F.col("url"))
+    large = F.octet_length("content") > most_bytes
+    pages = pages.withColumn("large", F.coalesce(large, F.lit(False))).withColumn("content", F.when(~large, F.col("content")))
     low = F.lower(F.coalesce("content_type", F.lit("")))
     kind = F.when(low.contains("application/pdf") | (F.decode(F.substring("content", 1, 5), "ISO-8859-1") == "%PDF-"), "pdf").when(low.rlike("text/(plain|markdown)"), "text").otherwise("html")
     read = pages.withColumn("kind", kind).withColumn("body", decoded(F.col("content"), F.col("content_type")))
     plain = F.trim(F.regexp_replace("body", "\r\n", "\n"))
-    made = products(F.when(F.col("kind") == "html", F.col("body")), F.col("url"), ["markdown"])["markdown"]
-    return read.select("url", "kind", F.when(F.col("kind") == "text", plain).when(F.col("kind") == "html", made).alias("text"), F.when(F.col("kind") == "pdf", "PDF could not be parsed").alias("parse_error"))
+    made = products(F.when(F.col("kind") == "html", F.col("body")), F.col("final_url"), ["markdown"])["markdown"]
+    return read.select("url", "final_url", "kind", F.when(F.col("large"), F.lit(None).cast("string")).when(F.col("kind") == "text", plain).when(F.col("kind") == "html", made).alias("text"), F.when(F.col("large"), "the body is too large").when(F.col("kind") == "pdf", "PDF could not be parsed").alias("parse_error"))
 
 
 def markdown_pages(pages: DataFrame, **options) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
+from ..functions.rx import SPACES
 from .crawl import shared_checkpoints
 
-STATUSES = ["draft", "queued", "running", "succeeded", "failed", "canceled", "timed_out", "interrupted"]
-TERMINAL = ["succeeded", "failed", "canceled", "timed_out", "interrupted"]
+# States of a job; all but the first two are final.
+STATUSES = ["queued", "running", "succeeded", "failed", "timed_out", "canceled", "interrupted", "worker_lost"]
+TERMINAL = STATUSES[2:]
+LONGEST_MESSAGE = 1000
 DRIFT_WINDOW, DRIFT_RATIO = 50, 0.95
 
 
@@ -35,15 +38,107 @@ def claim(jobs: DataFrame, now: Column, worker: str, size: int, lease_seconds: i
 
 
 def recovered(jobs: DataFrame, now: Column) -> DataFrame:
-    """Running jobs whose lease ran out go back to the queue while they have attempts left, else fail as worker_lost."""
+    """Running jobs whose lease ran out go back to the queue while they have attempts left, else end as worker_lost."""
     lost = F.coalesce((F.col("status") == "running") & (F.col("lease_expires_at") < now), F.lit(False))
     again = F.col("attempts") < F.col("max_attempts")
-    return jobs.withColumns({"status": F.when(lost & again, "queued").when(lost, "failed").otherwise(F.col("status")), "error": F.when(lost & ~again, "worker_lost")})
+    return jobs.withColumns({"status": F.when(lost & again, "queued").when(lost, "worker_lost").otherwise(F.col("status")), "error": F.when(lost & ~again, "worker_lost")})
 
 
 def failed(jobs: DataFrame, message: Column) -> DataFrame:
     """Back to the queue while attempts are left, else failed; messages are cut at 1000 characters."""
-    return jobs.withColumns({"status": F.when(F.col("attempts") < F.col("max_attempts"), "queued").otherwise("failed"), "error": F.substring(message, 1, 1000)})
+    return jobs.withColumns({"status": F.when(F.col("attempts") < F.col("max_attempts"), "queued").otherwise("failed"), "error": F.substring(message, 1, LONGEST_MESSAGE)})
+
+
+def with_status(jobs: DataFrame, status: str = "") -> DataFrame:
+    """Jobs of a state; all of them for an empty one. An unknown state is an error."""
+    if status and status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}; there are: {', '.join(STATUSES)}")
+    return jobs.where(F.col("status") == status) if status else jobs
+
+
+def _changed(jobs: DataFrame, wanted: DataFrame, guard: Column, changes: dict) -> DataFrame:
+    """jobs with changes to those rows that are wanted (job_id, and what changes name) and meet the guard."""
+    both = jobs.alias("j").join(wanted.withColumn("_wanted", F.lit(True)).alias("w"), F.col("j.job_id") == F.col("w.job_id"), "left")
+    hit = F.coalesce(F.col("w._wanted") & guard, F.lit(False))
+    return both.select(*[(F.when(hit, changes[c]).otherwise(F.col(f"j.{c}")) if c in changes else F.col(f"j.{c}")).alias(c) for c in jobs.columns])
+
+
+def _lease(now: Column, seconds: int) -> Column:
+    return now + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+
+
+def heartbeat(jobs: DataFrame, beats: DataFrame, now: Column, lease_seconds: int = 45) -> DataFrame:
+    """beats (job_id, worker_id): a running job of that worker gets a new lease; others stay as they are."""
+    own = (F.col("j.status") == "running") & (F.col("j.worker_id") == F.col("w.worker_id"))
+    return _changed(jobs, beats, own, {"lease_expires_at": _lease(now, lease_seconds), "updated_at": now})
+
+
+def acknowledged(jobs: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """done (job_id, worker_id): a running job of that worker has succeeded."""
+    own = (F.col("j.status") == "running") & (F.col("j.worker_id") == F.col("w.worker_id"))
+    return _changed(jobs, done, own, {"status": F.lit("succeeded"), "worker_id": F.lit(""), "lease_expires_at": F.lit(None), "error": F.lit(""), "updated_at": now})
+
+
+def finished(jobs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """outcomes (job_id, status, error): running jobs end so; a job that isn't running stays. Only final states may be asked for."""
+    checked = outcomes.withColumn("status", F.when(F.col("status").isin(TERMINAL), F.col("status")).otherwise(F.raise_error(F.lit("finish requires a terminal status")).cast("string")))
+    changes = {"status": F.col("w.status"), "error": F.substring(F.col("w.error"), 1, LONGEST_MESSAGE), "worker_id": F.lit(""), "lease_expires_at": F.lit(None), "updated_at": now}
+    return _changed(jobs, checked, F.col("j.status") == "running", changes)
+
+
+def canceled(jobs: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """wanted (job_id): a queued job is canceled at once, a running one is marked for its worker to see."""
+    live = F.col("j.status").isin("queued", "running")
+    return _changed(jobs, wanted, live, {"status": F.when(F.col("j.status") == "queued", "canceled").otherwise(F.col("j.status")), "cancel_requested_at": now, "updated_at": now})
+
+
+def retried(jobs: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """wanted (job_id): an ended job goes back to the queue as if it had never run."""
+    changes = {"status": F.lit("queued"), "attempts": F.lit(0), "worker_id": F.lit(""), "lease_expires_at": F.lit(None), "cancel_requested_at": F.lit(None), "error": F.lit(""), "updated_at": now}
+    return _changed(jobs, wanted, F.col("j.status").isin(TERMINAL), changes)
+
+
+def events_since(events: DataFrame, last_id: Column | int, job_id: str | None = None) -> DataFrame:
+    """Events (event_id, job_id, ...) after an id, in order: of one job, or of all."""
+    after = events.where(F.col("event_id") > last_id)
+    return (after if job_id is None else after.where(F.col("job_id") == job_id)).orderBy("event_id")
+
+
+IDLE_TICKS = 3
+
+
+def completion(ticks: DataFrame) -> DataFrame:
+    """ticks (run_id, tick, seeds, seeds_done, found, places_done) -> run_id, tick and reason of each run's end; null while it goes on.
+
+    done: all seeds and all places that were found; idle: something was done once, and nothing more in three ticks.
+    """
+    w = W.partitionBy("run_id").orderBy("tick")
+    before = [F.lag(c).over(w) for c in ("seeds_done", "places_done")]
+    moved = F.coalesce((F.col("seeds_done") != before[0]) | (F.col("places_done") != before[1]), F.lit(True))
+    since = ticks.withColumn("_moved", F.max(F.when(moved, F.col("tick"))).over(w))
+    idle = (F.count(F.lit(1)).over(W.partitionBy("run_id", "_moved").orderBy("tick")) - 1 >= IDLE_TICKS) & ((F.col("seeds_done") > 0) | (F.col("places_done") > 0))
+    done = (F.col("seeds_done") >= F.col("seeds")) & (F.col("places_done") >= F.col("found"))
+    marked = since.withColumn("_idle", idle).withColumn("_why", F.when(done, "done").when(F.col("_idle"), "idle"))
+    return marked.groupBy("run_id").agg(F.min(F.when(F.col("_why").isNotNull(), F.struct("tick", "_why"))).alias("e")).select("run_id", F.col("e.tick").alias("tick"), F.col("e._why").alias("reason"))
+
+
+def until_quiet(results: DataFrame, idle_ms: int, timeout_ms: int, limit: int) -> DataFrame:
+    """results (run_id, at_ms since the run's begin, item): those before the run is cut off, with the reason on its last one.
+
+    A run ends at its limit of results, after `idle_ms` without one, or at its timeout.
+    """
+    w = W.partitionBy("run_id").orderBy("at_ms", "item")
+    placed = results.withColumn("n", F.row_number().over(w)).withColumn("_gap", F.col("at_ms") - F.lag("at_ms").over(w))
+    broken = F.max(F.coalesce(F.col("_gap") > idle_ms, F.lit(False))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    kept = placed.withColumn("_broken", broken).where((F.col("n") <= limit) & (F.col("at_ms") <= timeout_ms) & ~F.col("_broken"))
+    last = F.max("n").over(W.partitionBy("run_id"))
+    why = F.when(F.col("n") == limit, "limit").when(F.col("at_ms") + idle_ms > timeout_ms, "timeout").otherwise("idle")
+    return kept.withColumn("reason", F.when(F.col("n") == last, why)).drop("_gap", "_broken")
+
+
+def coalesced(requests: DataFrame, key: list[str]) -> DataFrame:
+    """One request for all that ask for the same at once, and how many there are."""
+    return requests.groupBy(*key).agg(F.count("*").alias("waiting"))
 
 
 def outcome(deadline: Column, canceled: Column, rows: Column, cancel_requested: Column, error: Column) -> Column:
@@ -144,6 +239,19 @@ def backoff_schedule(first_ms: int, factor: int, retries: int, spark) -> DataFra
     return spark.range(1, retries + 1).select(F.col("id").cast("int").alias("attempt"), (F.lit(first_ms) * F.pow(F.lit(factor), F.col("id") - 1)).cast("long").alias("delay_ms"))
 
 
+VISIBLE = 100  #: characters without white space that a page of a benchmark must have
+
+
+def bench_worked(status: Column, markdown: Column) -> Column:
+    """Whether a benchmark's request worked: status 200 and enough visible characters."""
+    return F.coalesce((status == 200) & (F.length(F.regexp_replace(markdown, f"[{SPACES}]+", "")) >= VISIBLE), F.lit(False))
+
+
+def bench_sites(runs: DataFrame, sites: DataFrame) -> DataFrame:
+    """Runs with their site's columns, by site_id; runs of unknown sites go."""
+    return runs.join(sites, "site_id")
+
+
 def bench_summary(rows: DataFrame) -> DataFrame:
     """Per tool, and per tool and country: count, share that worked, P50 and P95 by nearest rank, median tokens, emails a site."""
     view = rows.withColumns({"ok_ms": F.when(F.col("ok"), F.col("ms")), "ok_tokens": F.when(F.col("ok"), F.col("tokens"))})

@@ -262,18 +262,64 @@ def stringified(c: Column, kind: str) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+# Columns of an export, in order.
+EXPORT_COLUMNS = [
+    "input_id", "link", "title", "category", "categories", "address", "open_hours", "popular_times", "website", "instagram", "phone", "plus_code", "review_count",
+    "review_rating", "reviews_per_rating", "latitude", "longitude", "cid", "status", "descriptions", "reviews_link", "thumbnail", "timezone", "price_range", "data_id",
+    "street_view_url", "place_id", "images", "reservations", "order_online", "menu", "owner", "complete_address", "credit_cards_accepted", "about", "user_reviews",
+    "user_reviews_extended", "emails",
+]
+# Header of the spreadsheet for local readers, in order.
+FRIENDLY_HEADER = [
+    "Nome", "Categoria principal", "Outras categorias", "Endereço", "Bairro", "Cidade", "Estado", "CEP", "País", "Telefone", "Site", "Instagram", "E-mails", "Avaliação",
+    "Quantidade de avaliações", "Horário de funcionamento", "Descrição", "Faixa de preço", "Responsável", "Google Maps", "Latitude", "Longitude",
+]
+
+
 def export_rows(leads: DataFrame) -> DataFrame:
-    return leads.select(*[stringified(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in leads.schema])
+    """The 38 columns of an export as text; a column that leads lack is empty. A profile in the website's place is no website."""
+    kinds = {f.name: f.dataType.simpleString() for f in leads.schema}
+    cell = lambda c: stringified(F.col(c), kinds[c]) if c in kinds else F.lit("")
+    out = {c: cell(c) for c in EXPORT_COLUMNS}
+    if "website" in kinds:
+        site = F.coalesce(F.trim("website"), F.lit(""))
+        where = urls.social_domain(site)
+        out["website"] = F.when(where.isNull(), site).otherwise("")
+        out["instagram"] = F.when(where == "instagram.com", site).otherwise("")
+    return leads.select(*[out[c].alias(c) for c in EXPORT_COLUMNS])
 
 
 def friendly_rows(rows: DataFrame) -> DataFrame:
-    """Rows for a local spreadsheet: cells made safe, decimals with a comma, hours as text."""
-    return rows.select(
-        pages.strict_cell(F.col("title")).alias("name"), pages.strict_cell(F.col("category")).alias("category"), pages.strict_cell(F.col("phone")).alias("phone"),
-        pages.strict_cell(F.when(~F.coalesce(is_instagram(F.col("website")), F.lit(False)), F.col("website"))).alias("website"),
-        pages.strict_cell(F.when(is_instagram(F.col("website")), F.col("website"))).alias("instagram"),
-        pages.strict_cell(numbers.mail_list(F.col("emails"))).alias("emails"), numbers.localised_decimal(F.col("review_rating").cast("string")).alias("rating"),
-    )
+    """Result rows (all text, as export_rows() writes them) under the local header: cells made safe, decimals with a comma, hours and lists as text."""
+    have = set(rows.columns)
+
+    def get(*names: str) -> Column:
+        own = [F.nullif(F.trim(F.col(n)), F.lit("")) for n in names if n in have]
+        return F.coalesce(*own, F.lit(""))
+
+    categories = category_list(get("categories"), get("category"))
+    address = F.from_json(get("complete_address"), "street string, borough string, city string, state string, postal_code string, country string")
+    inside = lambda n: F.coalesce(address[n], F.lit(""))
+    parts = F.filter(F.array(*[F.trim(inside(n)) for n in ("street", "borough", "city", "state", "postal_code", "country")]), lambda x: x != "")
+    hours = F.coalesce(numbers.hours_text(F.from_json(get("open_hours"), "map<string,array<string>>")), F.lit(""))
+    sites = urls.site_and_instagram(get("website", "web_site"), get("instagram"))
+    cells = [
+        get("title", "name"), F.coalesce(F.try_element_at(categories, F.lit(1)), F.lit("")), F.array_join(F.slice(categories, 2, F.greatest(F.size(categories), F.lit(1))), " | "),
+        F.coalesce(F.nullif(get("address"), F.lit("")), F.array_join(F.array_distinct(parts), ", ")), inside("borough"), inside("city"), inside("state"), inside("postal_code"), inside("country"),
+        get("phone", "phone_number"), sites["website"], sites["instagram"], numbers.mail_list(get("emails", "email")), numbers.localised_decimal(get("review_rating", "rating")), get("review_count"),
+        hours, get("descriptions", "description"), get("price_range"), numbers.owner_name(get("owner")), get("link"), numbers.localised_decimal(get("latitude")), numbers.localised_decimal(get("longitude")),
+    ]
+    return rows.select(*[pages.strict_cell(F.coalesce(c, F.lit(""))).alias(n) for n, c in zip(FRIENDLY_HEADER, cells)])
+
+
+def plan_totals(plans: DataFrame) -> DataFrame:
+    """One row over growth_plan(): leads, the mean of their lint scores and whether all pass."""
+    return plans.agg(F.count("*").alias("leads"), F.avg("average_slop").alias("average_slop"), F.coalesce(F.bool_and("all_passed"), F.lit(True)).alias("all_passed"))
+
+
+def lead_pages(leads: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
+    """Leads with the stored pages of their key; leads without one stay."""
+    return leads.join(stored, key, "left")
 
 
 def nul_free(df: DataFrame) -> DataFrame:
@@ -298,5 +344,5 @@ def crm_split(leads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted rows for a CRM: first email and the others, rejected rows with their reason)."""
     reason = F.when(F.coalesce(F.trim("title"), F.lit("")) == "", "missing title").when(F.coalesce(F.trim("category"), F.lit("")) == "", "missing category")
     marked = leads.withColumn("reason", reason)
-    good = marked.where("reason is null").select("title", "category", F.try_element_at("emails", F.lit(1)).alias("email"), F.when(F.size("emails") > 1, F.slice("emails", 2, 1000)).alias("other_emails"), "phone", "website")
+    good = marked.where("reason is null").select("title", "category", F.try_element_at("emails", F.lit(1)).alias("email"), F.when(F.size("emails") > 1, F.slice(F.col("emails"), F.lit(2), F.size("emails"))).alias("other_emails"), "phone", "website")
     return good, marked.where("reason is not null")

@@ -78,7 +78,7 @@ def query_cell_cross(spark, sf_dir):
 def lead_page_left_join(spark, sf_dir):
     sites = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lead_id"))
     stored = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lead_id"), F.col("o_orderkey").alias("page_id"))
-    return sites.join(stored, "lead_id", "left")
+    return leads.lead_pages(sites, stored, "lead_id")
 
 
 _NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -173,7 +173,7 @@ _JOBS = f"""SELECT event_id AS job_id, CASE event_type WHEN 'click' THEN 'queued
   CAST(user_id % 5 AS INT) AS priority, ts AS created_at, ts AS updated_at, '' AS worker_id, CASE WHEN event_type = 'view' THEN ts END AS lease_expires_at FROM events"""
 
 
-@query(f"SELECT s AS status, count(job_id) AS n FROM (SELECT unnest(['draft', 'queued', 'running', 'succeeded', 'failed', 'canceled', 'timed_out', 'interrupted']) AS s) LEFT JOIN ({_JOBS}) ON s = status GROUP BY s")
+@query(f"SELECT s AS status, count(job_id) AS n FROM (SELECT unnest(['queued', 'running', 'succeeded', 'failed', 'timed_out', 'canceled', 'interrupted', 'worker_lost']) AS s) LEFT JOIN ({_JOBS}) ON s = status GROUP BY s")
 def jobs_by_status(spark, sf_dir):
     return jobs.by_status(rows(spark, sf_dir, _JOBS))
 
@@ -190,7 +190,7 @@ def queue_dead(spark, sf_dir):
     return dead.select("job_id")
 
 
-@query(f"SELECT job_id, CASE WHEN lost AND attempts < 3 THEN 'queued' WHEN lost THEN 'failed' ELSE status END AS status, CASE WHEN lost AND attempts >= 3 THEN 'worker_lost' END AS error FROM (SELECT *, coalesce(status = 'running' AND lease_expires_at < {_NOW}, FALSE) AS lost FROM ({_JOBS}))")
+@query(f"SELECT job_id, CASE WHEN lost AND attempts < 3 THEN 'queued' WHEN lost THEN 'worker_lost' ELSE status END AS status, CASE WHEN lost AND attempts >= 3 THEN 'worker_lost' END AS error FROM (SELECT *, coalesce(status = 'running' AND lease_expires_at < {_NOW}, FALSE) AS lost FROM ({_JOBS}))")
 def lease_recovery(spark, sf_dir):
     return jobs.recovered(rows(spark, sf_dir, _JOBS), F.expr(_NOW)).select("job_id", "status", "error")
 

@@ -74,6 +74,78 @@ def upsert_ignore(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return batch.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
+def written_in_batches(df: DataFrame, write, size: int = 100, retries: int = 3) -> DataFrame:
+    """Hands rows to write(list of dicts) in batches; returns a row for each row that was refused: its JSON and the reason.
+
+    A batch that fails is tried again, then row by row without NUL characters; what fails alone is refused. Tasks may run
+    again after a lost executor, so `write` must bear a row twice, as an upsert does.
+    """
+
+    def clean(v):
+        if isinstance(v, str):
+            return v.replace("\x00", "")
+        return [clean(x) for x in v] if isinstance(v, list) else {k: clean(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    def run(frames):
+        import json
+
+        import pandas as pd
+
+        def refused(rows: list[dict]) -> list[tuple[str, str]]:
+            error = None
+            for _ in range(retries):
+                try:
+                    write(rows)
+                    return []
+                except Exception as e:  # whatever the writer raises; its text becomes the reason
+                    error = e
+            if len(rows) > 1:
+                return [x for row in rows for x in refused([clean(row)])]
+            return [(json.dumps(rows[0], default=str, ensure_ascii=False), str(error))]
+
+        for frame in frames:
+            rows = frame.to_dict("records")
+            out = [x for at in range(0, len(rows), size) for x in refused(rows[at : at + size])]
+            yield pd.DataFrame(out, columns=["value", "reason"])
+
+    return df.mapInPandas(run, "value string, reason string")
+
+
+def write_totals(rows: DataFrame, refused: DataFrame) -> DataFrame:
+    """One row: how many rows a writer took and refused."""
+    return rows.agg(F.count("*").alias("n")).crossJoin(refused.agg(F.count("*").alias("rejected"))).select((F.col("n") - F.col("rejected")).alias("accepted"), "rejected")
+
+
+def publish(df: DataFrame, path: str, write=None) -> int:
+    """Writes to a folder beside `path` and renames it when it is whole; returns the number of rows.
+
+    What a failed write leaves becomes `<path>.partial`, and its error goes on.
+    """
+    from pyspark.sql import Observation
+
+    spark, seen = df.sparkSession, Observation()
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    made, goal, part = (jvm.Path(p) for p in (path + ".tmp", path, path + ".partial"))
+    fs = goal.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        (write or write_safe_csv)(df.observe(seen, F.count(F.lit(1)).alias("n")), path + ".tmp")
+    except Exception:
+        if fs.exists(made):
+            fs.delete(part, True)
+            fs.rename(made, part)
+        raise
+    fs.delete(goal, True)
+    fs.rename(made, goal)
+    return seen.get["n"]
+
+
+def sanitised_copy(spark, source: str, target: str) -> int:
+    """A CSV file as CSV whose cells no spreadsheet takes for formulas; returns the number of rows."""
+    from .readers import csv_grid
+
+    return publish(csv_grid(spark, source), target)
+
+
 def for_each_batch(write):
     """A foreachBatch callback that hands a batch to a writer plugin as JSON lines, with its epoch for idempotence."""
 

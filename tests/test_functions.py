@@ -87,7 +87,7 @@ def test_lint(spark):
     assert [(g.banned, g.antitheses, g.score, g.is_slop) for g in got] == [(2, 0, 50, True), (0, 0, 0, False), (0, 0, 0, False), (0, 0, 20, True), (0, 1, 30, True)]
     assert values(spark, slop.sanitised, texts[:1]) == ["um método eficiente."]
     placed = values(spark, slop.violations("en"), ["Let us delve into a tapestry"])
-    assert [(v.matched, v.index, v.rule) for v in placed[0]] == [("delve into", 7, "Classic ChatGPT signature vocabulary"), ("tapestry", 20, "Overused florid AI metaphors")]
+    assert [(v.matched, v["index"], v.rule) for v in placed[0]] == [("delve into", 7, "Classic ChatGPT signature vocabulary"), ("tapestry", 20, "Overused florid AI metaphors")]
 
 
 def test_cells_and_pages(spark):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pagewright.plans import flagship, tables, texts  # noqa: F401
+from pagewright.plans import flagship, tables, texts, vectors  # noqa: F401
 from pagewright.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
