@@ -115,7 +115,7 @@ def crawl_site(pages: DataFrame, links: DataFrame, start: str, rules: DataFrame
     spark = pages.sparkSession
     shared_checkpoints(spark)
     own = links.where(urls.host(F.col("dst")) == urls.host(F.lit(start))).select("src", F.substring_index("dst", "#", 1).alias("dst"))
-    may = lambda df: df if rules is None else allowed(df, rules).select("url")
+    may = lambda df: df if rules is None else allowed(df, rules).where("allowed").select("url")
     seen = may(spark.createDataFrame([(start,)], "url string")).withColumn("depth", F.lit(0)).join(pages.select("url", "error", F.lit(True).alias("stored")), "url", "left")
     seen = seen.select("url", "depth", F.when(F.col("stored").isNull(), "not stored").otherwise(F.col("error")).alias("error")).checkpoint()
     frontier, known = seen, seen.count()

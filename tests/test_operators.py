@@ -199,3 +199,71 @@ def test_streams(spark, tmp_path):
     seen = []
     streams.drift_batches(lambda *x: seen.append(x), ["phone"])(spark.createDataFrame([("",), (None,)], "phone string"), 3)
     assert seen == [(3, 2, {"phone": 1.0}, True)]
+
+
+def test_contacts_of_pages(spark):
+    html = """<html><body><p>Ligue (62) 99999-9999. CNPJ 04.740.714/0001-97. vendas@loja.com.br</p><a href="tel:+556233334444">Telefone</a>
+    <a href="https://instagram.com/loja">Instagram</a><a href="https://instagram.com/p/1">post</a><a href="https://wa.me/5562999999999">chat</a></body></html>"""
+    made = leads.contacts(spark.createDataFrame([("loja", "https://loja.com.br/", 0, html)], "site string, url string, page_rank int, html string"))
+    assert sorted((r.type, r.origin, r.value) for r in made.collect()) == [
+        ("cnpj", "text", "04740714000197"), ("email", "text", "vendas@loja.com.br"), ("phone", "tel", "+556233334444"), ("phone", "text", "+5562999999999"),
+        ("social", "instagram", "https://instagram.com/loja"), ("whatsapp", "html", "+5562999999999"),
+    ]
+    one = leads.merged_contacts(made).collect()[0]
+    assert [(p.value, p.whatsapp) for p in one.phones] == [("+556233334444", False), ("+5562999999999", True)] and one.cnpjs == ["04740714000197"]
+
+
+def test_refused_rows_come_back(spark):
+    rows = spark.createDataFrame([(i, "bad" if i in (7, 31) else "nul\x00" if i == 12 else f"t{i}") for i in range(40)], "id int, text string").coalesce(1)
+
+    def write(batch):
+        if any(r["text"] == "bad" or "\x00" in r["text"] for r in batch):
+            raise ValueError("no such text")
+
+    refused = sinks.written_in_batches(rows, write, size=10, retries=2)
+    assert sorted((r.value, r.reason) for r in refused.collect()) == [('{"id": 31, "text": "bad"}', "no such text"), ('{"id": 7, "text": "bad"}', "no such text")]
+    assert sinks.write_totals(rows, refused).collect()[0].asDict() == {"accepted": 38, "rejected": 2}
+
+
+def test_publishing_is_whole_or_partial(spark, tmp_path):
+    df = spark.createDataFrame([("=1", 1), ("b", 2)], "a string, n int")
+    assert sinks.publish(df, str(tmp_path / "out")) == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["out"]
+
+    def broken(rows, path):
+        rows.limit(1).write.csv(path)
+        raise RuntimeError("the disk is gone")
+
+    with pytest.raises(RuntimeError):
+        sinks.publish(df, str(tmp_path / "late"), broken)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["late.partial", "out"]
+    (tmp_path / "in.csv").write_text('h,v\n"=x",1\nplain,2\n')
+    assert sinks.sanitised_copy(spark, str(tmp_path / "in.csv"), str(tmp_path / "safe")) == 2
+    assert "'=x" in "".join(p.read_text() for p in (tmp_path / "safe").glob("part-*"))
+
+
+def test_large_bodies_and_final_urls(spark):
+    rows = [("https://a.example/x", "https://b.example/y/z", bytearray(b"<p><a href='../w'>link to a page</a> and words around it</p>"), "text/html"), ("https://a.example/big", "https://a.example/big", bytearray(b"x" * 5000), "text/plain")]
+    out = {r.url: r for r in dom.document_text(spark.createDataFrame(rows, "url string, final_url string, content binary, content_type string"), most_bytes=1000).collect()}
+    assert "(https://b.example/w)" in out["https://a.example/x"].text and out["https://a.example/x"].final_url == "https://b.example/y/z"
+    assert out["https://a.example/big"].text is None and out["https://a.example/big"].parse_error == "the body is too large"
+
+
+def test_states_are_checked(spark):
+    own = spark.createDataFrame([(1, "running", "w", 1, "")], "job_id int, status string, worker_id string, attempts int, error string")
+    with pytest.raises(ValueError):
+        jobs.with_status(own, "sleeping")
+    assert jobs.with_status(own).count() == 1
+    with pytest.raises(Exception, match="terminal"):
+        jobs.finished(own.selectExpr("*", "cast(null as timestamp) lease_expires_at", "cast(null as timestamp) updated_at"), spark.createDataFrame([(1, "queued", "")], "job_id int, status string, error string"), F.current_timestamp()).collect()
+
+
+def test_each_rule_is_one_expression(spark):
+    """Lint and intent: no rule stands twice in the optimised plan."""
+    from pagewright.functions import intent, slop
+
+    docs = spark.createDataFrame([("some text",)], "text string")
+    for made, rules in ((slop.lint(F.col("text")), len(slop.rules())), (intent.score(F.col("text")), sum(map(len, (intent.LEXICONS["generic"].buyer, intent.LEXICONS["generic"].question, intent.LEXICONS["generic"].seller))))):
+        plan = docs.select(made.alias("x")).select("x.*")._jdf.queryExecution().optimizedPlan().toString()
+        uses = plan.count("regexp_extract_all(") + plan.count("regexp_extract(")
+        assert rules <= uses <= rules + 8, uses
