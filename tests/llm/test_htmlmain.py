@@ -105,3 +105,35 @@ def test_a_very_long_page(trees):
     page = f"<html><body><nav><a href='/'>Home</a></nav><article>{body}</article><footer>Copyright</footer></body></html>"
     text = htmlmain.extract_pages([page], trees)[0]
     assert text.split("\n\n") == [f"Sentence {i} of the article, which goes on, and on." for i in range(20_000)]
+
+
+def slow_odds(trees, row):
+    """One node's log-odds, tree by tree and step by step."""
+    total = trees.base
+    for feature, cut, value in zip(trees.feature, trees.cut, trees.value):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + 1 + int(row[feature[at]] > cut[at])
+        total += value[at - len(feature)]
+    return total
+
+
+def test_pages_by_brute_force(trees):
+    """Small pages whole: odds step by step, and every labelling in which what is kept lies in kept ancestors."""
+    import itertools
+    import random
+
+    r = random.Random(4)
+    words = "<p>Some words of the article, which say a thing or two. And more of them.</p> <nav><a href='/'>Home</a></nav> <div class='comment'>Nice!</div> <h2>A heading</h2> <footer>Copyright 2024</footer> <li>one item</li> <aside>Read also</aside>"
+    parts = [p for p in re.findall(r"<(?:p|nav|div|h2|footer|li|aside).*?</(?:p|nav|div|h2|footer|li|aside)>", words)]
+    for _ in range(25):
+        inner = "".join(r.choice(parts) for _ in range(r.randint(1, 3)))
+        page = f"<body><{(tag := r.choice(['article', 'div', 'section']))}>{inner}</{tag}></body>"
+        nodes = htmlmain.parse(page)
+        odds = [slow_odds(trees, x) for x in htmlmain.features(nodes)]
+        best = max(
+            (k for k in itertools.product([False, True], repeat=len(nodes)) if k[0] and all(not on or v.parent < 0 or k[v.parent] for on, v in zip(k, nodes))),
+            key=lambda k: sum(o for o, on in zip(odds, k) if on),
+        )
+        want = "\n\n".join(v.text for v, on in zip(nodes, best) if on and v.text is not None)
+        assert htmlmain.extract_pages([page], trees) == [want]
