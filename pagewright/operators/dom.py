@@ -428,9 +428,9 @@ def booking_target(href: str, base: str) -> bool:
         return False
 
 
-def audit(html: str, url: str) -> dict:
-    """SEO checklist of 100 points, conversion channels, services and digital maturity."""
-    root = parse(html)
+def audit(html: str, url: str, root: El | None = None) -> dict:
+    """SEO checklist of 100 points, conversion channels, services and digital maturity. root: the page, if it is parsed already."""
+    root = root or parse(html)
     all_ = list(root.walk())
     own = metadata(root)
     own["title"] = next((_one_line(e.text()) for e in all_ if e.tag == "title"), "") or None
@@ -509,12 +509,12 @@ def products(html: Column, url: Column, want: list[str], selector: str | None =
             page, own, root = page or "", own or "", None
             row = {}
             for n in want:
-                if n in ("visible", "links", "phone_links", "metadata", "fields"):
+                if n != "markdown":  # which changes its tree
                     root = root or parse(page)
                 if n == "markdown":
                     row[n] = to_markdown(page, own, selector, links, images)
                 elif n == "audit":
-                    row[n] = audit(page, own)
+                    row[n] = audit(page, own, root)
                 else:
                     row[n] = {"visible": lambda: visible_text(root), "links": lambda: links_of(root, own), "phone_links": lambda: phone_links_of(root), "metadata": lambda: metadata(root), "fields": lambda: fields(root, schema or {})}[n]()
             rows.append(row)
