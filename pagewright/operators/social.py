@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers, pages, urls
-from ..functions.rx import trimmed
+from ..functions.rx import let, trimmed
 from .crawl import first_wins
 
 FOLLOWERS, FOLLOWING, POSTS = ["followers", "seguidores"], ["following", "seguindo"], ["posts", "publicações", "publicacoes", "threads"]
@@ -43,6 +43,40 @@ def item_videos(rows: DataFrame) -> DataFrame:
     return first_wins(made, ["id"], ["source_rank", "place"])
 
 
+def page_data_videos(pages_: DataFrame) -> DataFrame:
+    """pages (page_rank, bodies: the list answers that a page loaded, rehydration: its own data) -> videos, the first of each id.
+
+    Answers go before the page's own data, in their order; what is no JSON gives nothing.
+    """
+    items = lambda text, path: F.from_json(F.get_json_object(text, path), "array<string>")
+    lists = F.concat(F.transform("bodies", lambda b: items(b, "$.itemList")), F.array(items(F.col("rehydration"), "$.__DEFAULT_SCOPE__['webapp.user-detail'].userInfo.itemList")))
+    each = pages_.select("page_rank", F.posexplode(lists).alias("list", "items")).select("page_rank", "list", F.posexplode("items").alias("place", "raw"))
+    return item_videos(each.select(F.struct("page_rank", "list").alias("source_rank"), "place", "raw")).drop("source_rank", "place")
+
+
+_POST = "url string, author string, text string, publishedAt string, views string, likes string, replies string, reposts string, actions array<struct<label:string,text:string>>"
+
+
+def read_posts(rows: DataFrame) -> DataFrame:
+    """rows (platform, handle, place, raw: what a page reader gave for a post) -> posts; a count that isn't shown is null.
+
+    Grids of two networks show no author, date or counts but views; the others' counts stand in the post, or in its actions.
+    """
+    p = rows.withColumn("p", F.from_json("raw", _POST)).where("p.url is not null")
+    shown = F.col("platform").isin("threads", "x")
+    count = lambda n: numbers.leading_count(F.col(f"p.{n}"))
+    of = lambda *labels: F.array_max(F.transform(F.filter("p.actions", lambda a: F.lower(a["label"]).isin(*labels)), lambda a: numbers.leading_count(a["text"])))
+    threads, x = F.col("platform") == "threads", F.col("platform") == "x"
+    text = F.coalesce("p.text", F.lit(""))
+    return p.select(
+        "platform", "handle", "place", F.col("p.url").alias("url"), F.when(shown, F.col("p.author")).otherwise(F.col("handle")).alias("author"),
+        F.when(threads, post_text(text)).when(F.col("platform") == "tiktok", video_caption(text)).otherwise(text).alias("text"), F.when(shown, F.nullif("p.publishedAt", F.lit(""))).alias("published"),
+        F.when(x | (F.col("platform") == "tiktok"), count("views")).alias("views"), F.when(threads, of("curtir", "like")).when(x, count("likes")).alias("likes"),
+        F.when(threads, of("responder", "reply")).when(x, count("replies")).alias("comments"),
+        F.when(threads, numbers.sum_known(of("repostar", "repost"), of("compartilhar", "share"))).when(x, count("reposts")).alias("shares"),
+    )
+
+
 def hashtags(rows: DataFrame) -> DataFrame:
     """rows (page, raw) -> trends; rank is the list's own index, else the position."""
     kind = "items array<struct<rankIndex:string,hashtagID:string,hashtagName:string,vv:string,publishCnt:string>>"
@@ -75,8 +109,99 @@ def profile_from_header(header: Column) -> Column:
     return F.struct(numbers.count_before(header, FOLLOWERS).alias("followers"), numbers.count_before(header, FOLLOWING).alias("following"), numbers.count_before(header, POSTS).alias("posts"))
 
 
+# Words and marks of public profile pages.
+_COUNT = r"([\d.,]+\s*[KkMm]?)"
+_COUNTS = rf"(?i){_COUNT}\s*(?:Followers|seguidores)[,\s]+{_COUNT}\s*(?:Following|seguindo)[,\s]+{_COUNT}\s*(?:Posts|publicações)"
+_BUSINESS = r"(?i)(?:contato|agendamentos|consultas|crm|cro|oab|cnpj|direct|linktr\.ee)"
+_NO_HANDLES = {"instagram": ["p", "reel", "explore", "stories"], "twitter": ["home", "explore", "search"]}
+
+
+def _found(c: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
+def _handle(url: Column, pattern: str, network: str) -> Column:
+    found = _found(url, pattern)
+    return F.when(~F.lower(found).isin(_NO_HANDLES[network]), found)
+
+
+def _grouped(n: Column) -> Column:
+    """A number as Brazilian readers see it."""
+    return F.replace(F.format_number(n, 0), F.lit(","), F.lit("."))
+
+
+def instagram_profile(html: Column, url: Column) -> Column:
+    """Struct of a stored public profile page by its meta tags and marks, with a short summary."""
+    title, about = F.coalesce(pages.meta_tag(html, "og:title"), F.lit("")), F.coalesce(pages.meta_tag(html, "og:description"), F.lit(""))
+    seen = F.struct(title.alias("title"), about.alias("about"), _found(html, r"(?is)<script type=\"application/ld\+json\">(.*?)</script>").alias("ld"))
+
+    def parts(s: Column) -> Column:
+        counted = s["about"].rlike(_COUNTS)
+        count = lambda k: numbers.shorthand(_found(s["about"], _COUNTS, k))
+        alone = numbers.shorthand(_found(s["about"], rf"(?i){_COUNT}\s*(?:Followers|seguidores)"))
+        after = trimmed(F.regexp_replace(s["about"], r"^.*?[–-]\s*", ""))
+        bio = F.when(counted & (after != "") & ~F.lower(after).startswith("see instagram"), after)
+        own = trimmed(F.regexp_replace(F.regexp_extract(s["title"], r"^([^(@]+)", 1), "•.*", ""))
+        handle = F.coalesce(_handle(url, r"(?i)instagram\.com/([a-zA-Z0-9._-]+)", "instagram"), _found(s["title"], r"^[^(@]+\(@([a-zA-Z0-9._-]+)\)"))
+        return F.struct(
+            handle.alias("handle"), F.coalesce(F.nullif(own, F.lit("")), F.get_json_object(s["ld"], "$.name")).alias("name"), F.coalesce(bio, F.get_json_object(s["ld"], "$.description")).alias("bio"),
+            F.when(counted, count(1)).otherwise(alone).alias("followers"), F.when(counted, count(2)).alias("following"), F.when(counted, count(3)).alias("posts"),
+            (html.contains('"is_verified":true') | html.contains('"verified":true') | s["about"].contains("Verified")).alias("verified"),
+        )
+
+    def summed(p: Column) -> Column:
+        business = html.contains('"is_business_account":true') | html.contains('"is_professional_account":true') | F.coalesce(p["bio"].rlike(_BUSINESS), F.lit(False))
+        who = F.coalesce(F.concat(F.lit("@"), p["handle"]), p["name"], F.lit("Instagram Profile"))
+        followers = F.coalesce(F.concat(_grouped(p["followers"]), F.lit(" seguidores")), F.lit("Seguidores N/D"))
+        bio = F.coalesce(F.concat(F.lit(' | Bio: "'), trimmed(F.regexp_replace(F.substring(p["bio"], 1, 100), r"\s+", " ")), F.lit('"')), F.lit(""))
+        marks = F.concat(F.when(p["verified"], " [Verificado]").otherwise(""), F.when(business, " [Comercial]").otherwise(""))
+        summary = F.concat(F.lit("[Instagram "), who, marks, F.lit("] "), followers, bio)
+        return F.struct(*[p[n].alias(n) for n in ("handle", "name", "bio", "followers", "following", "posts", "verified")], business.alias("business"), _found(p["bio"], r"(?i)(https?://\S+)").alias("external_url"), summary.alias("summary"))
+
+    return let(let(seen, parts), summed)
+
+
+def linkedin_profile(html: Column, url: Column) -> Column:
+    """Struct of a stored public page of a company or a person by its meta tags, with a short summary."""
+    title, about = F.coalesce(pages.meta_tag(html, "og:title"), F.lit("")), F.coalesce(pages.meta_tag(html, "og:description"), F.lit(""))
+    company = F.lower(url).contains("/company/")
+    handle = _found(url, r"(?i)linkedin\.com/(?:company|in)/([a-zA-Z0-9._-]+)")
+
+    def parts(s: Column) -> Column:
+        name = F.coalesce(F.nullif(trimmed(F.regexp_replace(s["title"], r"(?i)\s*\|\s*LinkedIn.*$", "")), F.lit("")), handle)
+        pieces = F.transform(F.split(s["about"], r"\|"), trimmed)
+        kept = F.filter(pieces, lambda x: ~x.eqNullSafe(name) & ~x.rlike("(?i)funcionários|employees|seguidores|followers") & (x != ""))
+        return F.struct(
+            name.alias("name"), F.when(~company, F.coalesce(F.nullif(s["about"], F.lit("")), s["title"])).alias("headline"),
+            F.when(company, trimmed(_found(s["about"], r"(?i)(\d+[\d\s–-]*\+?\s*funcionários|\d+[\d\s–-]*\+?\s*employees)"))).alias("company_size"), F.when(company, F.try_element_at(kept, F.lit(1))).alias("industry"),
+            F.when(company, numbers.shorthand(_found(s["about"], rf"(?i){_COUNT}\s*(?:followers|seguidores)"))).alias("followers"),
+        )
+
+    def summed(p: Column) -> Column:
+        said = lambda before, value, after="": F.coalesce(F.concat(F.lit(before), value, F.lit(after)), F.lit(""))
+        label = F.when(company, "[LinkedIn Empresa ").otherwise("[LinkedIn Perfil ")
+        tail = F.concat(said(" | ", _grouped(p["followers"]), " seguidores"), said(" | Porte: ", p["company_size"]), said(" | Setor: ", p["industry"]), said(' | Headline: "', F.substring(F.nullif(p["headline"], F.lit("")), 1, 80), '"'))
+        return F.struct(handle.alias("handle"), *[p[n].alias(n) for n in ("name", "headline", "company_size", "industry", "followers")], F.concat(label, F.coalesce(p["name"], F.lit("")), F.lit("]"), tail).alias("summary"))
+
+    return let(let(F.struct(title.alias("title"), about.alias("about")), parts), summed)
+
+
+def twitter_profile(html: Column, url: Column) -> Column:
+    """Struct of a stored public profile page by its meta tags, with a short summary."""
+    title, bio = F.coalesce(pages.meta_tag(html, "og:title"), F.lit("")), F.coalesce(pages.meta_tag(html, "og:description"), F.lit(""))
+    handle = _handle(url, r"(?i)(?:twitter|x)\.com/([a-zA-Z0-9_]+)", "twitter")
+
+    def summed(p: Column) -> Column:
+        who = F.coalesce(F.concat(F.lit("@"), p["handle"]), p["name"], F.lit("Twitter Profile"))
+        about = F.when(p["bio"] != "", F.concat(F.lit(' | Bio: "'), F.substring(p["bio"], 1, 80), F.lit('"'))).otherwise("")
+        return F.struct(p["handle"].alias("handle"), p["name"].alias("name"), p["bio"].alias("bio"), F.concat(F.lit("[Twitter/X "), who, F.lit("]"), about).alias("summary"))
+
+    name = F.coalesce(F.nullif(trimmed(F.regexp_replace(title, r"(?i)\s*\(@[a-zA-Z0-9_]+\)\s*/.*$", "")), F.lit("")), handle)
+    return let(F.struct(handle.alias("handle"), name.alias("name"), bio.alias("bio")), summed)
+
+
 def profile_of_page(html: Column, url: Column) -> Column:
-    """Platform, name, description and counts of a stored profile page, from its meta tags."""
+    """Platform, name, description and counts of a stored profile page of any network, from its meta tags."""
     title, about = pages.meta_tag(html, "og:title"), pages.meta_tag(html, "og:description")
     return F.struct(urls.platform(url).alias("platform"), F.coalesce(title, pages.html_title(html)).alias("name"), F.coalesce(about, pages.meta_tag(html, "description")).alias("about"), numbers.count_before(F.coalesce(about, F.lit("")), FOLLOWERS).alias("followers"))
 
