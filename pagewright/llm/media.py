@@ -443,6 +443,26 @@ def pack(payloads: list[np.ndarray], forms: list[str] | None = None) -> list[tup
     return list(zip(forms, chunks))
 
 
+_READ: dict[tuple[int, int], list] = {}  # sides of a small image -> (its bits, how many, pixels) of those read before
+MOST_READ = 16
+
+
+def _small_image(bits: webp.Window, across: int, down: int) -> np.ndarray:
+    """A transform's image. The same bits give the same image, so the few that writers use over and over are read once."""
+    known = _READ.setdefault((across, down), []) if across * down <= 64 else None
+    for value, n, pixels in known or ():
+        if bits.peek(n) == value:
+            bits.read(n)
+            return pixels.copy()
+    start = bits.at
+    pixels = webp._channels(webp._read_image(bits, across, down, False), across)
+    n = bits.at - start
+    if known is not None and n <= 512 and len(known) < MOST_READ and len(_READ) <= 256:
+        bits.at = start
+        known.append((bits.read(n), n, pixels.copy()))
+    return pixels
+
+
 class _Parsed:
     """An image's header: sides, transforms in the order of the stream, width of the coded image, cache, code lengths, first data bit."""
 
@@ -458,8 +478,7 @@ class _Parsed:
             seen.add(kind)
             if kind in (PREDICTOR, CROSS_COLOUR):
                 side = bits.read(3) + 2
-                across = webp._rounded(self.coded, side)
-                self.transforms.append((kind, webp._channels(webp._read_image(bits, across, webp._rounded(self.height, side), False), across), side))
+                self.transforms.append((kind, _small_image(bits, webp._rounded(self.coded, side), webp._rounded(self.height, side)), side))
             elif kind == PALETTE:
                 n = bits.read(8) + 1
                 self.transforms.append((kind, np.cumsum(webp._channels(webp._read_image(bits, n, 1, False), n)[0], axis=0) & 255, self.coded))
@@ -601,53 +620,55 @@ def _pixels(images: list[_Parsed]) -> list[np.ndarray]:
 
 def _alone(image, window, table, offsets, masks, at, out, pos, cache, near) -> int:
     """Reads the rest of one image, symbol by symbol; returns the bit after its last one."""
-    win, tab, px, held, last = memoryview(window), memoryview(table), memoryview(out), memoryview(cache), len(window) - 1
+    win, tab, px, held = memoryview(window), memoryview(table), memoryview(out), memoryview(cache)
     extras, leasts = _EXTRA.tolist(), _LEAST.tolist()
     bits, end = image.cache_bits, len(out)
     shift = 32 - bits
     (g, r, b, a, d), (gm, rm, bm, am, dm) = offsets, masks
     constant = (tab[a] >> 4) << 24 | (tab[r] >> 4) << 16 | tab[b] >> 4
     single = not (rm or bm or am)
-
-    def read(at, offset, mask):
-        e = tab[offset + ((win[min(at >> 3, last)] >> (at & 7)) & mask)]
-        return e >> 4, at + (e & 15)
-
-    def number(at, symbol):
-        extra = extras[symbol]
-        return leasts[symbol] + ((win[min(at >> 3, last)] >> (at & 7)) & ((1 << extra) - 1)), at + extra
-
-    while pos < end:
-        e = tab[g + ((win[min(at >> 3, last)] >> (at & 7)) & gm)]
-        at += e & 15
-        s = e >> 4
-        if s < 256:
-            if single:
-                value = constant | s << 8
-            else:
-                red, at = read(at, r, rm)
-                blue, at = read(at, b, bm)
-                alpha, at = read(at, a, am)
-                value = alpha << 24 | red << 16 | s << 8 | blue
-            px[pos] = value
-            if bits:
-                held[(CACHE_HASH * value & 0xFFFFFFFF) >> shift] = value
-            pos += 1
-        elif s < 280:
-            length, at = number(at, s - 256)
-            far, at = read(at, d, dm)
-            far, at = number(at, far)
-            far = far - len(NEAR) if far > len(NEAR) else near[far]
-            if far > pos or pos + length > end:
-                raise Corrupt("a back-reference leaves the image")
-            out[pos : pos + length] = out[pos - far : pos - far + length] if far >= length else np.resize(out[pos - far : pos], length)
-            if bits:
-                for value in out[pos : pos + length].tolist():
+    try:
+        while pos < end:
+            e = tab[g + (win[at >> 3] >> (at & 7) & gm)]
+            at += e & 15
+            s = e >> 4
+            if s < 256:
+                if single:
+                    value = constant | s << 8
+                else:
+                    red = tab[r + (win[at >> 3] >> (at & 7) & rm)]
+                    at += red & 15
+                    blue = tab[b + (win[at >> 3] >> (at & 7) & bm)]
+                    at += blue & 15
+                    alpha = tab[a + (win[at >> 3] >> (at & 7) & am)]
+                    at += alpha & 15
+                    value = (alpha >> 4) << 24 | (red >> 4) << 16 | s << 8 | blue >> 4
+                px[pos] = value
+                if bits:
                     held[(CACHE_HASH * value & 0xFFFFFFFF) >> shift] = value
-            pos += length
-        else:
-            px[pos] = held[s - 280]
-            pos += 1
+                pos += 1
+            elif s < 280:
+                extra = extras[s - 256]
+                length = leasts[s - 256] + (win[at >> 3] >> (at & 7) & ((1 << extra) - 1))
+                at += extra
+                e = tab[d + (win[at >> 3] >> (at & 7) & dm)]
+                at += e & 15
+                extra = extras[e >> 4]
+                far = leasts[e >> 4] + (win[at >> 3] >> (at & 7) & ((1 << extra) - 1))
+                at += extra
+                far = far - len(NEAR) if far > len(NEAR) else near[far]
+                if far > pos or pos + length > end:
+                    raise Corrupt("a back-reference leaves the image")
+                out[pos : pos + length] = out[pos - far : pos - far + length] if far >= length else np.resize(out[pos - far : pos], length)
+                if bits:
+                    for value in out[pos : pos + length].tolist():
+                        held[(CACHE_HASH * value & 0xFFFFFFFF) >> shift] = value
+                pos += length
+            else:
+                px[pos] = held[s - 280]
+                pos += 1
+    except IndexError:
+        raise Corrupt("the stream ends early") from None
     return at
 
 
