@@ -63,7 +63,8 @@ def dropped(spark: SparkSession, scratch: list[str]) -> None:
     scratch.clear()
 
 
-BATCH_BYTES = 16_000_000  #: of an Arrow batch that become Python objects at once
+BATCH_BYTES = 6_000_000  #: of rows that become Python objects at once
+ROWS_A_BATCH = 2_000  #: of an Arrow batch between Spark and a worker, where the session doesn't say otherwise
 
 _held: dict = {}
 
@@ -86,6 +87,7 @@ def freed() -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -121,26 +123,43 @@ def local(name: str) -> str:
     return SparkFiles.get(name)
 
 
-def map_arrow(df: DataFrame, fn, schema: str, carry: list[str] | None = None, read: list[str] | None = None) -> DataFrame:
-    """fn(dict of Python lists) -> dict of lists or arrays, over stretches of every Arrow batch of df.
+def stretches(batches, most: int):
+    """Arrow batches as tables of about `most` bytes: small ones are gathered, large ones cut by rows."""
+    held, size = [], 0
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(most, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            if held and size + part.nbytes > most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def map_arrow(df: DataFrame, fn, schema: str, carry: list[str] | None = None, read: list[str] | None = None, most: int = BATCH_BYTES) -> DataFrame:
+    """fn(dict of Python lists) -> dict of lists or arrays, over stretches of about `most` bytes of df.
 
     carry: columns that go from input to output as they are, without becoming Python objects; read: those of them that
-    fn sees nevertheless.
+    fn sees nevertheless. At a task's end the worker gives its free memory back.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(rows)) == 10_000:  # the default: texts of a few KB would fill tens of MB on either side
+        conf.set(rows, str(ROWS_A_BATCH))
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     carried, seen = set(carry or ()), set(read or ())
 
     def run(batches):
-        for whole in batches:
-            rows = max(1, int(whole.num_rows * BATCH_BYTES / max(BATCH_BYTES, whole.nbytes)))
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
-                out = fn({n: batch.column(n).to_pylist() for n in batch.schema.names if n not in carried or n in seen})
-                columns = [batch.column(f.name).cast(f.type) if f.name in carried else pa.array(out[f.name], type=f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        for part in stretches(batches, most):
+            out = fn({n: part.column(n).to_pylist() for n in part.schema.names if n not in carried or n in seen})
+            columns = [part.column(f.name).combine_chunks().cast(f.type) if f.name in carried else pa.array(out[f.name], type=f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        freed()
 
     return df.mapInArrow(run, schema)
 

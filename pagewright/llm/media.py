@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from . import webp
 from .common import map_arrow, slices
-from .webp import CACHE_HASH, CROSS_COLOUR, LIMIT, NEAR, PALETTE, PREDICTOR, SUBTRACT_GREEN, Corrupt
+from .webp import CACHE_HASH, CROSS_COLOUR, NEAR, PALETTE, PREDICTOR, SUBTRACT_GREEN, Corrupt
 
 UNIT = 64  #: payloads are multiples of this
 MOST_SIDE = 16384
@@ -821,4 +821,4 @@ def media(documents: DataFrame) -> DataFrame:
         }
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, form string"
-    return map_arrow(documents.select("doc_id", "text"), run, schema)
+    return map_arrow(documents.select("doc_id", "text"), run, schema, most=READ_SAMPLES)

@@ -116,3 +116,12 @@ def test_very_long_texts(own, library, counter, sp):
     t = "xq" * 20_000
     assert counter.count(t) == len(sp.encode(t))
     assert max(map(len, [*own.words, *own.words.old, *counter.size, *counter.size.old])) <= 256
+
+
+def test_encoded_corpus(spark, library):
+    """The corpus with its token ids, other columns as they are; a null text has no tokens."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    out = codec.encode_documents(df, P.path(codec.FILE)).collect()
+    assert len(out) == len(ROWS) and out[0].__fields__ == ["doc_id", "text", "source", "ids"]
+    for r in out:
+        assert list(r.ids) == (library.encode(r.text, add_special_tokens=False).ids if r.text else [])
