@@ -152,8 +152,19 @@ def purged(jobs: DataFrame, before: Column) -> DataFrame:
     return jobs.where(~(F.col("status").isin(TERMINAL) & (F.col("updated_at") < before)))
 
 
-def recommendations(status: Column, total: Column, with_email: Column) -> Column:
-    return F.array_compact(F.array(F.when(status == "failed", "retry with fewer keywords"), F.when(status == "timed_out", "raise the time limit"), F.when((status == "succeeded") & (total == 0), "broaden the search"), F.when((total > 0) & (with_email == 0), "turn on email lookup")))
+# What a job's owner is told, and when.
+ADVICE = {
+    "empty": "Revise termos, localização e profundidade antes de executar novamente.",
+    "partial": "Há resultados parciais; aumente o tempo máximo ou reduza o escopo.",
+    "email": "Revise os e-mails enriquecidos antes de qualquer contato e respeite a legislação aplicável.",
+    "filled": "Crie uma exportação filtrada para trabalhar apenas com os contatos relevantes.",
+}
+
+
+def recommendations(status: Column, rows: Column, partial: Column, email: Column) -> Column:
+    """Advice for a job by its state, its results, whether they are partial and whether addresses were looked up."""
+    when = {"empty": rows == 0, "partial": partial, "email": email, "filled": (status == "succeeded") & (rows > 0)}
+    return F.array_compact(F.array(*[F.when(cond, ADVICE[k]) for k, cond in when.items()]))
 
 
 def metrics(events: DataFrame) -> DataFrame:
@@ -216,8 +227,10 @@ def throttled(requests: DataFrame, spacing_ms: int = 300) -> DataFrame:
 
 
 def adaptive_concurrency(observations: DataFrame, low: int, high: int, fast_ms: int = 5000, slow_ms: int = 15000) -> DataFrame:
-    """observations (worker, at_s, success, latency_ms) -> limit after each: one up when fast, one down when slow or failed,
-    once a second at most."""
+    """observations (worker, at_s, success, latency_ms) -> limit after each: one up when fast, one down when slow or failed.
+
+    Of observations less than a second after the last one that counted, none counts, whether that one moved the limit or not.
+    """
     kind = T.StructType([*observations.schema.fields, T.StructField("limit", T.IntegerType())])
 
     def run(pdf):
@@ -226,9 +239,7 @@ def adaptive_concurrency(observations: DataFrame, low: int, high: int, fast_ms:
         for at, good, ms in zip(pdf["at_s"], pdf["success"], pdf["latency_ms"]):
             if last is None or at - last >= 1:
                 step = -1 if not good or ms > slow_ms else 1 if ms < fast_ms else 0
-                new = min(high, max(low, limit + step))
-                last = at if new != limit else last
-                limit = new
+                limit, last = min(high, max(low, limit + step)), at
             out.append(limit)
         return pdf.assign(limit=out)
 

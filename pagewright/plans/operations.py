@@ -183,3 +183,13 @@ def published_at(spark, sf_dir):
 def fetch_targets(spark, sf_dir):
     """Every stored page may be fetched: none has credentials, another scheme or a private host."""
     return table(spark, sf_dir, "pages").where(urls.target_problem(F.col("url")).isNull()).select("page_id", F.col("url").alias("target"))
+
+
+@query("""SELECT event_id, list_filter([
+  CASE WHEN user_id % 3 = 0 THEN 'Revise termos, localização e profundidade antes de executar novamente.' END, CASE WHEN user_id % 5 = 0 THEN 'Há resultados parciais; aumente o tempo máximo ou reduza o escopo.' END,
+  CASE WHEN user_id % 2 = 0 THEN 'Revise os e-mails enriquecidos antes de qualquer contato e respeite a legislação aplicável.' END,
+  CASE WHEN event_type = 'purchase' AND user_id % 3 > 0 THEN 'Crie uma exportação filtrada para trabalhar apenas com os contatos relevantes.' END], lambda x: x IS NOT NULL) AS advice FROM events""")
+def job_advice(spark, sf_dir):
+    u = F.col("user_id")
+    status = F.when(F.col("event_type") == "purchase", "succeeded").otherwise("failed")
+    return table(spark, sf_dir, "events").select("event_id", jobs.recommendations(status, u % 3, u % 5 == 0, u % 2 == 0).alias("advice"))
