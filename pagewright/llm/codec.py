@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .bpe import Backtracking, Merges
 from .common import Memo, hold, local, map_arrow, shipped
 
-MEMO_BYTES = 64_000_000  #: of encoded words that a worker keeps
+MEMO_BYTES = 110_000_000  #: of encoded words that a worker keeps
 FILE = "byte_bpe_50k.json"
 #: Fixed value: the split of byte-level BPE before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

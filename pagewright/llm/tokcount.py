@@ -22,7 +22,7 @@ from .common import Memo, hold, local, map_arrow, shipped
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-MEMO_BYTES = 64_000_000  #: of counted chunks that a worker keeps
+MEMO_BYTES = 160_000_000  #: of counted chunks that a worker keeps
 SPACE = "▁"
 
 
