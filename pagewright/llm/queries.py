@@ -1,8 +1,8 @@
-"""Queries of the ten operators: each applies one, with production parameters, to its whole table."""
+"""Queries of the thirteen operators: each applies one, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
-from . import annjoin, codec, htmlmain, langid, media, mixing, neardup, sharding, tokcount, toxicity
+from . import annjoin, codec, compaction, divergence, htmlmain, langid, media, mixing, neardup, sharding, tokcount, toxicity
 from .common import table
 
 
@@ -52,6 +52,14 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.detect(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_language_id, op2_token_counts, op3_pfair_mix, op4_html_main_text, op5_byte_bpe, op6_jump_shards, op7_lsh_forest, op8_block_matrix_join, op9_lossless_webp, op10_toxicity)
+def op11_sqrt_compaction(spark, sf_dir):
+    return compaction.compact(spark, table(spark, sf_dir, "clicks"))
+
+
+def op12_divergence_audit(spark, sf_dir):
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_language_id, op2_token_counts, op3_pfair_mix, op4_html_main_text, op5_byte_bpe, op6_jump_shards, op7_lsh_forest, op8_block_matrix_join, op9_lossless_webp, op10_toxicity, op11_sqrt_compaction, op12_divergence_audit)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op6_jump_shards": sharding.ORACLE, "op7_lsh_forest": neardup.ORACLE, "op8_block_matrix_join": annjoin.ORACLE}
+ORACLES = {"op6_jump_shards": sharding.ORACLE, "op7_lsh_forest": neardup.ORACLE, "op8_block_matrix_join": annjoin.ORACLE, "op12_divergence_audit": divergence.ORACLE}
