@@ -118,9 +118,12 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) else 0
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, least: int = NUMERATOR) -> bool:
+    """least: percent of the union that the intersection must have."""
+    if DENOMINATOR * min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
     both = intersection(a, b)
-    return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+    return both > 0 and DENOMINATOR * both >= least * (len(a) + len(b) - both)
 
 
 def crossing(region: int, ids, parts, left, top, sets: list, keys) -> list[tuple[int, int]]:
@@ -221,6 +224,8 @@ def _small(df: DataFrame, label: str, scratch: list, **sums) -> tuple[DataFrame,
 class _Rounds:
     """State of one run: the sets that may be compared, the links so far and the component of each set that has one."""
 
+    LEAST = NUMERATOR  #: percent
+
     def __init__(self, documents: DataFrame, classes: DataFrame, rows: DataFrame, scratch: list):
         self.scratch, self.kept = scratch, []  # folders that may go at the end, and the labels' last ones
         self.links: DataFrame | None = None
@@ -261,9 +266,10 @@ class _Rounds:
         dealt = pairs.repartition(max(1, min(n // PAIRS_A_TASK, 10_000))) if self.fits else pairs
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         self.n_tested += n
+        least = self.LEAST
 
         def check(c):
-            good = [(a, b) for a, b, x, y in zip(c["a"], c["b"], c["items_a"], c["items_b"]) if linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64))]
+            good = [(a, b) for a, b, x, y in zip(c["a"], c["b"], c["items_a"], c["items_b"]) if linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), least)]
             return {"a": [a for a, _ in good], "b": [b for _, b in good]}
 
         self.add(map_arrow(self.attached(self.attached(dealt, "b"), "a"), check, "a long, b long"), label)
@@ -275,6 +281,14 @@ class _Rounds:
             self.links = found if self.links is None else self.links.unionByName(found)
             self.join_up(label)
 
+    def join_ids(self, real: DataFrame, classes: DataFrame) -> None:
+        """Links the classes of the texts that bear one doc_id."""
+        several, seen = _small(real.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id"), "neardup-several", self.scratch)
+        if seen["n"]:
+            own = real.select("doc_id", "fp").join(few(several, seen["n"]), "doc_id").distinct().join(classes.select("fp", "id"), "fp").select("doc_id", "id")
+            least = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+            self.add(own.join(few(least, seen["n"]), "doc_id").where("a <> id").select("a", F.col("id").alias("b")), "ids")
+
     def regions_of(self, members: DataFrame, label: str) -> tuple[DataFrame, DataFrame, int]:
         """(region, id, part of members (region, id); region, n, most, top, others of the regions with several components; their number)."""
         members = written(self.part_of(members, "id", "part"), f"neardup-members-{label}", self.scratch)
@@ -366,11 +380,7 @@ def grouped(spark: SparkSession, documents: DataFrame, by_id: bool, scratch: lis
     rows = written(neighbours(trees), "neardup-regions", scratch)
     state = _Rounds(documents, classes, rows, scratch)
     if by_id:
-        several, seen = _small(real.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id"), "neardup-several", scratch)
-        if seen["n"]:
-            own = real.select("doc_id", "fp").join(few(several, seen["n"]), "doc_id").distinct().join(classes.select("fp", "id"), "fp").select("doc_id", "id")
-            least = own.groupBy("doc_id").agg(F.min("id").alias("a"))
-            state.add(own.join(few(least, seen["n"]), "doc_id").where("a <> id").select("a", F.col("id").alias("b")), "ids")
+        state.join_ids(real, classes)
     met = rows.where("prev is not null")
     either = met.select("id", F.col("prev").alias("other"), "depth").union(met.select("prev", "id", "depth"))
     state.test(state.apart(either.groupBy(F.col("id").alias("b")).agg(F.max_by("other", F.struct("depth", -F.col("other"))).alias("a"))), "0")
@@ -392,16 +402,21 @@ def components(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of documents."""
     scratch: list = []
     sigs, classes = grouped(spark, documents, True, scratch)
+    found = by_document(sigs, classes, "neardup", scratch)
+    dropped(spark, scratch)
+    return found
+
+
+def by_document(sigs: DataFrame, classes: DataFrame, label: str, scratch: list) -> DataFrame:
+    """What grouped() gives -> doc_id, n_shingles, component_id, kept."""
     # Most classes are a component of their own; the others' components are few rows, so that a large one needn't meet in one task.
-    least, seen = _small(classes.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "neardup-least", scratch)
+    least, seen = _small(classes.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), f"{label}-least", scratch)
     whole = classes.join(few(least, seen["n"]), "component", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
-    whole = written(whole, "neardup-groups", scratch)
+    whole = written(whole, f"{label}-groups", scratch)
     # Copies of one text may be a third of all rows: their class is one row here, so the join's other side may be split.
     out = sigs.select("doc_id", "n_shingles", "fp").join(whole, "fp", "left")
     at = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    found = written(out.select("doc_id", "n_shingles", at.alias("component_id"), F.coalesce(F.col("doc_id") == at, F.lit(True)).alias("kept")), "neardup-components")
-    dropped(spark, scratch)
-    return found
+    return written(out.select("doc_id", "n_shingles", at.alias("component_id"), F.coalesce(F.col("doc_id") == at, F.lit(True)).alias("kept")), f"{label}-components")
 
 
 def dropped_copies(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annjoin, codec, compaction, divergence, htmlmain, langid, media, mixing, neardup, sharding, tokcount, toxicity
+from . import annjoin, codec, compaction, divergence, htmlmain, langid, media, mixing, neardup, setjoin, sharding, tokcount, toxicity
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op12_divergence_audit(spark, sf_dir):
     return divergence.audit(spark, table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_language_id, op2_token_counts, op3_pfair_mix, op4_html_main_text, op5_byte_bpe, op6_jump_shards, op7_lsh_forest, op8_block_matrix_join, op9_lossless_webp, op10_toxicity, op11_sqrt_compaction, op12_divergence_audit)
+def op13_segment_join(spark, sf_dir):
+    return setjoin.components(spark, table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_language_id, op2_token_counts, op3_pfair_mix, op4_html_main_text, op5_byte_bpe, op6_jump_shards, op7_lsh_forest, op8_block_matrix_join, op9_lossless_webp, op10_toxicity, op11_sqrt_compaction, op12_divergence_audit, op13_segment_join)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op6_jump_shards": sharding.ORACLE, "op7_lsh_forest": neardup.ORACLE, "op8_block_matrix_join": annjoin.ORACLE, "op12_divergence_audit": divergence.ORACLE}
+ORACLES = {"op6_jump_shards": sharding.ORACLE, "op7_lsh_forest": neardup.ORACLE, "op8_block_matrix_join": annjoin.ORACLE, "op12_divergence_audit": divergence.ORACLE, "op13_segment_join": setjoin.ORACLE}
