@@ -2,7 +2,7 @@
 
 Sort-based streaming. Each task counts the terms of blocks of documents as they come, by language and source; what leaves it
 is a run of documents for a term: (lang, term, source, document, documents with the term, occurrences). Those rows are
-repartitioned by language and term and sorted by (lang, term, source, document); one pass measures runs, which gives the
+repartitioned by language and term and sorted by (lang, term, source, document), behind a hash of the first two; one pass measures runs, which gives the
 document frequency in the language and the occurrences in each source, and only terms in LEAST documents go on. A second
 sorted pass over the kept terms emits, for each run, a part of the divergence of every two sources that both have the term, and
 the term's own contributions. What a source contributes with terms that the other one lacks depends on the other's totals
@@ -34,7 +34,7 @@ from .neardup import few
 LEAST = 3  #: documents of a language that a term must be in
 TOP = 200  #: terms reported of a group
 SCALE = 1_000_000_000
-HELD = 300_000  #: terms that a task counts before it hands them on
+HELD = 500_000  #: terms that a task counts before it hands them on
 PAIRS = 1 << 20  #: of sources, that one run works out in one task
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -119,7 +119,8 @@ def _summed(part: pa.Table) -> pa.Table:
 def kept_terms(partial: DataFrame) -> DataFrame:
     """lang, term, source, n, total (of the language), head (1 in a term's first row), of terms in LEAST documents."""
     shape = "lang binary, term binary, source binary, n long, total long, head int"
-    ordered = partial.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    # the hash in front keeps terms together as well, and lets nearly all comparisons be of one number
+    ordered = partial.repartition("lang", "term").sortWithinPartitions(F.xxhash64("lang", "term"), "lang", "term", "source", "document")
 
     def scan(batches):
         for part in _whole_runs(batches, _summed):
@@ -147,7 +148,7 @@ def emitted(kept: DataFrame) -> DataFrame:
     """
     shape = "part string, lang binary, source binary, item binary, value long"
     dealt = kept.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("own", F.pmod(F.xxhash64("source"), F.col("tiles")) == F.col("tile"))
-    ordered = dealt.select("lang", "term", "source", "tile", "own", "p", "p0", "q").repartition("lang", "term", "tile").sortWithinPartitions("lang", "term", "tile", "source")
+    ordered = dealt.select("lang", "term", "source", "tile", "own", "p", "p0", "q").repartition("lang", "term", "tile").sortWithinPartitions(F.xxhash64("lang", "term", "tile"), "lang", "term", "tile", "source")
 
     def batch(part, lang, source, item, value):
         return pa.RecordBatch.from_arrays([pa.array([part] * len(value), pa.string()), lang, source, item, pa.array(value, pa.int64())], names=["part", "lang", "source", "item", "value"])
