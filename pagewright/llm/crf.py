@@ -78,8 +78,31 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     return ids[order], np.searchsorted(owners[order], np.arange(len(words)))
 
 
+def _whole_row(word: str) -> int:
+    """Row of a whole word, from a sum over its characters that is made stretch by stretch."""
+    total = np.zeros(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(word), LONG):
+            chars = np.frombuffer(word[at : at + LONG].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            left = len(word) - at - np.arange(len(chars))
+            total += _mix(chars * np.uint64(0xD6E8FEB86659FD93) + left.astype(np.uint64)).sum(dtype=np.uint64)
+        return int(_mix(total)[0] >> np.uint64(64 - BITS))
+
+
 def affixes(words: list[str]) -> np.ndarray:
-    """Feature ids of each word (words x features): the word, its longer prefixes and suffixes; the empty row where it is too short."""
+    """Feature ids of each word (words x features): the word, its longer prefixes and suffixes; the empty row where it is too short.
+
+    A long word has the same features as a short one; only memory is saved: its ends give its affixes, its whole is summed up.
+    """
+    ends = max(PREFIXES) + 1, max(SUFFIXES) + 1
+    rows = _affixes([w if len(w) < LONG else w[: ends[0]] + w[-ends[1] :] for w in words])
+    for i, w in enumerate(words):
+        if len(w) >= LONG:
+            rows[i, 0] = _whole_row(w)
+    return rows
+
+
+def _affixes(words: list[str]) -> np.ndarray:
     chars = np.frombuffer(("".join(words) + " " * max(PREFIXES)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths)
@@ -119,8 +142,8 @@ def _long_potential(model: Model, word: str) -> np.ndarray:
 
 def potentials(model: Model, words: list[str]) -> np.ndarray:
     """Log potentials of words, of which none is empty."""
-    if model.by_affixes:  # of a long word only its affixes count
-        return model.weights[affixes([w if len(w) < LONG else w[: LONG // 2] + w[-(LONG // 2) :] for w in words])].sum(axis=1)
+    if model.by_affixes:
+        return model.weights[affixes(words)].sum(axis=1)
     if any(len(w) >= LONG for w in words):
         out = np.empty((len(words), model.weights.shape[1]), dtype=np.float32)
         short = [i for i, w in enumerate(words) if len(w) < LONG]

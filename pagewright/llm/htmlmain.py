@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from .common import map_arrow
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style head title noscript template svg iframe select button textarea object canvas math audio video map datalist".split())
+#: Elements whose text isn't read: code, form controls, drawings. What media, objects and formulas hold is text.
+SILENT = frozenset("script style head title noscript template svg iframe select button textarea datalist".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img object map canvas audio video meter progress output math semantics annotation maction mrow mi mn mo ms mtext mspace mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mstyle mpadded mphantom menclose merror".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -102,7 +103,7 @@ def parse(page: str | None) -> list[Node]:
         nonlocal links, silent
         while len(stack) > depth:
             tag, block = stack[-1]
-            if tag not in INLINE:
+            if tag not in INLINE and not silent:
                 flush()
             stack.pop()
             links -= tag == "a"
@@ -162,9 +163,12 @@ def parse(page: str | None) -> list[Node]:
                 stack.append((tag, stack[-1][1]))
                 links += tag == "a"
             continue
-        flush()
         if tag in VOID:
+            if tag == "hr" and not silent:
+                flush()
             continue
+        if not silent and (tag not in SILENT or tag == "head"):  # silent elements stand inside of lines
+            flush()
         if tag in SILENT:
             if tag in RAW:
                 closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)

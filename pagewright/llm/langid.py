@@ -21,7 +21,7 @@ LEAST_SCORE = 0.4  #: the pipeline rejects documents of which no language holds
 
 def sample(documents: DataFrame, quota: int = SAMPLE_PER_LANG) -> DataFrame:
     """Labelled rows to learn from, about `quota` a language (all, if fewer): (doc_id, lang, words)."""
-    may = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    may = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") <= words.TRAINING_CHARACTERS))
     counts = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return may.select("doc_id", "lang", F.lit("").alias("words")).limit(0)
@@ -33,7 +33,7 @@ def sample(documents: DataFrame, quota: int = SAMPLE_PER_LANG) -> DataFrame:
     def take(c):
         return {"doc_id": c["doc_id"], "lang": c["lang"], "words": [" ".join(words.words_of(x)) for x in c["text"]]}
 
-    return map_arrow(may.where((draw < share) & (F.length("text") <= words.TRAINING_CHARACTERS)), take, "doc_id long, lang string, words string").where("words <> ''").limit(2 * quota * len(counts))
+    return map_arrow(may.where(draw < share), take, "doc_id long, lang string, words string").where("words <> ''").orderBy("doc_id", "lang", "words").limit(2 * quota * len(counts))
 
 
 def fit(rows: list[tuple[str, list[str]]], seed: int = 11) -> crf.Model | None:

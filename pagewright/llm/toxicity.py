@@ -33,13 +33,13 @@ def sample(documents: DataFrame, labels: DataFrame, quota: int = SAMPLE_PER_CLAS
     counts = {r["toxic"]: r["n"] for r in may.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, quota / max(1, counts.get(1, 0)))).otherwise(min(1.0, quota / max(1, counts.get(0, 0))))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = may.where(draw < share).limit(4 * quota)  # so the broadcast holds 4 * quota ids at most
+    chosen = may.where(draw < share).orderBy("doc_id").limit(4 * quota)  # so the broadcast holds 4 * quota ids at most
     texts = documents.select("doc_id", "text").where(F.length("text") <= words.TRAINING_CHARACTERS).join(F.broadcast(chosen), "doc_id")
 
     def take(c):
         return {"doc_id": c["doc_id"], "toxic": c["toxic"], "words": [" ".join(words.words_of(x)) for x in c["text"]]}
 
-    return map_arrow(texts, take, "doc_id long, toxic int, words string").where("words <> ''").limit(4 * quota)
+    return map_arrow(texts, take, "doc_id long, toxic int, words string").where("words <> ''").orderBy("doc_id", "words").limit(4 * quota)
 
 
 def _chains(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ def fit(rows: list[tuple[int, list[str]]], seed: int = 3) -> crf.Model | None:
     vocabulary: dict[str, int] = {}
     documents = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text], dtype=np.int32) for _, text in rows]
     known = list(vocabulary)
-    features = np.concatenate([crf.affixes([w[: crf.LONG] for w in known[i : i + 20_000]]).astype(np.int32) for i in range(0, len(known), 20_000)])
+    features = np.concatenate([crf.affixes(known[i : i + 20_000]).astype(np.int32) for i in range(0, len(known), 20_000)])
     del vocabulary, known
     weights, m, v = (np.zeros(crf.EMPTY + 1) for _ in range(3))
     chain = np.array([0.0, RARE, 0.0, RARE, 0.0, RARE + 2])  # start, then transitions: toxic words may stand together

@@ -9,7 +9,6 @@ import numpy as np
 from . import crf
 from .common import slices
 
-_RUNS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}|#$%&*-_"
 STEP_WORDS = 250_000  #: words of one forward-backward call, unless one text alone has more
@@ -26,7 +25,7 @@ def word_of(token: str) -> str:
     if token.isalpha():
         return token.lower()
     bare = token.strip(_EDGE)
-    return bare.lower() if bare.isalpha() else "".join(_RUNS.findall(token)).lower()
+    return bare.lower() if bare.isalpha() else "".join(filter(str.isalpha, token)).lower()
 
 
 def words_of(text: str | None) -> list[str]:

@@ -137,3 +137,17 @@ def test_pages_by_brute_force(trees):
         )
         want = "\n\n".join(v.text for v, on in zip(nodes, best) if on and v.text is not None)
         assert htmlmain.extract_pages([page], trees) == [want]
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("The sum <math><mi>a</mi><mo>+</mo><mn>1</mn></math> holds.", "The sum a+1 holds."),
+        ("See <object data='f.svg'>the figure text</object> here.", "See the figure text here."),
+        ("Hear <audio src='a'>the sound</audio> and <video><source src='b'>the film</video> now.", "Hear the sound and the film now."),
+        ("Press <button><div>OK</div></button>to go <input name='q'>on <script>var x;</script>and on.", "Press to go on and on."),
+        ("Pick <select><option>one<option>two</select>it <svg><text>s</text></svg>up.", "Pick it up."),
+    ],
+)
+def test_lines_stay_whole(inside, text):
+    assert [n.text for n in htmlmain.parse(f"<p>{inside}</p>") if n.text is not None] == [text]

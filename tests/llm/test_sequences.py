@@ -231,3 +231,22 @@ def test_held_out_languages_of_a_given_table(spark):
     truth = {r.doc_id: r.lang for r in docs.where("lang is not null").collect()}
     held = [r for r in langid.identify(spark, docs).where("held_out").collect() if r.doc_id in truth]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_number_signs_are_no_letters(language):
+    table = crf.WordTable(language, words.word_of)
+    for t in ["½ ²", "Ⅷ ①", "12 ٣", "_ - !"]:
+        assert words.words_of(t) == [] and langid.label_texts(table, [t])[0][:2] == ("und", 0.0)
+    assert words.word_of("x²y½z") == "xyz"
+
+
+def test_long_words_have_the_features_of_short_ones(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdeé") for _ in range(n)) for n in (1, 3, 8, 9, 1023, 1024, 1025, 5000, 70_000)]
+    got = crf.affixes(texts)
+    monkeypatch.setattr(crf, "LONG", 10**9)
+    assert (crf.affixes(texts) == got).all()
+    model = toxicity.fit([(y, [w] * 3 + ["ok"]) for y, w in [(1, "x" * 5000 + "bad"), (0, "x" * 5000 + "fine")] * 30])
+    table = crf.WordTable(model, words.word_of)
+    scores = [s for s, _ in toxicity.score_texts(table, ["ok " + "x" * 5000 + "bad", "ok " + "x" * 5000 + "fine"])]
+    assert scores[0] > 0.9 > 0.1 > scores[1]
