@@ -1,8 +1,7 @@
 """Page products that need a tree: Markdown, metadata, links, visible text, selected fields, site audit.
 
 One Arrow UDF parses a page once and returns all products asked for. The tree builder is tolerant (unclosed and implied
-tags). Main content is `<article>`, else `<main>`, else the block with most paragraph text, else the body: a deterministic
-stand-in for a readability heuristic.
+tags). Main content is `<article>`, else `<main>`, else what readable.py finds by scores, else the body.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from . import readable
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", ("ul", "ol")), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",))}
@@ -187,15 +188,13 @@ def _main_content(root: El) -> El:
         found = next((e for e in root.walk() if e.tag == tag and e.text().strip()), None)
         if found is not None:
             return found
-    score: dict[int, tuple[int, El]] = {}
-    for p in root.walk():
-        if p.tag in ("p", "pre", "blockquote") and p.up is not None:
-            n = len(p.text().strip())
-            if n >= 25:
-                old = score.get(id(p.up), (0, p.up))[0]
-                score[id(p.up)] = (old + n, p.up)
-    if score:
-        return max(score.values(), key=lambda s: s[0])[1]
+    kept, gone = readable.main_blocks(root)
+    if kept:
+        for e in [e for k in kept for e in k.walk() if id(e) in gone]:
+            e.remove()
+        whole = El("div")
+        whole.kids = list(kept)
+        return whole
     return next((e for e in root.walk() if e.tag == "body"), root)
 
 
@@ -556,8 +555,10 @@ MOST_BYTES = 15_000_000  #: of a body; larger ones give an error instead of a te
 def document_text(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """pages (url, content, content_type, and final_url after redirects if known) -> url, final_url, kind, text, parse_error.
 
-    PDF isn't read here, plain text passes, the rest is HTML, whose links are resolved against the final URL.
+    PDF files are read by sources/pdf.py, plain text passes, the rest is HTML, whose links are resolved against the final URL.
     """
+    from ..sources import pdf
+
     if "final_url" not in pages.columns:
         pages = pages.withColumn("final_url", F.col("url"))
     large = F.octet_length("content") > most_bytes
@@ -567,7 +568,10 @@ def document_text(pages: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     read = pages.withColumn("kind", kind).withColumn("body", decoded(F.col("content"), F.col("content_type")))
     plain = F.trim(F.regexp_replace("body", "\r\n", "\n"))
     made = products(F.when(F.col("kind") == "html", F.col("body")), F.col("final_url"), ["markdown"])["markdown"]
-    return read.select("url", "final_url", "kind", F.when(F.col("large"), F.lit(None).cast("string")).when(F.col("kind") == "text", plain).when(F.col("kind") == "html", made).alias("text"), F.when(F.col("large"), "the body is too large").when(F.col("kind") == "pdf", "PDF could not be parsed").alias("parse_error"))
+    files = pdf.pdf_text(read.where("kind = 'pdf' and not large").select("url", "content")).dropDuplicates(["url"])
+    read = read.join(files.select("url", F.col("text").alias("pdf_text"), F.col("parse_error").alias("pdf_error")), "url", "left")
+    text = F.when(F.col("large"), F.lit(None).cast("string")).when(F.col("kind") == "text", plain).when(F.col("kind") == "html", made).otherwise(F.col("pdf_text"))
+    return read.select("url", "final_url", "kind", text.alias("text"), F.when(F.col("large"), "the body is too large").otherwise(F.col("pdf_error")).alias("parse_error"))
 
 
 def markdown_pages(pages: DataFrame, **options) -> DataFrame:
