@@ -35,6 +35,7 @@ LEAST = 3  #: documents of a language that a term must be in
 TOP = 200  #: terms reported of a group
 SCALE = 1_000_000_000
 HELD = 500_000  #: terms that a task counts before it hands them on
+MOST_DOCUMENTS, COUNT_BITS = 1 << 22, 40  #: of a block; bits of occurrences beside the documents of a block
 PAIRS = 1 << 20  #: of sources, that one run works out in one task
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -46,20 +47,23 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def runs(documents: DataFrame) -> DataFrame:
-    """lang, term, source, document (the block's first), df, n: what each block of documents has of each term."""
-    shape = "lang binary, term binary, source binary, document long, df int, n long"
-    names = ["lang", "term", "source", "document", "df", "n"]
+    """key (of lang and term), source, document (the block's first), counts: what each block of documents has of each term.
+
+    A row is as narrow as can be, as there are many: counts holds the documents with the term above COUNT_BITS of occurrences.
+    """
+    shape = "key binary, source binary, document long, counts long"
     binary = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c)
 
     def count(batches):
         held: dict = {}
-        size, block = 0, None
+        size, documents, block = 0, 0, None
 
         def rows():
             for (lang, source), (n, df) in held.items():
-                k = len(n)
+                k, start = len(n), lang + b"\0"
                 if k:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.binary()), pa.array(list(n), pa.binary()), pa.array([source] * k, pa.binary()), pa.array(np.full(k, block)), pa.array([df[t] for t in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=names)
+                    counts = np.fromiter(map(df.__getitem__, n), dtype=np.int64, count=k) << COUNT_BITS | np.fromiter(n.values(), dtype=np.int64, count=k)
+                    yield pa.RecordBatch.from_arrays([pa.array([start + t for t in n], pa.binary()), pa.array([source] * k, pa.binary()), pa.array(np.full(k, block)), pa.array(counts)], names=["key", "source", "document", "counts"])
 
         for batch in batches:
             texts = batch.column("text")
@@ -69,10 +73,10 @@ def runs(documents: DataFrame) -> DataFrame:
                 words, before = terms_of(texts[i].as_py()), len(n)
                 n.update(words)
                 df.update(set(words))
-                size += len(n) - before
-                if size >= HELD:
+                size, documents = size + len(n) - before, documents + 1
+                if size >= HELD or documents >= MOST_DOCUMENTS:
                     yield from rows()
-                    held, size, block = {}, 0, None
+                    held, size, documents, block = {}, 0, 0, None
         yield from rows()
         held.clear()
         freed()
@@ -90,15 +94,16 @@ def _edges(table: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _whole_runs(batches, shorten=None):
-    """Tables that end where a (lang, term) ends. shorten: makes less of a part that isn't ended."""
+def _whole_runs(batches, key: tuple[str, ...], read=None, shorten=None):
+    """Tables that end where a run of equal keys ends. read: of a batch; shorten: makes less of a part that isn't ended."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         part = pa.Table.from_batches([batch])
+        part = read(part) if read else part
         part = part if held is None else pa.concat_tables([held, part]).combine_chunks()
-        last = int(_edges(part, ("lang", "term"))[-1])
+        last = int(_edges(part, key)[-1])
         if last:
             yield part.slice(0, last)
         held = part.slice(last)
@@ -107,32 +112,42 @@ def _whole_runs(batches, shorten=None):
         yield held
 
 
+def _read(part: pa.Table) -> pa.Table:
+    counts = part.column("counts").to_numpy()
+    return pa.table({"key": part.column("key"), "source": part.column("source"), "df": counts >> COUNT_BITS, "n": counts & ((1 << COUNT_BITS) - 1)})
+
+
 def _summed(part: pa.Table) -> pa.Table:
-    """One row for each (lang, term, source)."""
-    at = _edges(part, ("lang", "term", "source"))
-    columns = {c: part.column(c).take(pa.array(at)) for c in ("lang", "term", "source", "document")}
-    for c in ("df", "n"):
-        columns[c] = pa.array(np.add.reduceat(part.column(c).to_numpy(), at), type=part.schema.field(c).type)
-    return pa.table(columns, schema=part.schema)
+    """One row for each (key, source)."""
+    at = _edges(part, ("key", "source"))
+    take = pa.array(at)
+    return pa.table({"key": part.column("key").take(take), "source": part.column("source").take(take)} | {c: np.add.reduceat(part.column(c).to_numpy(), at) for c in ("df", "n")})
 
 
 def kept_terms(partial: DataFrame) -> DataFrame:
     """lang, term, source, n, total (of the language), head (1 in a term's first row), of terms in LEAST documents."""
     shape = "lang binary, term binary, source binary, n long, total long, head int"
-    # the hash in front keeps terms together as well, and lets nearly all comparisons be of one number
-    ordered = partial.repartition("lang", "term").sortWithinPartitions(F.xxhash64("lang", "term"), "lang", "term", "source", "document")
+    # the hash in front keeps terms together as well, and lets most comparisons be of one number
+    ordered = partial.repartition("key").sortWithinPartitions(F.xxhash64("key"), "key", "source", "document")
 
     def scan(batches):
-        for part in _whole_runs(batches, _summed):
+        for part in _whole_runs(batches, ("key",), _read, _summed):
             part = _summed(part)
-            at = _edges(part, ("lang", "term"))
+            at = _edges(part, ("key",))
             long = np.diff(np.append(at, part.num_rows))
             n = part.column("n").to_numpy()
-            df = np.add.reduceat(part.column("df").to_numpy().astype(np.int64), at)
-            head = np.zeros(part.num_rows, dtype=np.int32)
-            head[at] = 1
-            whole = pa.table({"lang": part.column("lang"), "term": part.column("term"), "source": part.column("source"), "n": n, "total": np.repeat(np.add.reduceat(n, at), long), "head": head})
-            yield from whole.filter(pa.array(np.repeat(df >= LEAST, long))).combine_chunks().to_batches()
+            real = np.add.reduceat(part.column("df").to_numpy(), at) >= LEAST
+            if not real.any():
+                continue
+            total, at, long = np.add.reduceat(n, at)[real], at[real], long[real]
+            run = np.repeat(np.arange(len(at)), long)
+            rows = at[run] + np.arange(len(run)) - np.repeat(np.cumsum(long) - long, long)
+            lang, _, term = zip(*(k.rpartition(b"\0") for k in part.column("key").take(pa.array(at)).to_pylist()))
+            head = np.zeros(len(run), dtype=np.int32)
+            head[np.cumsum(long) - long] = 1
+            one = pa.array(run)
+            whole = pa.table({"lang": pa.array(lang, pa.binary()).take(one), "term": pa.array(term, pa.binary()).take(one), "source": part.column("source").take(pa.array(rows)), "n": n[rows], "total": total[run], "head": head})
+            yield from whole.combine_chunks().to_batches()
 
     return ordered.mapInArrow(scan, shape)
 
@@ -154,7 +169,7 @@ def emitted(kept: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([part] * len(value), pa.string()), lang, source, item, pa.array(value, pa.int64())], names=["part", "lang", "source", "item", "value"])
 
     def scan(batches):
-        for part in _whole_runs(batches):
+        for part in _whole_runs(batches, ("lang", "term", "tile")):
             part = part.combine_chunks()
             p, p0, q = (part.column(c).to_numpy() for c in ("p", "p0", "q"))
             own = part.column("own").to_numpy()
