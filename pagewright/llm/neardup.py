@@ -225,6 +225,7 @@ class _Rounds:
     """State of one run: the sets that may be compared, the links so far and the component of each set that has one."""
 
     LEAST = NUMERATOR  #: percent
+    SHINGLES = staticmethod(shingles)
 
     def __init__(self, documents: DataFrame, classes: DataFrame, rows: DataFrame, scratch: list):
         self.scratch, self.kept = scratch, []  # folders that may go at the end, and the labels' last ones
@@ -236,8 +237,10 @@ class _Rounds:
         met = classes.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.col("low").alias("doc_id"), "text_hash")
         ids, seen = _small(met, "neardup-ids", scratch)
 
+        shingles_of = self.SHINGLES
+
         def sets(c):
-            return {"items": [shingles(t).tobytes() for t in c["text"]]}
+            return {"items": [shingles_of(t).tobytes() for t in c["text"]]}
 
         texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(few(ids, seen["n"]), ["doc_id", "text_hash"])
         made = map_arrow(texts.select("id", "text"), sets, "id long, items binary", ["id"])
