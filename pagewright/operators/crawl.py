@@ -34,17 +34,43 @@ def robots_sitemaps(files: DataFrame) -> DataFrame:
     return lines.withColumn("url", url).where("url <> ''").groupBy("host", "url").agg(F.min("line").alias("line"))
 
 
-def allowed(pages: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
-    """Adds `allowed`: the longest matching rule of the host decides, allow wins a tie, no rule allows.
+FEW_HOSTS = 200_000  #: with rules, that a broadcast may hold; more meet their pages by shuffle
+A_SHARE = 200_000  #: pages of one host that meet its rules in one task, about
 
-    The match is a join on the host with a pattern test, so that a page meets its own site's rules only.
-    """
+
+def _placed(pages: DataFrame, key: str) -> DataFrame:
+    """Adds _host and _path, as rules see them."""
     path = F.concat(F.coalesce(F.nullif(urls.part(F.col(key), "PATH"), F.lit("")), F.lit("/")), F.coalesce(F.concat(F.lit("?"), urls.part(F.col(key), "QUERY")), F.lit("")))
-    at = pages.withColumn("_host", urls.host(F.col(key))).withColumn("_path", urls.robots_path(path))
-    tests = rules.select(F.col("host").alias("_host"), "allow", "pattern", urls.robots_regex(F.col("pattern")).alias("regex"))
-    hits = at.select(key, "_host", "_path").distinct().join(tests, "_host").where(F.expr("_path rlike regex"))
-    best = hits.groupBy(key).agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("verdict"))
-    return at.join(best, key, "left").withColumn("allowed", (F.col("_path") == "/robots.txt") | F.coalesce("verdict", F.lit(True))).drop("_host", "_path", "verdict")
+    return pages.withColumn("_host", urls.host(F.col(key))).withColumn("_path", urls.robots_path(path))
+
+
+def matching_rules(pages: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
+    """key, allow and rank (the pattern's length) of the rules of its host that match a URL.
+
+    The rules of a host are a tree of heads, the literal starts of their patterns. A path meets a rule only where it has the
+    head: it is cut at each length that heads of its host have, and those cuts are equal to heads or not, so this is a join on
+    (host, head). Only what comes after a wildcard is tested by pattern. Pages of a large host are dealt out in shares, and
+    the host's rules are repeated for each.
+    """
+    asked = _placed(pages, key).select(F.col(key).alias("_key"), "_host", "_path").distinct()
+    plain = ~F.col("pattern").contains("*") & ~F.col("pattern").endswith("$")
+    head = F.substring_index(F.regexp_replace("pattern", r"\$$", ""), "*", 1)
+    tests = rules.select(F.col("host").alias("_host"), "allow", F.length("pattern").alias("rank"), head.alias("head"), F.when(~plain, urls.robots_regex(F.col("pattern"))).alias("regex")).distinct()
+    shares = asked.groupBy("_host").agg(F.ceil(F.count("*") / A_SHARE).cast("int").alias("shares"))
+    hosts = tests.groupBy("_host").agg(F.collect_set(F.length("head")).alias("lengths")).join(shares, "_host")
+    near = F.broadcast(hosts) if tests.select("_host").distinct().limit(FEW_HOSTS + 1).count() <= FEW_HOSTS else hosts
+    cuts = asked.join(near, "_host").withColumn("share", F.pmod(F.xxhash64("_key"), F.col("shares")).cast("int"))
+    cuts = cuts.withColumn("length", F.explode(F.filter("lengths", lambda n: n <= F.length("_path")))).withColumn("head", F.left("_path", F.col("length")))
+    dealt = tests.join(shares, "_host").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    hits = cuts.select("_key", "_host", "_path", "share", "head").join(dealt, ["_host", "share", "head"]).where(F.expr("regex is null or _path rlike regex"))
+    return hits.select(F.col("_key").alias(key), "allow", "rank")
+
+
+def allowed(pages: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
+    """Adds `allowed`: the longest matching rule of the host decides, allow wins a tie, no rule allows."""
+    best = matching_rules(pages, rules, key).groupBy(F.col(key).alias("_key")).agg(F.max_by("allow", F.struct("rank", "allow")).alias("verdict"))
+    found = _placed(pages, key).join(best, F.col(key) == F.col("_key"), "left")
+    return found.withColumn("allowed", (F.col("_path") == "/robots.txt") | F.coalesce("verdict", F.lit(True))).drop("_host", "_path", "_key", "verdict")
 
 
 def sitemap_entries(files: DataFrame, limit: int | None = None) -> DataFrame:

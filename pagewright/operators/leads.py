@@ -80,6 +80,40 @@ def within_radius(places: DataFrame, lat: float, lon: float, metres: float) -> D
     return near.withColumn("distance", d).where(F.col("distance") <= metres).orderBy("distance")
 
 
+def near(points: DataFrame, centres: DataFrame, metres: float) -> DataFrame:
+    """Pairs of points (latitude, longitude, ..) and centres (centre_latitude, centre_longitude, ..) within a radius, with their distance.
+
+    The sphere is cut into bands about as high as the radius, and each band into cells about as wide, fewer towards the
+    poles. A point has one cell; a centre goes to all cells that its circle may touch, across the date line and around poles.
+    So pairs come from a join on cells, and the distance is worked out for those only. Other columns must not share names.
+    Places without coordinates, or with such as no place has, are in no pair.
+    """
+    from math import degrees, sin
+
+    angle = metres / numbers.EARTH_METRES
+    step = min(180.0, max(1e-4, degrees(angle) * (1 + 1e-9) + 1e-9))
+    bands = int(180 / step) + 1
+    real = lambda lat, lon: F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180)
+    band_of = lambda lat: F.least(F.floor((lat + 90) / step), F.lit(bands - 1)).cast("int")
+    # the least cosine of a band is at its edge away from the equator
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col("band") * step - 90), F.abs((F.col("band") + 1) * step - 90)))
+    cosine = F.greatest(F.cos(F.radians(edge)), F.lit(0.0))
+    cells = F.greatest(F.lit(1), F.floor(360 * cosine / step)).cast("int")
+    width = 360.0 / cells
+    place = lambda lon: F.floor((lon + 180) / width).cast("int")
+    dealt = points.where(real("latitude", "longitude")).withColumn("band", band_of(F.col("latitude"))).withColumn("cell", F.pmod(place(F.col("longitude")), cells))
+    own = centres.where(real("centre_latitude", "centre_longitude"))
+    touched = F.sequence(F.greatest(F.lit(0), band_of(F.col("centre_latitude") - step)), F.least(F.lit(bands - 1), band_of(F.col("centre_latitude") + step)))
+    own = own.withColumn("band", F.explode(touched))
+    reach = sin(min(angle, 3.141592653589793) / 2) / F.sqrt(F.cos(F.radians("centre_latitude")) * cosine)
+    wide = F.when(reach < 1, F.degrees(2 * F.asin(F.least(reach, F.lit(1.0)))) * (1 + 1e-9) + 1e-9).otherwise(180.0)
+    first, last = place(F.col("centre_longitude") - wide), place(F.col("centre_longitude") + wide)
+    around = F.when(F.isnan(wide) | wide.isNull() | (last - first + 1 >= cells), F.sequence(F.lit(0), cells - 1)).otherwise(F.transform(F.sequence(first, F.greatest(first, last)), lambda c: F.pmod(c, cells)))
+    own = own.withColumn("cell", F.explode(F.array_distinct(around)))
+    d = numbers.haversine(F.col("centre_latitude"), F.col("centre_longitude"), F.col("latitude"), F.col("longitude"))
+    return dealt.join(own, ["band", "cell"]).drop("band", "cell").withColumn("distance", d).where(F.col("distance") <= metres)
+
+
 def grid_cells(boxes: DataFrame, most: int | None = None) -> DataFrame:
     """boxes (box_id, min_lat, min_lon, max_lat, max_lon, cell_km) -> box_id, y, x, lat, lon of each cell's middle.
 
