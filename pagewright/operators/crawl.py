@@ -116,19 +116,22 @@ def crawl(edges: DataFrame, starts: DataFrame, max_depth: int, max_pages: int |
     return seen
 
 
-def shared_checkpoints(spark) -> None:
-    """Points checkpoint() at the shared folder named in spark.checkpoint.dir; a local master without one gets a folder of its own."""
+def shared_folder(spark) -> str:
+    """The shared folder named in spark.checkpoint.dir; a local master without one gets a folder of its own."""
     import os
     import re
     import tempfile
 
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isEmpty():
-        return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {sc.master}")
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"pagewright-crawl-{os.getpid()}"))
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {spark.sparkContext.master}")
+    return named or os.path.join(tempfile.gettempdir(), f"pagewright-crawl-{os.getpid()}")
+
+
+def shared_checkpoints(spark) -> None:
+    """Points checkpoint() at the shared folder."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def crawl_site(pages: DataFrame, links: DataFrame, start: str, rules: DataFrame | None = None, max_depth: int = 2, max_pages: int = 20) -> DataFrame:
@@ -222,19 +225,40 @@ def relevance(pages: DataFrame, term: str) -> DataFrame:
     return pages.withColumn("hit", F.lower("url").contains(term.lower())).orderBy(F.col("hit").desc(), "place")
 
 
-#: Keywords of contact pages by rank: whole path segments, or labels of 60 characters at most.
-CONTACT_WORDS = [("fale-conosco", 0), ("contato", 0), ("contact", 0), ("contact-us", 0), ("atendimento", 1), ("sobre", 2), ("about", 2), ("about-us", 2), ("quem-somos", 2), ("equipe", 3), ("team", 3)]
+#: Keywords of contact pages by rank, whole words of a path segment or of a label of 60 characters at most.
+CONTACT_WORDS = {
+    0: ["contato", "contatos", "contact", "contacts", "contact-us", "contactus", "fale-conosco", "faleconosco", "atendimento"],
+    1: ["sobre", "sobre-nos", "about", "about-us", "quem-somos", "quemsomos", "a-empresa", "institucional"],
+    2: ["equipe", "nossa-equipe", "team", "our-team", "corpo-clinico"],
+    3: ["trabalhe-conosco"],
+}
+#: Fixed value: endings of what is no page.
+NO_PAGE = r"(?i)\.(?:pdf|jpe?g|png|gif|webp|svg|zip|rar|docx?|xlsx?|mp4|mp3)$"
 MOST_CONTACT_PAGES = 3
 
 
+def contact_rank(href: Column, text: Column) -> Column:
+    """Rank of a link by the words of its path and its label; null if it names no contact page."""
+    path = F.regexp_replace(F.coalesce(urls.part(href, "PATH"), F.lit("")), "/+$", "")
+    decoded = lambda s: F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+    keys = F.transform(F.split(path, "/"), lambda s: urls.slug(F.regexp_replace(decoded(s), r"(?i)\.(?:html?|php|aspx?)$", "")))
+    label = F.when(F.length(F.trim(text)) <= 60, urls.slug(F.trim(text)))
+    words = F.concat(F.lit("-"), F.array_join(F.concat(keys, F.array(F.coalesce(label, F.lit("")))), "--"), F.lit("-"))
+    out = F.when(F.lit(False), 0)
+    for rank, own in CONTACT_WORDS.items():
+        out = out.when(words.rlike("-(?:" + "|".join(own) + ")-"), rank)
+    return out
+
+
 def contact_pages(links: DataFrame) -> DataFrame:
-    """links (site, href, text, place) on the site's own host -> the three most promising contact pages by rank, then place."""
-    path = F.lower(urls.part(F.col("href"), "PATH"))
-    label = urls.slug(F.when(F.length("text") <= 60, F.col("text")).otherwise(""))
-    segments = F.transform(F.split(F.coalesce(path, F.lit("")), "/"), lambda s: urls.slug(F.substring_index(s, ".", 1)))
-    rank = F.least(*[F.when(F.array_contains(segments, w) | (label == w), r).otherwise(99) for w, r in CONTACT_WORDS])
-    own = links.where((urls.host(F.col("href")) == urls.host(F.col("site"))) & ~path.rlike(r"\.(pdf|jpg|jpeg|png|gif|svg|zip|docx?|xlsx?)$")).withColumn("rank", rank).where("rank < 99")
-    once = first_wins(own.withColumn("href", F.substring_index("href", "#", 1)), ["site", "href"], ["rank", "place"])
+    """links (site, href, text, place) on the site's own host -> the three most promising contact pages by rank, then place.
+
+    site is the URL of the start page, which is none itself. Links that differ in query or fragment are one.
+    """
+    trimmed = lambda u: F.regexp_replace(F.coalesce(urls.part(F.col(u), "PATH"), F.lit("")), "/+$", "")
+    here = (urls.host(F.col("href")) == urls.host(F.col("site"))) & F.lower(urls.part(F.col("href"), "PROTOCOL")).isin("http", "https")
+    own = links.where(here & (trimmed("href") != trimmed("site")) & ~trimmed("href").rlike(NO_PAGE)).withColumn("rank", contact_rank(F.col("href"), F.col("text"))).where("rank is not null")
+    once = first_wins(own.withColumn("href", urls.without_query(F.substring_index("href", "#", 1))), ["site", "href"], ["place"])
     return once.withColumn("n", F.row_number().over(W.partitionBy("site").orderBy("rank", "place"))).where(F.col("n") <= MOST_CONTACT_PAGES).drop("n")
 
 

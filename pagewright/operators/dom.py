@@ -348,6 +348,11 @@ def links_of(root: El, url: str | None) -> list[dict]:
     return out
 
 
+def hrefs_of(root: El) -> list[str]:
+    """What anchors point at, as it stands there."""
+    return [e.attrs["href"].strip() for e in root.walk() if e.tag == "a" and e.attrs.get("href", "").strip()]
+
+
 def phone_links_of(root: El) -> list[str]:
     """Targets of tel: links, in page order."""
     return [e.attrs["href"].strip() for e in root.walk() if e.tag == "a" and e.attrs.get("href", "").strip().lower().startswith("tel:")]
@@ -488,7 +493,7 @@ _struct = lambda **k: T.StructType([T.StructField(n, t) for n, t in k.items()])
 METADATA = _struct(title=_S, description=_S, og_title=_S, og_description=_S, og_image=_S, og_type=_S, og_url=_S, canonical=_S, author=_S, published=_S, keywords=T.ArrayType(_S), json_ld=T.ArrayType(_S))
 LINK = _struct(href=_S, text=_S, place=T.IntegerType())
 AUDIT = _struct(seo_score=T.IntegerType(), seo_issues=T.ArrayType(_S), digital_maturity=T.IntegerType(), booking_url=_S, contact_form=T.BooleanType(), whatsapp=T.BooleanType(), services=T.ArrayType(_S), h1=T.ArrayType(_S), h2=T.ArrayType(_S))
-KINDS = {"markdown": _S, "visible": _S, "links": T.ArrayType(LINK), "phone_links": T.ArrayType(_S), "metadata": METADATA, "fields": T.MapType(_S, T.ArrayType(_S)), "audit": AUDIT}
+KINDS = {"markdown": _S, "visible": _S, "links": T.ArrayType(LINK), "phone_links": T.ArrayType(_S), "hrefs": T.ArrayType(_S), "metadata": METADATA, "fields": T.MapType(_S, T.ArrayType(_S)), "audit": AUDIT}
 
 
 def products(html: Column, url: Column, want: list[str], selector: str | None = None, links: str = "inline", images: str = "ignore", schema: dict[str, str] | None = None) -> Column:
@@ -515,7 +520,7 @@ def products(html: Column, url: Column, want: list[str], selector: str | None =
                 elif n == "audit":
                     row[n] = audit(page, own, root)
                 else:
-                    row[n] = {"visible": lambda: visible_text(root), "links": lambda: links_of(root, own), "phone_links": lambda: phone_links_of(root), "metadata": lambda: metadata(root), "fields": lambda: fields(root, schema or {})}[n]()
+                    row[n] = {"visible": lambda: visible_text(root), "links": lambda: links_of(root, own), "phone_links": lambda: phone_links_of(root), "hrefs": lambda: hrefs_of(root), "metadata": lambda: metadata(root), "fields": lambda: fields(root, schema or {})}[n]()
             rows.append(row)
         return pd.DataFrame(rows, columns=want)
 

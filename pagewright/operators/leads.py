@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rx import let
 from ..functions import email, numbers, pages, phone, urls
 from .crawl import first_wins
 
@@ -147,16 +148,18 @@ def seed_jobs(queries: DataFrame, cells: DataFrame, budget: int) -> DataFrame:
 def merged_contacts(evidence: DataFrame) -> DataFrame:
     """evidence (site, page_rank, ord, type, value, origin) -> one row a site.
 
-    Emails in order of their first page; a phone once, a tel link beating text; chat numbers flag their phone; the first
-    profile of each network; ids as a sorted set.
+    Emails sorted; a phone once, a tel link beating text, in the order of their formatted text; chat numbers (digits alone)
+    flag their phone; the first profile of each network; ids as a sorted set.
     """
     first = lambda t, keys, order: first_wins(evidence.where(F.col("type") == t), ["site", *keys], order)
     place = ["page_rank", "ord"]
-    listed = lambda rows, name, item: rows.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(*place, item.alias("v")))).alias("l")).select("site", F.transform("l", lambda x: x["v"]).alias(name))
-    emails = listed(first("email", ["value"], place), "emails", F.col("value"))
+    emails = evidence.where("type = 'email'").groupBy("site").agg(F.array_sort(F.collect_set("value")).alias("emails"))
     chats = evidence.where("type = 'whatsapp'").groupBy("site").agg(F.array_sort(F.collect_set("value")).alias("whatsapps"))
     phones = first("phone", ["value"], [(F.col("origin") == "tel").desc(), *place]).join(chats, "site", "left")
-    phones = listed(phones, "phones", F.struct("value", "origin", F.coalesce(F.array_contains("whatsapps", F.col("value")), F.lit(False)).alias("whatsapp")))
+    shown = let(phone.normalise(F.col("value"), "BR", "tel"), lambda p: F.when(p["country"] == "BR", p["national"]).otherwise(p["international"]))
+    flagged = phones.withColumn("_shown", F.coalesce(shown, F.col("value"))).withColumn("_chat", F.coalesce(F.array_contains("whatsapps", F.regexp_replace("value", r"^\+", "")), F.lit(False)))
+    phones = flagged.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("_shown", "value", "origin", "_chat"))).alias("l"))
+    phones = phones.select("site", F.transform("l", lambda x: F.struct(x["value"].alias("value"), x["origin"].alias("origin"), x["_chat"].alias("whatsapp"))).alias("phones"))
     socials = first("social", ["origin"], place).groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("origin", "value")))).alias("socials"))
     ids = evidence.where("type = 'cnpj'").groupBy("site").agg(F.array_sort(F.collect_set("value")).alias("cnpjs"))
     sites = evidence.select("site").distinct()
@@ -168,22 +171,29 @@ def merged_contacts(evidence: DataFrame) -> DataFrame:
 def contacts(page_rows: DataFrame, region: str = "BR") -> DataFrame:
     """pages (site, url, page_rank, html) -> evidence rows (site, page_rank, ord, value, type, origin) by one parse a page.
 
-    Emails, phones and company ids of the visible text, phones of tel: links, chat numbers of raw html, profiles of social networks.
+    Emails of mailto: and protected links and of the visible text; phones of tel: links, which need only be possible, and valid
+    ones of the text; company ids of the text; chat numbers of links and raw html; profiles of social networks.
     """
     from .dom import products
 
-    made = page_rows.withColumn("p", products(F.col("html"), F.col("url"), ["visible", "links", "phone_links"]))
-    base = made.select("site", "page_rank", F.col("p.visible").alias("text"), F.col("p.links").alias("links"), F.col("p.phone_links").alias("calls"), "html")
+    made = page_rows.withColumn("p", products(F.col("html"), F.col("url"), ["visible", "links", "hrefs"]))
+    base = made.select("site", "page_rank", F.col("p.visible").alias("text"), F.col("p.links").alias("links"), F.col("p.hrefs").alias("hrefs"), "html")
 
     def evidence(values: Column, type_: str, origin: str) -> DataFrame:
         return base.select("site", "page_rank", F.posexplode(values).alias("ord", "value"), F.lit(type_).alias("type"), F.lit(origin).alias("origin"))
 
     numbers = lambda found: F.transform(F.filter(found, lambda p: p["valid"]), lambda p: p["e164"])
-    mails = evidence(email.find(F.col("text")), "email", "text")
-    called = evidence(numbers(F.transform("calls", lambda c: phone.normalise(c, region, "tel"))), "phone", "tel")
+    starts = lambda h, *schemes: F.lower(F.substring(h, 1, 8)).rlike("^(?:" + "|".join(schemes) + "):")
+    some = lambda values: F.filter(values, lambda v: v.isNotNull())
+    protected = F.filter("hrefs", lambda h: h.contains("/cdn-cgi/l/email-protection"))
+    protected = some(F.transform(protected, lambda h: email.clean(email.decode_protected(F.coalesce(F.try_element_at(F.split(h, "#"), F.lit(2)), F.lit(""))))))
+    written = some(F.transform(F.filter("hrefs", lambda h: starts(h, "mailto")), lambda h: email.clean(h)))
+    mails = evidence(protected, "email", "protected").unionByName(evidence(written, "email", "mailto")).unionByName(evidence(email.find(F.col("text")), "email", "text"))
+    called = evidence(some(F.transform(F.filter("hrefs", lambda h: starts(h, "tel")), lambda h: phone.normalise(h, region, "tel")["e164"])), "phone", "tel")
     read = evidence(numbers(phone.find_phones(F.col("text"), region)), "phone", "text")
     ids = evidence(phone.extract_cnpjs(F.col("text")), "cnpj", "text")
-    chats = evidence(F.transform(phone.whatsapp_in_html(F.col("html")), lambda d: F.concat(F.lit("+"), d)), "whatsapp", "html")
+    chat = lambda h: h.contains("wa.me/") | h.contains("api.whatsapp.com/send") | h.startswith("whatsapp:")
+    chats = evidence(some(F.transform(F.filter("hrefs", chat), lambda h: phone.whatsapp_number(h, region))), "whatsapp", "link").unionByName(evidence(phone.whatsapp_in_html(F.col("html")), "whatsapp", "html"))
     nets = base.select("site", "page_rank", F.explode("links").alias("l")).select("site", "page_rank", F.col("l.place").alias("ord"), urls.without_query(F.col("l.href")).alias("value"), F.lit("social").alias("type"), urls.network(F.col("l.href")).alias("origin")).where("origin is not null")
     return mails.unionByName(called).unionByName(read).unionByName(ids).unionByName(chats).unionByName(nets)
 
@@ -250,15 +260,53 @@ def niche_gate(leads: DataFrame, judgments: DataFrame, least: float = 0.3) -> Da
     return leads.join(judgments, "lead_id", "left").withColumn("skipped", F.coalesce(F.col("niche_score") < least, F.lit(False)))
 
 
-def locale_of(country: Column, phone_e164: Column) -> Column:
-    region = phone.country_to_region(country)
-    return F.when(region.isin("BR", "PT") | phone_e164.startswith("+55") | phone_e164.startswith("+351"), "pt").otherwise("en")
+#: Words and the postcode of addresses where English is spoken.
+ENGLISH = r"\b(uk|united kingdom|england|scotland|wales|ireland|usa|united states|australia|canada)\b"
+UK_POSTCODE = r"\b[a-z]{1,2}\d[a-z\d]?\s*\d[a-z]{2}\b"
+
+
+def locale_of(country: Column, address: Column | None = None, location: Column | None = None) -> Column:
+    """pt or en: by the country's code if it is known, else en if address or location name a place where that is spoken."""
+    text = F.lower(F.concat_ws(" ", *[c for c in (address, location) if c is not None], F.lit("")))
+    by_country = F.when(F.upper(country).isin("BR", "PT"), "pt").otherwise("en")
+    return F.when(F.coalesce(country, F.lit("")) != "", by_country).when(text.rlike(ENGLISH) | text.rlike(UK_POSTCODE), "en").otherwise("pt")
 
 
 def city_of(address: Column) -> Column:
-    """The part before the region code of an address such as `Rua A, 10, Goiânia - GO, 74000-000`, else its second last part."""
-    city = F.regexp_extract(address, r",\s*([^,]+?)\s+-\s+[A-Z]{2}(?:,|$)", 1)
-    return F.when(city != "", city).otherwise(F.trim(F.try_element_at(F.split(address, ","), F.lit(-2))))
+    """What stands before the region's code in `Rua A, 10, Goiânia - GO, 74000-000`, else the second last part if it has no digit."""
+    city = F.trim(F.element_at(F.split(F.regexp_extract(address, r"([A-Za-zÀ-ÖØ-öø-ÿ ]{3,})\s*-\s*[A-Z]{2}\b", 1), ","), -1))
+    parts = F.filter(F.transform(F.split(address, "[,;]"), lambda p: F.trim(p)), lambda p: p != "")
+    other = F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2)))
+    return F.coalesce(F.nullif(city, F.lit("")), F.when(~other.rlike(r"\d"), other))
+
+
+#: What is offered where the caller says nothing, and the texts of drafts.
+OFFER = {"pt": "automações de resposta e agendamento para reduzir contatos perdidos", "en": "reply and booking automation that cuts missed enquiries"}
+
+
+def drafts(leads: DataFrame, niche: str, offer: str | None = None, location: str | None = None, locale: str = "auto") -> DataFrame:
+    """leads (title, address, country, city, whatsapp, email, instagram, phone, rating, reviews, person) -> channel, destination, locale, copy.
+
+    A draft says only what is known: the person or the team, the place unless the title holds it, the rating where there are
+    reviews. Nothing is sent.
+    """
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    channel = F.when(filled("whatsapp"), "WHATSAPP").when(filled("email"), "EMAIL").when(filled("instagram"), "INSTAGRAM_DM").otherwise("PHONE")
+    target = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("whatsapp", "email", "instagram", "phone")], F.lit(""))
+    spoken = F.lit(locale) if locale != "auto" else locale_of(F.col("country"), F.col("address"), F.lit(location))
+    found = F.coalesce(F.nullif(F.col("city"), F.lit("")), city_of(F.col("address")))
+    city = F.when(~F.lower("title").contains(F.lower(found)), found)
+    en = F.col("locale") == "en"
+    rated = (F.coalesce("rating", F.lit(0.0)) != 0) & (F.coalesce("reviews", F.lit(0)) != 0)
+    stars = F.regexp_replace(F.col("rating").cast("string"), r"\.0$", "")
+    rating = F.when(rated & en, F.concat(F.lit(" ("), stars, F.lit("★, "), F.col("reviews"), F.lit(" Google reviews)"))).when(rated, F.concat(F.lit(" (nota "), stars, F.lit("★, "), F.col("reviews"), F.lit(" avaliações no Google)"))).otherwise("")
+    known = leads.withColumns({"channel": channel, "destination": target, "locale": spoken}).withColumns({"_city": city, "_rating": rating, "_person": F.nullif(F.col("person"), F.lit(""))})
+    offered = F.lit(offer.strip()) if offer and offer.strip() else F.when(en, OFFER["en"]).otherwise(OFFER["pt"])
+    place = lambda word: F.coalesce(F.concat(F.lit(f" {word} "), F.col("_city")), F.lit(""))
+    english = F.concat(F.lit("Hi "), F.coalesce("_person", F.concat("title", F.lit(" team"))), F.lit(",\n\nI came across "), F.col("title"), place("in"), F.col("_rating"), F.lit(".\n\nI work on "), offered, F.lit(f" for {niche} businesses.\n\nWould a 10-minute call this week be useful?"))
+    portuguese = F.concat(F.lit("Olá "), F.coalesce("_person", F.concat(F.lit("equipe da "), F.col("title"))), F.lit(", tudo bem?\n\nConheci a "), F.col("title"), place("em"), F.col("_rating"), F.lit(".\n\nTrabalho com "), offered, F.lit(f" para negócios de {niche}.\n\nFaz sentido conversarmos 10 minutos esta semana?"))
+    return known.withColumn("copy", F.when(en, english).otherwise(portuguese)).drop("_city", "_rating", "_person")
+
 
 
 GROWTH_TEMPLATES = {

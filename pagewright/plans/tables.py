@@ -153,7 +153,7 @@ _EVIDENCE = """SELECT c_nationkey AS site, CAST(c_custkey % 3 AS INT) AS page_ra
 
 
 @query(f"""WITH e AS ({_EVIDENCE}), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY site, type, value ORDER BY CASE WHEN type = 'phone' THEN (origin <> 'tel')::INT ELSE 0 END, page_rank, ord) = 1)
-SELECT site, list(value ORDER BY page_rank, ord) FILTER (type = 'email') AS emails, list(value ORDER BY page_rank, ord) FILTER (type = 'phone') AS phones,
+SELECT site, list(value ORDER BY value) FILTER (type = 'email') AS emails, list(value ORDER BY value) FILTER (type = 'phone') AS phones,
   (len(list(value) FILTER (type = 'phone' AND origin = 'tel')))::INTEGER AS tel, list(value ORDER BY value) FILTER (type = 'cnpj') AS cnpjs FROM f GROUP BY site""")
 def contact_merge(spark, sf_dir):
     m = leads.merged_contacts(rows(spark, sf_dir, _EVIDENCE))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pagewright.plans import bodies, flagship, joins, operations, tables, texts, vectors  # noqa: F401
+from pagewright.plans import bodies, contacts, flagship, joins, operations, streams, tables, texts, vectors  # noqa: F401
 from pagewright.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
