@@ -7,7 +7,10 @@ from pyspark.sql import Column, functions as F
 from .rx import js, trimmed
 
 EARTH_METRES, KM_PER_DEGREE, LEAST_COSINE = 6371e3, 111.32, 1e-6
-MONTHS = {m: i for i, names in enumerate("jan;fev feb;mar;abr apr;mai may;jun;jul;ago aug;set sep;out oct;nov;dez dec".split(";"), 1) for m in names.split()}
+# Short names of months in Portuguese and English -> number.
+MONTHS = {
+    "jan": 1, "fev": 2, "feb": 2, "mar": 3, "abr": 4, "apr": 4, "mai": 5, "may": 5, "jun": 6, "jul": 7, "ago": 8, "aug": 8, "set": 9, "sep": 9, "out": 10, "oct": 10, "nov": 11, "dez": 12, "dec": 12,
+}
 #: Day -> its Portuguese name, which exports show.
 DAYS = {"monday": "segunda-feira", "tuesday": "terça-feira", "wednesday": "quarta-feira", "thursday": "quinta-feira", "friday": "sexta-feira", "saturday": "sábado", "sunday": "domingo"}
 

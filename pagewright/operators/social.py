@@ -227,7 +227,7 @@ def video_caption(alt: Column) -> Column:
 
 # Hosts of the networks that are watched, and first path segments that are no profiles.
 WATCHED = {"tiktok": ["tiktok.com"], "instagram": ["instagram.com"], "threads": ["threads.com", "threads.net"], "facebook": ["facebook.com"], "x": ["x.com", "twitter.com"]}
-NOT_PROFILES = "p reel reels explore stories search home i hashtag groups watch settings messages post status intent share".split()
+NOT_PROFILES = ["p", "reel", "reels", "explore", "stories", "search", "home", "i", "hashtag", "groups", "watch", "settings", "messages", "post", "status", "intent", "share"]
 PROFILE = {"tiktok": "https://www.tiktok.com/@%s", "instagram": "https://www.instagram.com/%s/", "threads": "https://www.threads.com/@%s", "facebook": "https://www.facebook.com/%s", "x": "https://x.com/%s"}
 
 
