@@ -147,10 +147,20 @@ def test_columns_may_bear_the_operators_names(spark):
     assert mixing.mixed(df).columns == names and sorted(map(tuple, mixing.mixed(df).collect())) == sorted(rows)
 
 
-def test_weights_of_any_size():
-    assert mixing.bounded({"a": 3 * 10**12, "b": 10**12}) == {"a": 3, "b": 1}
-    own = mixing.bounded({"a": 3 * 10**12 + 1, "b": 10**12, "c": 1})
-    assert sum(own.values()) <= mixing.MOST_SLOTS + 3 and abs(own["a"] / own["b"] - 3) < 0.01 and own["c"] == 1
+@pytest.mark.parametrize("weights", [{"a": 3 * 10**12, "b": 10**12}, {"a": 1, "b": 10**6}, {"a": 3 * 10**12 + 1, "b": 10**12, "c": 1}, {f"s{i}": 10 ** (i % 7) + i for i in range(40)}])
+def test_weights_of_any_size(weights):
+    """No source is a block off its share in any phase, however long the period is."""
+    blocks = {s: 30 + 7 * i for i, s in enumerate(weights)}
+    plan = mixing.plan(blocks, weights)
+    order = dict(sorted((mixing.slot_of(plan[s], k)[0], s) for s, n in blocks.items() for k in range(n)))
+    assert list(order) == list(range(sum(blocks.values())))
+    left, out, start = dict(blocks), collections.Counter(), 0
+    for t, s in order.items():
+        out[s] += 1
+        total = sum(weights[x] for x in left)
+        assert all(abs(out[x] - (t + 1 - start) * weights[x] / total) < 1 + 1e-9 for x in left)
+        if out[s] == left[s]:
+            left, out, start = {x: n - out[x] for x, n in left.items() if x != s}, collections.Counter(), t + 1
 
 
 def test_one_row_many_times(spark, monkeypatch):
