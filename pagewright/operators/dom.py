@@ -414,6 +414,42 @@ def fields(root: El, schema: dict[str, str]) -> dict[str, list[str]]:
     return out
 
 
+class SelectFields:
+    """Table function select_fields(html, url, schema): a row a page, with a column of texts for each key of the schema.
+
+    schema is JSON of key -> selector or selector@attribute and must be a constant, as it names the columns. A row at a time in
+    Python, as a selector needs the page's tree; null pages give empty lists. Links are made absolute against url if it is given.
+    """
+
+    @staticmethod
+    def analyze(html, url, schema):
+        from pyspark.sql.functions import AnalyzeResult
+
+        if not schema.isConstantExpression or schema.value is None:
+            raise ValueError("select_fields: the schema must be constant text")
+        keys = json.loads(schema.value)
+        if not isinstance(keys, dict) or not keys or not all(isinstance(v, str) for v in keys.values()):
+            raise ValueError("select_fields: the schema must be a JSON object of selectors")
+        if len({k.lower() for k in keys}) < len(keys):
+            raise ValueError("select_fields: keys must differ in more than case")
+        for raw in keys.values():
+            compile_selector(raw.partition("@")[0].strip())
+        return AnalyzeResult(T.StructType([T.StructField(k, T.ArrayType(T.StringType())) for k in keys]))
+
+    def eval(self, html, url, schema):
+        keys = json.loads(schema)
+        root = parse(html or "")
+        if url:
+            _absolute(root, url)
+        found = fields(root, keys)
+        yield tuple(found[k] for k in keys)
+
+
+def register_functions(spark) -> None:
+    """Makes select_fields known to SQL in this session."""
+    spark.udtf.register("select_fields", F.udtf(SelectFields))
+
+
 # What tells of online booking, services and tracking.
 BOOKING_VENDOR = re.compile(r"calendly\.com|doctoralia|feegow|ninsaude|clinicorp|dentally|cliniko|vetstoria|petsapp|setmore|simplybook|booksy|fresha|treatwell|acuityscheduling|zocdoc|doctolib|pabau|phorest|zenoti|that-time\.co\.uk|jane\.app|writeupp|gettimely|vagaro|mindbodyonline|squareup\.com/appointments|facesconsent|portal\.dental|carestack|//[^/?#]*(?:booking|appointment|agend|reserv)[^/?#]*\.", re.I)
 BOOKING_PATH = re.compile(r"/(agend|marcar|reserv|book|appointment|schedul)[^/]*/?$", re.I)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dom
 from ..sources import pdf
-from .flagship import _MARKDOWN
+from .flagship import _MARKDOWN, _TITLE
 from .registry import query, table
 
 _A_PAGE = 3  #: lines
@@ -43,3 +43,15 @@ def readable_pages(spark, sf_dir):
     html = F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>"))
     found = dom.markdown_pages(pages.withColumn("html", html))
     return found.select("page_id", F.when(F.length("own") >= 600, F.col("markdown")).alias("markdown"), F.when(F.length("own") >= 100, F.col("markdown").contains(F.col("own"))).alias("holds"))
+
+
+_FIELDS = '{"title": "title", "menu": "nav a", "items": "nav ul > li", "ad": "div.ad", "none": "h6@id"}'
+
+
+@query(f"""SELECT page_id, trim(t) AS title, list_transform(regexp_extract_all(nav, 'href="([^"]*)"', 1), lambda h: regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || h) AS menu, len(regexp_extract_all(nav, '<li>'))::INTEGER AS items, 1 AS ads, 0 AS missing
+  FROM (SELECT page_id, url, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, {_TITLE} AS t FROM pages)""")
+def select_fields(spark, sf_dir):
+    """Fields of every page by a caller's schema, whose keys are columns, in SQL."""
+    dom.register_functions(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    return spark.sql(f"SELECT page_id, title[0] AS title, menu, size(items) AS items, size(ad) AS ads, size(none) AS missing FROM pages, LATERAL select_fields(html, url, '{_FIELDS}')")

@@ -267,3 +267,14 @@ def test_each_rule_is_one_expression(spark):
         plan = docs.select(made.alias("x")).select("x.*")._jdf.queryExecution().optimizedPlan().toString()
         uses = plan.count("regexp_extract_all(") + plan.count("regexp_extract(")
         assert rules <= uses <= rules + 8, uses
+
+
+def test_select_fields_in_sql(spark):
+    dom.register_functions(spark)
+    spark.createDataFrame([(1, "<h1>A</h1><a href='/x'>l</a><p>b<p>c", "https://s.example/d/"), (2, None, None)], "id int, html string, url string").createOrReplaceTempView("bodies")
+    got = spark.sql("""SELECT id, f.* FROM bodies, LATERAL select_fields(html, url, '{"Head line": "h1", "to": "a@href", "p": "p"}') f ORDER BY id""")
+    assert got.columns == ["id", "Head line", "to", "p"]
+    assert [tuple(r) for r in got.collect()] == [(1, ["A"], ["https://s.example/x"], ["b", "c"]), (2, [], [], [])]
+    for bad in ("url", "'{}'", "'[1]'", "NULL", """'{"a": "p", "A": "p"}'"""):
+        with pytest.raises(Exception, match="select_fields"):
+            spark.sql(f"SELECT * FROM bodies, LATERAL select_fields(html, url, {bad})").collect()
