@@ -66,7 +66,7 @@ def test_crawl(spark):
     assert {r.url: r.depth for r in crawl.crawl(edges, starts, 2).collect()} == {"a": 0, "b": 1, "c": 2}
     assert [r.url for r in crawl.crawl(edges, starts, 9, 2).collect()] == ["a", "b"]
     links = spark.createDataFrame([("https://a.com", "https://a.com/fale-conosco", "x", 0), ("https://a.com", "https://b.com/contato", "Contato", 1), ("https://a.com", "https://a.com/q", "Equipe", 2), ("https://a.com", "https://a.com/contact.pdf", "y", 3)], "site string, href string, text string, place int")
-    assert [(r.href, r.rank) for r in crawl.contact_pages(links).orderBy("rank").collect()] == [("https://a.com/fale-conosco", 0), ("https://a.com/q", 3)]
+    assert [(r.href, r.rank) for r in crawl.contact_pages(links).orderBy("rank").collect()] == [("https://a.com/fale-conosco", 0), ("https://a.com/q", 2)]
 
 
 def test_sequential_operators(spark):
@@ -207,12 +207,40 @@ def test_contacts_of_pages(spark):
     made = leads.contacts(spark.createDataFrame([("loja", "https://loja.com.br/", 0, html)], "site string, url string, page_rank int, html string"))
     assert sorted((r.type, r.origin, r.value) for r in made.collect()) == [
         ("cnpj", "text", "04740714000197"), ("email", "text", "vendas@loja.com.br"), ("phone", "tel", "+556233334444"), ("phone", "text", "+5562999999999"),
-        ("social", "instagram", "https://instagram.com/loja"), ("whatsapp", "html", "+5562999999999"),
+        ("social", "instagram", "https://instagram.com/loja"), ("whatsapp", "html", "5562999999999"), ("whatsapp", "link", "5562999999999"),
     ]
     one = leads.merged_contacts(made).collect()[0]
     assert [(p.value, p.whatsapp) for p in one.phones] == [("+556233334444", False), ("+5562999999999", True)] and one.cnpjs == ["04740714000197"]
 
 
+def test_links_give_contacts(spark):
+    """Mail and protected links, and phone links whose number is only possible."""
+    key = 0x5A
+    hidden = f"{key:02x}" + "".join(f"{ord(c) ^ key:02x}" for c in "oi@olaria.com.br")
+    html = f"""<body><a href="MAILTO:Vendas@olaria.com.br?subject=x">mail</a><a href="/cdn-cgi/l/email-protection#{hidden}">x</a><a href="/cdn-cgi/l/email-protection">no code</a>
+    <a href="tel:+55 81 1234-5678">desk</a><a href="tel:(81) 98123-4567">cell</a><a href="tel:1">short</a><a href="whatsapp://send?phone=5581981234567">chat</a></body>"""
+    made = leads.contacts(spark.createDataFrame([("s", "https://olaria.com.br/", 0, html)], "site string, url string, page_rank int, html string"))
+    one = leads.merged_contacts(made).collect()[0]
+    assert one.emails == ["oi@olaria.com.br", "vendas@olaria.com.br"] and one.whatsapps == ["5581981234567"]
+    assert [(p.value, p.origin, p.whatsapp) for p in one.phones] == [("+558112345678", "tel", False), ("+5581981234567", "tel", True)]
+
+
+def test_contact_pages_by_whole_words(spark):
+    root = "https://s.example/inicio/"
+    paths = [("contato-e-localizacao", "", 0), ("sobremesas", "", None), ("steam", "", None), ("x", "Entre em Contato", 0), ("Fale%20Conosco.php", "", 0), ("inicio", "Contato", None), ("institucional", "", 1), ("a/nossa-equipe/b", "", 2), ("corpo-cl%C3%ADnico", "", 2), ("trabalhe-conosco?x=1", "", 3), ("contato.webp", "", None), ("y", "word " * 12 + "contato", None)]
+    for path, text, rank in paths:
+        links = spark.createDataFrame([(root, f"https://s.example/{path}", text, 0)], "site string, href string, text string, place int")
+        assert [r.rank for r in crawl.contact_pages(links).collect()] == ([] if rank is None else [rank]), path
+
+
+def test_locale_and_city(spark):
+    rows = [("BR", "10 Main St, London", "pt", None), ("", "10 High St, Leeds LS1 4AB", "en", "10 High St"), (None, "Dublin, Ireland", "en", "Dublin"), (None, "Rua A, 10, Recife - PE, 50000-000", "pt", "Recife"), (None, "10 Main St, 74000-000, Brazil", "pt", None), (None, "Recife - PE", "pt", "Recife"), ("FR", None, "en", None)]
+    df = spark.createDataFrame([(c, a) for c, a, _, _ in rows], "country string, address string")
+    got = df.select(leads.locale_of(F.col("country"), F.col("address")).alias("l"), leads.city_of(F.col("address")).alias("c")).collect()
+    cities = [c for *_, c in rows]
+    assert [r.l for r in got] == [x for _, _, x, _ in rows] and [r.c for r in got][2:] == cities[2:]
+
+
 def test_refused_rows_come_back(spark):
     rows = spark.createDataFrame([(i, "bad" if i in (7, 31) else "nul\x00" if i == 12 else f"t{i}") for i in range(40)], "id int, text string").coalesce(1)
 
