@@ -179,6 +179,17 @@ def published_at(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", made.alias("published"))
 
 
+_ASKED = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN 'ftp://files.example/' || CAST(page_id AS STRING) WHEN 2 THEN 'http://me:pw@site.example/' || CAST(page_id AS STRING) WHEN 3 THEN 'http://10.' || CAST(page_id % 256 AS STRING) || '.0.1/x' WHEN 4 THEN 'https://172.' || CAST(page_id % 256 AS STRING) || '.1.1/'
+  WHEN 5 THEN 'https://n' || CAST(page_id AS STRING) || '.internal/' WHEN 6 THEN 'http://100.' || CAST(page_id % 256 AS STRING) || '.0.9/' ELSE '/only/a/path' END AS url FROM pages"""
+
+
+@query(f"""SELECT page_id, CASE page_id % 8 WHEN 1 THEN 'only http and https' WHEN 2 THEN 'credentials in URL' WHEN 3 THEN 'private or local host' WHEN 4 THEN CASE WHEN page_id % 256 BETWEEN 16 AND 31 THEN 'private or local host' END
+  WHEN 5 THEN 'private or local host' WHEN 6 THEN CASE WHEN page_id % 256 BETWEEN 64 AND 127 THEN 'private or local host' END WHEN 7 THEN 'invalid URL' END AS problem FROM ({_ASKED})""")
+def fetch_problems(spark, sf_dir):
+    """Why a URL must not be fetched: schemes, credentials, private ranges by their bounds, hosts without one."""
+    return rows(spark, sf_dir, _ASKED).select("page_id", urls.target_problem(F.col("url")).alias("problem"))
+
+
 @query("SELECT page_id, url AS target FROM pages")
 def fetch_targets(spark, sf_dir):
     """Every stored page may be fetched: none has credentials, another scheme or a private host."""

@@ -254,11 +254,11 @@ def percentile_nearest_rank(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(jobs.nearest_rank("event_id", 0.5).alias("p50"), jobs.nearest_rank("event_id", 0.95).alias("p95"))
 
 
-@query("SELECT user_id AS handle, 0 AS place, 'v' || user_id AS id, 'https://www.tiktok.com/@' || user_id || '/video/v' || user_id AS url, user_id AS views, 'caption ' || user_id AS description FROM events WHERE event_type = 'view'")
+@query("SELECT user_id AS handle, 0 AS place, 'v' || user_id AS id, 'https://www.tiktok.com/@' || user_id || '/video/v' || user_id AS url, user_id AS views, 'caption ' || user_id AS description FROM events")
 def playlist_videos(spark, sf_dir):
     u = F.col("user_id").cast("string")
     raw = F.concat(F.lit('{"entries":[{"id":"v'), u, F.lit('","title":"caption '), u, F.lit('","view_count":'), u, F.lit(',"duration":0},null]}'))
-    e = table(spark, sf_dir, "events").where("event_type = 'view'").select(u.alias("handle"), raw.alias("raw"))
+    e = table(spark, sf_dir, "events").select(u.alias("handle"), raw.alias("raw"))
     return social.playlist_videos(e).select(F.col("handle").cast("long").alias("handle"), "place", "id", "url", "views", "description")
 
 
