@@ -217,8 +217,10 @@ def budget_running(spark, sf_dir):
 @query("""WITH RECURSIVE q AS (SELECT user_id % 40 AS d, event_id AS id, (epoch_ms(ts) // 1000 % 4000) AS t, row_number() OVER (PARTITION BY user_id % 40 ORDER BY epoch_ms(ts) // 1000 % 4000, event_id) AS i FROM events),
 w(d, i, id, s) AS (SELECT d, i, id, t FROM q WHERE i = 1 UNION ALL SELECT q.d, q.i, q.id, greatest(q.t, w.s + 300) FROM w JOIN q ON q.d = w.d AND q.i = w.i + 1) SELECT id AS request_id, s AS start_ms FROM w""")
 def domain_throttle(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("domain"), F.col("event_id").alias("request_id"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("s"))
-    return jobs.throttled(e.withColumn("at_ms", F.col("s") % 4000).drop("s")).select("request_id", "start_ms")
+    """A time in whole milliseconds is the nearest one, as in the SQL."""
+    at = F.expr("round(unix_micros(cast(ts AS timestamp)), -3) DIV 1000000 % 4000")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("domain"), F.col("event_id").alias("request_id"), at.alias("at_ms"))
+    return jobs.throttled(e).select("request_id", "start_ms")
 
 
 @query("SELECT run::BIGINT AS run, count(*) AS n, avg((phone = '')::INT::DOUBLE) AS phone_missing, avg((website = '')::INT::DOUBLE) AS website_missing, avg((phone = '')::INT::DOUBLE) > 0.95 OR avg((website = '')::INT::DOUBLE) > 0.95 AS warns FROM (SELECT *, (row_number() OVER (ORDER BY c_custkey) - 1) // 50 AS run FROM (SELECT c_custkey, CASE WHEN c_custkey // 100 % 2 = 0 THEN '' ELSE 'p' END AS phone, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'w' END AS website FROM customer)) GROUP BY 1 HAVING count(*) = 50")
