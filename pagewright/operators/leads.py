@@ -81,15 +81,19 @@ def within_radius(places: DataFrame, lat: float, lon: float, metres: float) -> D
     return near.withColumn("distance", d).where(F.col("distance") <= metres).orderBy("distance")
 
 
+PAIRS_A_SHARE = 4_000_000  #: of points and centres that a task compares at once
+
+
 def near(points: DataFrame, centres: DataFrame, metres: float) -> DataFrame:
     """Pairs of points (latitude, longitude, ..) and centres (centre_latitude, centre_longitude, ..) within a radius, with their distance.
 
     The sphere is cut into bands about as high as the radius, and each band into cells about as wide, fewer towards the
     poles. A point has one cell; a centre goes to all cells that its circle may touch, across the date line and around poles.
-    So pairs come from a join on cells, and the distance is worked out for those only. Other columns must not share names.
+    So pairs come from a join on cells, and the distance is worked out for those only; pairs of full cells are dealt out
+    over tasks, so that the longest takes its share of all pairs. Other columns must not share names.
     Places without coordinates, or with such as no place has, are in no pair.
     """
-    from math import degrees, sin
+    from math import cos, degrees, sin
 
     angle = metres / numbers.EARTH_METRES
     step = min(180.0, max(1e-4, degrees(angle) * (1 + 1e-9) + 1e-9))
@@ -111,8 +115,22 @@ def near(points: DataFrame, centres: DataFrame, metres: float) -> DataFrame:
     first, last = place(F.col("centre_longitude") - wide), place(F.col("centre_longitude") + wide)
     around = F.when(F.isnan(wide) | wide.isNull() | (last - first + 1 >= cells), F.sequence(F.lit(0), cells - 1)).otherwise(F.transform(F.sequence(first, F.greatest(first, last)), lambda c: F.pmod(c, cells)))
     own = own.withColumn("cell", F.explode(F.array_distinct(around)))
+    # A cell may hold any share of all places, those at the poles above all: what it compares is dealt out in equal shares.
+    tasks = 4 * points.sparkSession.sparkContext.defaultParallelism
+    named = [f"`{f.name}`" for f in points.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    sizes = dealt.groupBy("band", "cell").agg(F.count("*").alias("n")).join(own.groupBy("band", "cell").agg(F.count("*").alias("m")), ["band", "cell"])
+    sizes = sizes.select("band", "cell", F.ceil(F.col("n") * F.col("m") / PAIRS_A_SHARE).cast("int").alias("shares"))
+    dealt = dealt.join(sizes, ["band", "cell"]).withColumn("share", F.pmod(F.xxhash64(*named), F.col("shares")).cast("int")).drop("shares")
+    own = own.join(sizes, ["band", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    # Directions as unit vectors rule most pairs out by their product, with a margin far above its rounding.
+    unit = lambda lat, lon: [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+    dealt = dealt.withColumns(dict(zip(("_px", "_py", "_pz"), unit("latitude", "longitude"))))
+    own = own.withColumns(dict(zip(("_cx", "_cy", "_cz"), unit("centre_latitude", "centre_longitude"))))
+    close = F.col("_px") * F.col("_cx") + F.col("_py") * F.col("_cy") + F.col("_pz") * F.col("_cz") >= cos(min(angle, 3.141592653589793)) - 1e-9
+    key = ["band", "cell", "share"]
     d = numbers.haversine(F.col("centre_latitude"), F.col("centre_longitude"), F.col("latitude"), F.col("longitude"))
-    return dealt.join(own, ["band", "cell"]).drop("band", "cell").withColumn("distance", d).where(F.col("distance") <= metres)
+    met = dealt.repartition(tasks, *key).join(own.repartition(tasks, *key).hint("shuffle_hash"), key).where(close)
+    return met.drop(*key, "_px", "_py", "_pz", "_cx", "_cy", "_cz").withColumn("distance", d).where(F.col("distance") <= metres)
 
 
 def grid_cells(boxes: DataFrame, most: int | None = None) -> DataFrame:
