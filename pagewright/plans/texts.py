@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import email, intent, numbers, pages, phone, slop, urls
-from .registry import query, rows, table
+from .registry import query, rows, spread, table
 
 
 @query("SELECT doc_id, length(text) AS chars, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
@@ -263,7 +263,7 @@ _BANNED, _ANTITHESES = (" + ".join(_matches(p) for p, kind, *_ in slop.rules() i
   SELECT doc_id, {_BANNED} AS banned, {_ANTITHESES} AS antitheses, {_matches(slop.NUMBERS)} AS numbers, len(regexp_extract_all(text, '{slop.EMOJI}')) AS emoji,
     len(list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda w: w <> '')) AS words FROM ({_COPY})))""")
 def slop_score(spark, sf_dir):
-    return rows(spark, sf_dir, _COPY).select("doc_id", slop.lint(F.col("text")).alias("l")).select("doc_id", "l.banned", "l.antitheses", "l.numbers", "l.words", "l.violations", "l.score")
+    return spread(rows(spark, sf_dir, _COPY)).select("doc_id", slop.lint(F.col("text")).alias("l")).select("doc_id", "l.banned", "l.antitheses", "l.numbers", "l.words", "l.violations", "l.score")
 
 
 @query("""SELECT doc_id, words, greatest(1, sentences)::INTEGER AS sentences, floor(words / greatest(1, sentences)::DOUBLE + 0.5)::INTEGER AS average FROM (
@@ -304,4 +304,4 @@ def protected_email(spark, sf_dir):
     """Encoded by XOR with the key 0x2a in the query's own input, decoded by the operator."""
     plain = F.concat(F.lit("vendas"), (F.col("c_custkey") % 10).cast("string"), F.lit("@firm.com"))
     coded = F.array_join(F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.lower(F.lpad(F.hex(F.ascii(c).bitwiseXOR(F.lit(42))), 2, "0"))), "")
-    return table(spark, sf_dir, "customer").select("c_custkey", email.decode_protected(F.concat(F.lit("2a"), coded)).alias("email"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", email.decode_protected(F.concat(F.lit("2a"), coded)).alias("email"))
