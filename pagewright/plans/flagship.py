@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, urls
 from ..operators import dom
-from .registry import query, table
+from .registry import query, spread, table
 
 
 #: DuckDB: the article's blocks by patterns; a block that opens in bold is bold to its end, as the pages never close it.
@@ -23,13 +23,13 @@ _COSTS = f"SELECT *, {_REDUCTION.format(a='estimated_tokens', b='html_tokens')}
 
 @query(f"SELECT page_id, url, markdown, char_count, html_tokens, estimated_tokens, reduction FROM ({_COSTS})")
 def html_to_markdown(spark, sf_dir):
-    return dom.markdown_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "markdown", "char_count", "html_tokens", "estimated_tokens", "reduction")
+    return dom.markdown_pages(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "markdown", "char_count", "html_tokens", "estimated_tokens", "reduction")
 
 
 @query(f"""SELECT *, {_REDUCTION.format(a='tokens', b='html_tokens')} AS reduction FROM (SELECT regexp_extract(url, '://[^/]+/([a-z]{{2}})/', 1) AS lang, count(*) AS pages, sum(char_count)::BIGINT AS chars,
   sum(html_tokens)::BIGINT AS html_tokens, sum(estimated_tokens)::BIGINT AS tokens, median(reduction) AS median_reduction FROM ({_COSTS}) GROUP BY 1)""")
 def page_token_costs(spark, sf_dir):
-    made = dom.markdown_pages(table(spark, sf_dir, "pages"))
+    made = dom.markdown_pages(spread(table(spark, sf_dir, "pages")))
     lang = F.regexp_extract(urls.part(F.col("url"), "PATH"), "^/([a-z]{2})/", 1)
     out = made.groupBy(lang.alias("lang")).agg(F.count("*").alias("pages"), F.sum("char_count").alias("chars"), F.sum("html_tokens").alias("html_tokens"), F.sum("estimated_tokens").alias("tokens"), F.median("reduction").alias("median_reduction"))
     return out.withColumn("reduction", numbers.reduction_percent(F.col("html_tokens"), F.col("tokens")))
@@ -55,7 +55,7 @@ for _ref, _sign in _REFERENCES:
   FROM (SELECT page_id, html, t, length(t) BETWEEN 20 AND 65 AS good, starts_with(url, 'https://') AS secure FROM (SELECT page_id, url, html, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS t FROM pages))""")
 def page_products(spark, sf_dir):
     """Visible text, links, metadata and audit of every page, by one parse. Lengths of the text are without repeated white space."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     made = p.select("page_id", dom.products(F.col("html"), F.col("url"), ["visible", "links", "metadata", "audit", "fields"], schema={"head": "article h1", "menu": "nav a@href"}).alias("p"))
     visible = F.length(F.trim(F.regexp_replace("p.visible", r"\s+", " ")))
     return made.select("page_id", visible.alias("visible_chars"), F.size("p.links").alias("links"), F.col("p.metadata.title").alias("title"), F.col("p.audit.seo_score").alias("seo_score"), F.col("p.audit.seo_issues").alias("seo_issues"))
@@ -65,6 +65,6 @@ def page_products(spark, sf_dir):
   SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '&quot;', '"'), '&amp', '&'), '\\s+', ' ', 'g')) AS t FROM pages)""")
 def site_audit(spark, sf_dir):
     """SEO points of every page. Titles hold no references but these three and cut-off ones."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     made = p.select("page_id", dom.products(F.col("html"), F.col("url"), ["audit"]).alias("p"))
     return made.select("page_id", F.col("p.audit.seo_score").alias("seo_score"))
