@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phone
 from ..operators import crawl, leads
-from .registry import query, rows
+from .registry import query, rows, spread
 
 #: Every page with links of its own: a mail link, a protected address (key 00), two phone links, and a chat link to the second.
 _SITES = """SELECT page_id, url, html, lpad(CAST(page_id % 10000 AS STRING), 4, '0') AS few, lpad(CAST(page_id * 7919 % 100000000 AS STRING), 8, '0') AS many FROM pages"""
@@ -17,7 +17,7 @@ _LINKED = f"""SELECT page_id AS site, url, 0 AS page_rank, '<html><body><p>Talk
 @query(f"""SELECT page_id AS site, list_sort(CASE WHEN page_id % 4 = 0 THEN ['sales@loja' || (page_id % 9) || '.com.br'] ELSE [] END || ['info' || page_id || '@loja' || (page_id % 9) || '.com.br', 'team' || page_id || '@firma.com.br']) AS emails,
   ['+55621234' || few || ':tel:false', '+55629' || many || ':tel:true'] AS phones, ['55629' || many] AS whatsapps FROM ({_SITES})""")
 def page_contacts(spark, sf_dir):
-    found = leads.merged_contacts(leads.contacts(rows(spark, sf_dir, _LINKED)))
+    found = leads.merged_contacts(leads.contacts(spread(rows(spark, sf_dir, _LINKED))))
     return found.select("site", "emails", F.transform("phones", lambda p: F.concat_ws(":", p["value"], p["origin"], p["whatsapp"].cast("string"))).alias("phones"), "whatsapps")
 
 
