@@ -32,7 +32,17 @@ def timers_store(spark: SparkSession):
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(by, kind="stable")
+    parts = list(rows)
+    whole = parts[0] if len(parts) == 1 else pd.concat(parts)
+    return whole.sort_values(by, kind="stable") if len(whole) > 1 else whole
+
+
+def _moved(handle: StatefulProcessorHandle, old: int | None, new: int) -> None:
+    """Sets a key's one timer, whose time follows from its state: asking for it would cost more calls than the state itself."""
+    if old != new:
+        if old is not None:
+            handle.deleteTimer(old)
+        handle.registerTimer(new)
 
 
 def _ms(at) -> pd.Series:
@@ -47,9 +57,12 @@ class _Cache(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", StructType([StructField("content", LongType()), StructField("at", LongType())]))
 
+    def _timer(self, at: int) -> int:
+        return (at + self.hold) // 1000 + 1
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        content, at = self.entry.get() if self.entry.exists() else (None, None)
-        wrote, out = False, []
+        content, at = self.entry.get() or (None, None)
+        timer, wrote, out = None if at is None else self._timer(at), False, []
         batch = _ordered(rows, ["at", "number"])
         for number, when, write, new in zip(batch["number"], _ms(batch["at"]), batch["write"], batch["content"]):
             if write:
@@ -58,11 +71,10 @@ class _Cache(StatefulProcessor):
                 hit = at is not None and at > when - self.hold
                 out.append((key[0], int(number), bool(hit), content if hit else None))
         if wrote:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
             self.entry.update((content, at))
-            self.handle.registerTimer((at + self.hold) // 1000 + 1)
-        yield pd.DataFrame({"key": pd.Series([o[0] for o in out], dtype="int64"), "number": pd.Series([o[1] for o in out], dtype="int64"), "hit": pd.Series([o[2] for o in out], dtype=bool), "content": pd.Series([o[3] for o in out], dtype="Int64")})
+            _moved(self.handle, timer, self._timer(at))
+        if out:
+            yield pd.DataFrame({"key": pd.Series([o[0] for o in out], dtype="int64"), "number": pd.Series([o[1] for o in out], dtype="int64"), "hit": pd.Series([o[2] for o in out], dtype=bool), "content": pd.Series([o[3] for o in out], dtype="Int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.entry.clear()
@@ -89,35 +101,38 @@ class _Runs(StatefulProcessor):
         self.handle = handle
         self.run = handle.getValueState("run", StructType([StructField("open", LongType()), StructField("done", LongType()), StructField("at", LongType()), StructField("ended", StringType())]))
 
-    def _out(self, key, at: int, reason: str, done: int) -> pd.DataFrame:
-        return pd.DataFrame({"run": pd.Series([key[0]], dtype="int64"), "ended_us": pd.Series([at], dtype="int64"), "reason": [reason], "done": pd.Series([done], dtype="int64")})
+    def _timer(self, at: int) -> int:
+        return (at + self.idle) // 1000 + 1
+
+    def _out(self, key, ends: list[tuple[int, str, int]]) -> pd.DataFrame:
+        at, reason, done = zip(*ends)
+        return pd.DataFrame({"run": pd.Series([key[0]] * len(ends), dtype="int64"), "ended_us": pd.Series(at, dtype="int64"), "reason": list(reason), "done": pd.Series(done, dtype="int64")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        open_, done, at, ended = self.run.get() if self.run.exists() else (0, 0, None, "")
-        out = []
+        open_, done, at, ended = self.run.get() or (0, 0, None, "")
+        timer, out = None if at is None else self._timer(at), []
         batch = _ordered(rows, ["at", "number"])
         for when, found, finished in zip(_ms(batch["at"]), batch["found"], batch["finished"]):
             when = int(when)
             if at is not None and when - at > self.idle and not ended:
-                out.append(self._out(key, at + self.idle, "idle", done))  # its time was up before this row came
+                out.append((at + self.idle, "idle", done))  # its time was up before this row came
                 ended = "idle"
             if ended:  # a run that goes on after its end begins anew
                 open_, done, ended = 0, 0, ""
             open_, done, at = open_ + int(found) - int(finished), done + int(finished), when
             if done and open_ <= 0:
-                out.append(self._out(key, at, "done", done))
+                out.append((at, "done", done))
                 ended = "done"
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.run.update((open_, done, at, ended))
-        self.handle.registerTimer((at + self.idle) // 1000 + 1)
-        yield from out
+        _moved(self.handle, timer, self._timer(at))
+        if out:
+            yield self._out(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         open_, done, at, ended = self.run.get()
         self.run.clear()
         if not ended:
-            yield self._out(key, at + self.idle, "idle", done)
+            yield self._out(key, [(at + self.idle, "idle", done)])
 
     def close(self) -> None:
         pass
