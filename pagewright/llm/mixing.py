@@ -4,14 +4,13 @@ A source's rows form blocks of BLOCK rows. With integer weights n_i of sum D, bl
 floor(j D / n_i) on and must by slot ceil((j + 1) D / n_i); one block goes out a slot, of those released the one with the
 earliest deadline. All windows are met, so that at any slot each source has had its weight's share of slots to within one
 block. The pattern repeats after D slots: the driver works out D slots at most for each phase and every row finds its
-slot by arithmetic; a period longer than MOST_SLOTS is followed as far as its phase goes. When a source is used up a phase ends and the others go on with their own weights, so every row is
+slot by arithmetic. When a source is used up a phase ends and the others go on with their own weights, so every row is
 placed once and none is repeated.
 
-More than MOST_SOURCES sources are scheduled in levels: sources of like weight form groups of FAN, groups form groups again
-until MOST_SOURCES are left, and each group deals the slots that it gets to its members in the same way. A group's weight is
-the sum of its members'; weights that sum to more than RESOLUTION + MOST_SOURCES in a group are scaled to whole shares of
-RESOLUTION. When a member is used up its share goes to the others of its group first. Windows hold at each level, so that a
-source is within one block a level of its share. The driver's work grows in proportion to the sources.
+All sources are scheduled in one level, however many there are. At the start of a phase every source's first block is
+released, and those stand in the order of the weights, which never changes: a phase costs the slots that it takes, not the
+sources that wait. So the driver's work and the plan grow with the blocks (rows / BLOCK) at most, and with few sources only
+with their phases and periods.
 
 Rows are numbered within a source by hash bucket: rows in earlier buckets, plus the place in the own one. No task holds a
 whole source.
@@ -24,8 +23,10 @@ pass through, whatever their names; an empty table gives an empty table; texts o
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 from math import gcd
 
 from pyspark.sql import DataFrame, functions as F, types as T, Window as W
@@ -37,9 +38,8 @@ RESOLUTION = 1000  #: default weights are whole shares of about this sum
 TEMPERATURE = 0.5  #: default weight: the source's row count to this power
 BUCKETS = 4096  #: parts of a source that are numbered apart
 FEW_BUCKETS = 250_000  #: counts of buckets that a join may broadcast, 10 MB; more are joined by shuffle
-MOST_SOURCES = 500  #: that one level schedules: MOST_SOURCES phases of RESOLUTION + MOST_SOURCES slots; more go in levels
-FAN = 32  #: members of a group
-MOST_SLOTS = 20_000  #: of a period that is worked out whole; longer ones are followed as far as the blocks go
+MOST_SOURCES = 500  #: default weights of more sources are finer, so that the shares of many are told apart as well
+FAN = 32  #: of no effect: groups of sources are no longer made
 
 
 def default_weights(counts: dict) -> dict:
@@ -48,99 +48,94 @@ def default_weights(counts: dict) -> dict:
     return {s: max(1, round(resolution * n**TEMPERATURE / total)) for s, n in counts.items()}
 
 
-def pattern(weights: dict, slots: int, left: dict | None = None) -> list:
-    """The source of each of the first `slots` slots by earliest deadline first over Pfair windows.
+def _order(weights: dict) -> list:
+    return sorted(weights, key=lambda s: (-weights[s], s is None, str(s)))
 
-    left: blocks of each source; then the pattern ends with the slot that takes a source's last one.
+
+def _slots(weights: list, going: list | range, total: int) -> Iterator[tuple[int, int]]:
+    """(place of a source in weights, its block) slot by slot, of those going: earliest deadline first over Pfair windows.
+
+    weights descend, going ascends, total is the sum of the weights of those going. All blocks 0 are released at once and
+    their deadlines ascend with the places, so they wait in that order, not in a heap.
     """
-    left = dict(left) if left else None
-    total = sum(weights.values())
-    order = {s: k for k, s in enumerate(sorted(weights, key=lambda s: (-weights[s], s is None, str(s))))}
-    deadline = lambda s, j: -(-(j + 1) * total // weights[s])
-    waiting = [(0, order[s], s, 0) for s in weights]  # by release
-    heapq.heapify(waiting)
+    waiting: list = []  # by release
     ready: list = []
-    out = []
-    for t in range(slots):
+    fresh, t = 0, 0
+    while True:
         while waiting and waiting[0][0] <= t:
-            _, k, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, j), k, s, j))
-        _, k, s, j = heapq.heappop(ready)
-        out.append(s)
-        if left and j + 1 == left[s]:
-            break
-        heapq.heappush(waiting, ((j + 1) * total // weights[s], k, s, j + 1))
-    return out
+            _, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[k]), k, j))
+        if fresh < len(going) and (not ready or (-(-total // weights[going[fresh]]), going[fresh]) < ready[0][:2]):
+            k, j = going[fresh], 0
+            fresh += 1
+        else:
+            _, k, j = heapq.heappop(ready)
+        yield k, j
+        heapq.heappush(waiting, ((j + 1) * total // weights[k], k, j + 1))
+        t += 1
+
+
+def pattern(weights: dict, slots: int) -> list:
+    """The source of each of the first `slots` slots."""
+    order = _order(weights)
+    return [order[k] for k, _ in islice(_slots([weights[s] for s in order], range(len(order)), sum(weights.values())), slots)]
 
 
 def plan(blocks: dict, weights: dict) -> dict:
     """blocks: source -> number of blocks. Returns source -> its phases (first block, first slot, period, weight, slots in a period).
 
-    A period of more than MOST_SLOTS slots isn't worked out whole: only as far as the phase goes, which takes a block a slot.
+    A phase in which a source gets no slot isn't listed; of a phase that ends within its first period only its own slots are.
     """
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out: dict = {s: [] for s in left}
-    slot = 0
-    while left:
-        least = gcd(*(weights[s] for s in left))
-        own = {s: weights[s] // least for s in left}
-        total = sum(own.values())
-        whole = total <= MOST_SLOTS
-        slots = pattern(own, total) if whole else pattern(own, total, left)
-        places: dict = {s: [] for s in left}
-        for t, s in enumerate(slots):
-            places[s].append(t)
-        last = lambda s: (left[s] - 1) // own[s] * total + places[s][(left[s] - 1) % own[s]]  # noqa: E731, B023
-        length = min(last(s) for s in left) + 1 if whole else len(slots)
-        for s in list(left):
-            out[s].append((done[s], slot, total, own[s], places[s]))
-            used = length // total * own[s] + sum(t < length % total for t in places[s]) if whole else len(places[s])
-            done[s] += used
-            left[s] -= used
-            if not left[s]:
-                del left[s]
+    order = _order({s: weights[s] for s, n in blocks.items() if n > 0})
+    own, left, done = [weights[s] for s in order], [blocks[s] for s in order], [0] * len(order)
+    going, total, slot = list(range(len(order))), sum(own), 0
+    out: dict = {s: [] for s in order}
+    while going:
+        places: dict = {}
+        least, ended, period = 1, None, None
+        for t, (k, j) in enumerate(_slots(own, going, total)):
+            if t >= len(going):  # no period is shorter
+                if period is None:
+                    least = gcd(*(own[x] for x in going))
+                    period = total // least
+                if t == period:
+                    break
+            places.setdefault(k, []).append(t)
+            if j + 1 == left[k]:
+                ended, length = k, t + 1
+                break
+        if ended is None:  # periods follow until the first source ends
+            last = {k: (left[k] - 1) // (own[k] // least) * period + x[(left[k] - 1) % (own[k] // least)] for k, x in places.items()}
+            ended = min(last, key=last.get)
+            length = last[ended] + 1
+        for k, x in places.items():
+            weight, every = own[k] // least, total // least
+            out[order[k]].append((done[k], slot, every, weight, x))
+            used = length // every * weight + bisect_left(x, length % every) if length > every else len(x)
+            done[k] += used
+            left[k] -= used
+        total -= own[ended]
+        del going[bisect_left(going, ended)]
         slot += length
     return out
 
 
 def slot_of(phases: list, block: int) -> tuple[int, int, int]:
     """(slot, release, deadline) of a block of a source."""
-    first, start, period, weight, places = phases[bisect_right([p[0] for p in phases], block) - 1]
+    first, start, period, weight, places = phases[bisect_right(phases, block, key=lambda p: p[0]) - 1]
     k = block - first
     share = Fraction(weight, period)
     return start + k // weight * period + places[k % weight], start + int(k / share), start - int(-(k + 1) / share // 1)
 
 
-def scaled(weights: dict) -> dict:
-    """Weights of a group as whole numbers whose sum is bounded."""
-    total = sum(weights.values())
-    if total <= RESOLUTION + MOST_SOURCES:
-        return weights
-    return {s: max(1, round(RESOLUTION * w / total)) for s, w in weights.items()}
-
-
 def levels(blocks: dict, weights: dict) -> dict:
-    """source -> its plan, that of its group in the level above, and so on. Up to MOST_SOURCES sources have one level."""
-    if len(blocks) <= MOST_SOURCES:
-        return {s: [p] for s, p in plan(blocks, weights).items()}
-    order = sorted(blocks, key=lambda s: (-weights[s], s is None, str(s)))
-    groups = [order[i : i + FAN] for i in range(0, len(order), FAN)]
-    own = {g: sum(weights[s] for s in x) for g, x in enumerate(groups)}
-    above = levels({g: sum(blocks[s] for s in x) for g, x in enumerate(groups)}, scaled(own) if len(own) <= MOST_SOURCES else own)
-    out = {}
-    for g, x in enumerate(groups):
-        for s, p in plan({s: blocks[s] for s in x}, scaled({s: weights[s] for s in x})).items():
-            out[s] = [p, *above[g]]
-    return out
+    """source -> its plan, as a path of one level for place_of."""
+    return {s: [p] for s, p in plan(blocks, weights).items()}
 
 
 def place_of(path: list, block: int) -> tuple[int, int, int]:
-    """(slot, release, deadline) of a block of a source through all levels: a place in a group is a block of the group."""
-    slot, release, deadline = slot_of(path[0], block)
-    for phases in path[1:]:
-        slot, release, deadline = slot_of(phases, slot)[0], slot_of(phases, release)[1], slot_of(phases, deadline - 1)[2]
-    return slot, release, deadline
+    """(slot, release, deadline) of a block of a source."""
+    return slot_of(path[0], block)
 
 
 def scheduled(documents: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:

@@ -135,6 +135,17 @@ def test_levels_keep_shares():
         assert abs(out - 4 * w) <= 3, (s, out)
 
 
+def test_more_sources_follow_the_same_law(monkeypatch):
+    """Beyond 500 sources the schedule is still that of one level, phase by phase, and no constant changes it."""
+    weights = {f"s{i}": 1 + i * 7 % 5 for i in range(530)}
+    blocks = {s: 1 + i * i % 11 for i, s in enumerate(weights)}
+    paths = mixing.levels(blocks, weights)
+    got = {mixing.place_of(paths[s], k)[0]: s for s, n in blocks.items() for k in range(n)}
+    assert [got[t] for t in range(len(got))] == slow_schedule(blocks, weights)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 5)
+    assert mixing.levels(blocks, weights) == paths
+
+
 def test_columns_may_bear_the_operators_names(spark):
     rows = [(i, f"s{i % 3}", i, 2 * i, f"b{i}", 3.5, 7, 8, 9) for i in range(200)]
     names = ["doc_id", "source", "first", "mix_hash", "mix_bucket", "mix_place", "mix_slot", "row", "id"]
