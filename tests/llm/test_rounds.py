@@ -31,3 +31,12 @@ def test_later_rounds_go_without_links_inside_known_components(spark, monkeypatc
         assert {r["id"]: r["part"] for r in state.parts.collect()} == {x: find(x) for x in list(top)}
     assert state.n_parts == len(top)
     assert dict(edges)["neardup-edges-2"] == 6 and dict(edges)["neardup-edges-3"] == 0
+
+
+def test_sets_do_not_leave_their_group(spark):
+    """A set took a neighbour's label while its group went elsewhere, and the link between both had been left out by then."""
+    for links in ([(0, 3), (3, 4), (2, 4), (1, 2)], [(9, 2), (9, 7), (7, 8), (8, 3), (3, 1), (1, 6), (4, 6), (4, 5), (5, 0)]):
+        state = object.__new__(neardup._Rounds)
+        state.scratch, state.kept, state.parts, state.n_parts = [], [], None, 0
+        state.add(spark.createDataFrame(links, "a long, b long"), "chain")
+        assert {r["id"]: r["part"] for r in state.parts.collect()} == {x: 0 for p in links for x in p}
